@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import media, packing, tokenfile, tokens
+from .shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -19,8 +21,18 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(_read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
+def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_table(_read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
+    "op7_packing": op7_packing,
     "op8_media": op8_media,
+    "op9_tokenfile": op9_tokenfile,
 }
 
 ORACLES: dict[str, str] = {}
