@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, tokenfile, tokens
+from . import exactdedup, media, mixing, packing, tokenfile, tokens
 from .shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(_read(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op4_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -30,9 +38,14 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_mixing": op3_mixing,
+    "op4_exactdedup": op4_exactdedup,
     "op7_packing": op7_packing,
     "op8_media": op8_media,
     "op9_tokenfile": op9_tokenfile,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.MIX_SQL,
+    "op4_exactdedup": exactdedup.DEDUP_SQL,
+}
