@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, htmltext, media, mixing, packing, tokenfile, tokens
+from . import exactdedup, htmltext, media, mixing, packing, tokenfile, tokens, toxicity
 from .shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_exactdedup": op4_exactdedup,
+    "op5_toxicity": op5_toxicity,
     "op6_htmltext": op6_htmltext,
     "op7_packing": op7_packing,
     "op8_media": op8_media,
