@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, htmltext, media, mixing, packing, tokenfile, tokens, toxicity
+from . import exactdedup, htmltext, media, mixing, neardedup, packing, quality, tokenfile, tokens, toxicity
 from .shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,12 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_table(_read(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
+def op10_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardedup.dedup(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_exactdedup": op4_exactdedup,
     "op5_toxicity": op5_toxicity,
@@ -53,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_media": op8_media,
     "op9_tokenfile": op9_tokenfile,
+    "op10_neardedup": op10_neardedup,
 }
 
 ORACLES: dict[str, str] = {
