@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, htmltext, media, mixing, neardedup, packing, quality, tokenfile, tokens, toxicity
+from . import chatquotes, exactdedup, htmltext, media, mixing, neardedup, packing, quality, tokenfile, tokens, toxicity
 from .shared import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(_read(spark, sf_dir, "documents"))
 
 
+def op1_chatquotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatquotes.threaded(_read(spark, sf_dir, "conversations"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def op10_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chatquotes": op1_chatquotes,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_exactdedup": op4_exactdedup,
