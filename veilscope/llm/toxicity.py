@@ -201,8 +201,9 @@ def crc_mod(key: Column, by: int = 3) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
     """Texts and labels of at most MAX_TRAIN_DOCS rows that are not held out, the first by a hash of their key."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (crc_mod(F.col(key)) != 1)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    chosen = marked.withColumn("_hash", F.xxhash64(F.col(key), F.lit(3))).orderBy("_hash", key).limit(MAX_TRAIN_DOCS)
     usable = docs.select(key, F.col(text).cast("string").alias("_text")).where(F.length("_text").between(1, MAX_TRAIN_TEXT))
-    rows = usable.join(marked, key).select("_label", "_text", F.xxhash64(F.col(key), F.lit(3)).alias("_hash")).orderBy("_hash", "_text").limit(MAX_TRAIN_DOCS)
+    rows = usable.join(F.broadcast(chosen), key).select("_label", "_text", "_hash").orderBy("_hash", "_text").limit(MAX_TRAIN_DOCS)  # at most MAX_TRAIN_DOCS keys
     texts, classes, held = [], [], 0
     for row in rows.toLocalIterator():
         held += len(row["_text"])
