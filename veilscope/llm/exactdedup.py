@@ -195,7 +195,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; ``df`` should be a table."""
     index = checkpointed(build_index(digests(df, key, text)))
-    return df.withColumn("_row", F.monotonically_increasing_id()).join(index.select(F.col("row").alias("_row")), "_row", "left_semi").drop("_row")
+    return df.withColumn("_row", F.monotonically_increasing_id()).join(index.select(F.col("row").alias("_row")).hint("merge"), "_row", "left_semi").drop("_row")
 
 
 DEDUP_SQL = r"""

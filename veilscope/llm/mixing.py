@@ -139,7 +139,7 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source",
     part = lambda a, b: F.struct(F.col(a).alias("begin"), F.col(b).alias("end"))
     parts = F.filter(F.concat(F.array_repeat(full, F.col("passes").cast("int")), F.array(part("cut_1", "cut_2"), part("cut_3", "cut_4"))), lambda p: p["end"] > p["begin"])
     pieces = plan.select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.explode(parts).alias("_part"))
-    joined = df.withColumn("_row", F.monotonically_increasing_id()).join(pieces, "_row")
+    joined = df.withColumn("_row", F.monotonically_increasing_id()).join(pieces.hint("merge"), "_row")
     spaced = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(spaced, (F.col("_part.begin") + 1).cast("int"), (F.col("_part.end") - F.col("_part.begin")).cast("int")), "")
     whole = (F.col("_part.begin") == 0) & (F.col("_part.end") == F.col("_size"))

@@ -17,6 +17,8 @@ that, its hub's members are compared in blocks of ``BLOCK``, signature against s
 task; pairs across components whose estimate reaches ``ESTIMATE`` are verified like the others. So no link between
 components is lost, and members of one component are not compared again.
 
+Joins that move texts or signatures are merge joins at every size, so that their cost follows the input.
+
 Cases: a null text counts as empty, texts without words are equal to one another; a class's id is its smallest key, a
 null key comes last and identifies a class only where all its keys are null; repeated rows are copies; an empty table
 gives an empty result; only key and text are read. Row numbers come from the scan, so the input should be a table.
@@ -194,7 +196,7 @@ def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = [shingles(word_hashes(t or "")[0])[0].astype("<u8").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], schema=schema)
 
-    return rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, from_arrow_schema(schema))
+    return rows.select(F.col("row").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, from_arrow_schema(schema))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -282,10 +284,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = _numbered(df, key, text)
     sketched = stored(sketches(rows), "sketches")
     nodes = stored(sketched.groupBy("digest").agg(F.min(F.when(F.col("sig").isNotNull(), F.col("row"))).alias("node")), "nodes")
-    signed = sketched.where("sig is not null").select(F.col("row").alias("node"), "sig").join(nodes.select("node"), "node", "left_semi")
+    signed = sketched.where("sig is not null").select(F.col("row").alias("node"), "sig").join(nodes.select("node").hint("merge"), "node", "left_semi")
     banded = stored(_banded(signed), "bands")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(banded.join(shared, "bucket"), "members")
+    members = stored(banded.join(shared.hint("merge"), "bucket"), "members")
     pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     few = members.where(F.col("n") <= SMALL).select("bucket", "node")
     close = few.select("bucket", F.col("node").alias("x")).join(few.select("bucket", F.col("node").alias("y")), "bucket").where("x < y").select(*pairs("x", "y"))
@@ -323,4 +325,4 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of ``df``, with all its columns; ``df`` should be a table."""
     stay = checkpointed(_stays(classes(df, key, text)).select(F.col("_first.row").alias("_row")))
-    return df.withColumn("_row", F.monotonically_increasing_id()).join(stay, "_row", "left_semi").drop("_row")
+    return df.withColumn("_row", F.monotonically_increasing_id()).join(stay.hint("merge"), "_row", "left_semi").drop("_row")
