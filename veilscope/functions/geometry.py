@@ -29,7 +29,7 @@ def rectangle(box: Column, width: Column | None = None, height: Column | None =
 
 def span_box(boxes: Column, start: Column, end: Column) -> Column:
     """The union of the tokens' rectangles in a span; null if there is none."""
-    part = F.filter(F.transform(F.slice(boxes, start + 1, end - start + 1), rectangle), lambda b: b.isNotNull())
+    part = F.filter(F.transform(F.slice(boxes, start + 1, end - start + 1), lambda b: rectangle(b)), lambda b: b.isNotNull())
     side = lambda i: F.transform(part, lambda b: b[i])
     return F.when(F.size(part) > 0, F.array(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(2)), F.array_max(side(3))))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
 from .text import normalize, strip
 
 
@@ -15,13 +16,17 @@ def exact_match(prediction: Column, gold: Column) -> Column:
 def token_f1(prediction: Column, gold: Column) -> Column:
     """Harmonic mean of precision and recall over words as multisets; both empty: 1, one of them: 0.
 
-    Words are sorted once; a shared word counts as often as in the side that has it less often."""
+    A shared word counts as often as in the side that has it less often."""
     words = lambda c: F.filter(F.split(normalize(c), " "), lambda w: w != "")
-    p, g = words(prediction), words(gold)
     times = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    overlap = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda n, w: n + F.least(times(p, w), times(g, w)))
-    both = F.size(p) + F.size(g)
-    return F.when(both == 0, 1.0).when((F.size(p) == 0) | (F.size(g) == 0), 0.0).otherwise(2.0 * overlap / both)
+
+    def score(v: Column) -> Column:
+        p, g = v["p"], v["g"]
+        overlap = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda n, w: n + F.least(times(p, w), times(g, w)))
+        both = F.size(p) + F.size(g)
+        return F.when(both == 0, 1.0).when((F.size(p) == 0) | (F.size(g) == 0), 0.0).otherwise(2.0 * overlap / both)
+
+    return let(F.struct(words(prediction).alias("p"), words(gold).alias("g")), score)
 
 
 def best(score, prediction: Column, answers: Column) -> Column:

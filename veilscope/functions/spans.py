@@ -11,6 +11,14 @@ from .text import normalize, strip
 SPAN = "struct<start:int,end:int>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row.
+
+    An expression that a lambda refers to is computed again for each element, as the optimizer may inline it; bound to
+    a lambda's variable it is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def flatten_tokens(lines: Column) -> Column:
     """Tokens of nested lines of words in reading order, stripped, without blank ones; ``bbox`` stands in for a
     missing ``bounding_box``."""
@@ -28,16 +36,21 @@ def find_spans(flat: Column, answer: Column) -> Column:
     """All spans (start, end) of token indices whose sub-tokens equal the answer's words, each once, in order.
 
     Window starts are found on the plain array of parts, so each step is one slice and one comparison."""
-    words, parts = F.split(normalize(answer), " "), F.transform(flat, lambda p: p["part"])
-    n = F.size(words)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(flat) - n + 1, F.lit(1))), lambda i: (F.get(parts, i - 1) == words[0]) & (F.slice(parts, i, n) == words))
-    spans = F.transform(starts, lambda i: F.struct(F.get(flat, i - 1)["token"].alias("start"), F.get(flat, i + n - 2)["token"].alias("end")))
-    return F.when(normalize(answer) == "", F.array().cast(f"array<{SPAN}>")).otherwise(F.array_distinct(spans))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def search(v: Column) -> Column:
+        parts, at, words = v["parts"], v["at"], v["words"]
+        n, first = F.size(words), F.get(words, F.lit(0))
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))), lambda i: (F.get(parts, i - 1) == first) & (F.slice(parts, i, n) == words))
+        spans = F.transform(starts, lambda i: F.struct(F.get(at, i - 1).alias("start"), F.get(at, i + n - 2).alias("end")))
+        return F.when(first == "", none).otherwise(F.array_distinct(spans))
+
+    return let(F.struct(flat["part"].alias("parts"), flat["token"].alias("at"), F.split(normalize(answer), " ").alias("words")), search)
 
 
 def union_of_spans(flat: Column, candidates: Column) -> Column:
     """The spans of every candidate in order, each once."""
-    return F.array_distinct(F.flatten(F.transform(candidates, lambda c: find_spans(flat, c))))
+    return let(F.struct(flat.alias("flat"), candidates.alias("candidates")), lambda v: F.array_distinct(F.flatten(F.transform(v["candidates"], lambda c: find_spans(v["flat"], c)))))
 
 
 def expand(spans: Column, k: Column | int, n: Column) -> Column:
@@ -62,9 +75,9 @@ def redact(tokens: Column, spans: Column, strategy: str) -> Column:
     if strategy == "none":
         return tokens
     if strategy == "drop":
-        return F.filter(tokens, lambda t, i: ~_inside(spans, i))
+        return let(spans, lambda s: F.filter(tokens, lambda t, i: ~_inside(s, i)))
     if strategy == "mask":
-        return F.transform(tokens, lambda t, i: F.when(_inside(spans, i), F.lit(fixed.MASK_TEXT)).otherwise(t))
+        return let(spans, lambda s: F.transform(tokens, lambda t, i: F.when(_inside(s, i), F.lit(fixed.MASK_TEXT)).otherwise(t)))
     raise ValueError(f"unknown strategy {strategy}")
 
 

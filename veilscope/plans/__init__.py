@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this package registers them."""
 
-from . import text_queries  # noqa: F401
+from . import label_queries, span_queries, text_queries  # noqa: F401
