@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST = 10
 
@@ -63,9 +65,7 @@ def two_sided_p(t: float | None, df: float | None) -> float | None:
 
 def with_p(df: DataFrame, t: str = "t_stat", freedom: str = "df") -> DataFrame:
     """``p_value`` beside t and its degrees of freedom; the table has one row for each group."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def p(ts: pd.Series, dfs: pd.Series) -> pd.Series:
         return pd.Series([two_sided_p(a, b) for a, b in zip(ts, dfs, strict=True)], dtype="float64")
 
