@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shipping import ship  # noqa: F401
+
 #: Characters that count as white space in every contract of this subpackage (fixed values).
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -65,17 +64,3 @@ def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, from_arrow_schema(schema))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, unless they find it by their path or working folder."""
-    package = Path(__file__).resolve().parents[1]
-    root, sc = package.parent, spark.sparkContext
-    if str(root) in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] or getattr(sc, "_veilscope_sent", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="veilscope-")) / "veilscope.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._veilscope_sent = True
