@@ -140,7 +140,7 @@ class TokenFile:
 
 
 MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_documents", pa.int64()), ("n_ids", pa.int64())])
-ENTRY = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("key", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+ENTRY = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def write_files(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = 2, partitions: int | None = None) -> DataFrame:
@@ -198,14 +198,13 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     file = TokenFile(f.read())
                 n = len(file.keys)
                 crcs = [zlib.crc32(file.document(i).astype("<u4").tobytes()) for i in range(n)]
-                columns = [[row["part"]] * n, [row["number"]] * n, file.keys, file.starts, file.lengths, crcs]
+                columns = [file.keys, file.starts + row["file_start"], file.lengths, crcs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY, strict=True)], schema=ENTRY)
 
     files = max(1, min(10_000, manifest.count()))
-    entries = manifest.select("part", "number", "path").repartition(files).mapInArrow(run, from_arrow_schema(ENTRY))
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    starts = manifest.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("file_start"))
-    return entries.join(starts, ["part", "number"]).select("key", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("file_start"))
+    return placed.repartition(files).mapInArrow(run, from_arrow_schema(ENTRY))
 
 
 def token_table(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
