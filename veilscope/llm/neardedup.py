@@ -293,7 +293,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     close = few.select("bucket", F.col("node").alias("x")).join(few.select("bucket", F.col("node").alias("y")), "bucket").where("x < y").select(*pairs("x", "y"))
     many = members.where(F.col("n") > SMALL).select("bucket", "node")
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
-    hubs = many.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", -F.col("node"))).alias("_top")).select("bucket", (-F.col("_top")["col2"]).alias("hub"))
+    hubs = stored(many.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", -F.col("node"))).alias("_top")).select("bucket", (-F.col("_top")["col2"]).alias("hub")), "hubs")
     spokes = stored(many.join(hubs, "bucket").select("hub", "node").distinct(), "spokes")
     first = checkpointed(close.unionByName(spokes.where("hub <> node").select(*pairs("hub", "node"))).distinct())
     sets = stored(_texts_of(rows, members.select("node").distinct()), "shingles")
