@@ -77,6 +77,16 @@ def test_quotes_in_odd_conversations(spark):
     assert chatquotes.threaded(talk(spark, rows[:1]).limit(0)).collect() == []
 
 
+def test_threads_equal_sql(spark, tmp_path):
+    from oracle import compare
+
+    rows = [(1, 0, "a", "Hello there everyone. How does it start?\nSecond line of the text."), (1, 1, "b", "Bob said:\n> Hello there everyone. How does\n> it start?\nYou turn the big key."), (1, 2, "a", "> > Hello there everyone. How does it start?\n> You turn the big key.\nThanks a lot for that!"), (None, 0, "u", None), (1, None, "u", "> Thanks a lot for that!")]
+    rows += [(7, t, "u", f"This is message number {t} of all.\n> This is message number {t - 1} of all.") for t in range(9)]
+    talk(spark, rows).coalesce(1).toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    compare(spark, "op1_chatquotes", str(tmp_path))
+    compare(spark, "op1_chatquotes", SMALL)
+
+
 def test_a_deep_thread_keeps_its_order(spark):
     rows = [(1, t, "u", f"This is message number {t} of all.\n" + (f"> This is message number {t - 1} of all." if t else "")) for t in range(40)]
     out = sorted(chatquotes.threaded(talk(spark, rows)).collect(), key=lambda r: r["turn"])

@@ -153,3 +153,56 @@ def _positioned(df: DataFrame) -> DataFrame:
 def formatted(threads: DataFrame, role: str = "role", opening: str = "<|", closing: str = "|>") -> DataFrame:
     """``threads`` with ``chat``: each message between its role's mark and an end mark, ready to be joined in order."""
     return threads.withColumn("chat", F.concat(F.lit(opening), F.coalesce(F.col(role), F.lit("unknown")), F.lit(closing + "\n"), "body", F.lit(f"\n{opening}end{closing}\n")))
+
+
+_UNITS = """SELECT DISTINCT {keys}, u AS unit FROM (
+    SELECT {keys}, trim(regexp_replace(lower(unnest(list_concat([whole], lines, string_split(regexp_replace(whole, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS u FROM (
+      SELECT {keys}, list(body ORDER BY n) AS lines, string_agg(body, ' ' ORDER BY n) AS whole FROM {lines} WHERE trim(body, ' ') <> '' GROUP BY ALL)) WHERE length(u) >= 12"""
+THREADS_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, role, text, coalesce('=' || CAST(conv_id AS VARCHAR), 'null') AS conv_key,
+         md5(concat_ws(chr(31), coalesce('=' || CAST(conv_id AS VARCHAR), 'null'), coalesce('=' || CAST(turn AS VARCHAR), 'null'), coalesce('=' || role, 'null'), coalesce('=' || text, 'null'))) AS id FROM conversations
+), m AS (
+  SELECT id, any_value(conv_key) AS conv_key, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(role) AS role, any_value(text) AS text, count(*) AS copies FROM raw GROUP BY id
+), line0 AS (
+  SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT id, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS ls FROM m)
+), line1 AS (
+  SELECT id, n, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+', 0), '[ \t]', '', 'g')) AS depth, regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS body FROM line0
+), line2 AS (
+  SELECT *, lead(depth) OVER (PARTITION BY id ORDER BY n) AS next FROM line1
+), line3 AS (
+  SELECT id, n, depth, body, lag(depth) OVER (PARTITION BY id ORDER BY n) AS last FROM line2
+  WHERE NOT (depth = 0 AND regexp_matches(body, '(?i)^[ \t]*(?:on [^\n]*|[^\n]* )?(?:wrote|writes|said)[^\n]{{0,40}}:[ \t]*$') AND coalesce(next, 0) > 0)
+), runs AS (
+  SELECT *, sum(CASE WHEN depth = last THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY n) AS run FROM line3
+), own AS (
+  SELECT id, n, body FROM runs WHERE depth = 0
+), quoted AS (
+  SELECT id, n, depth, body, dense_rank() OVER (PARTITION BY id ORDER BY run) AS passage FROM runs WHERE depth > 0
+), bodies AS (
+  SELECT id, regexp_replace(regexp_replace(string_agg(body, chr(10) ORDER BY n), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM own GROUP BY id
+), own_units AS (
+  {_UNITS.format(keys="id", lines="own")}
+), quoted_units AS (
+  {_UNITS.format(keys="id, passage, depth", lines="quoted")}
+), origin AS (
+  SELECT conv_key, unit, min({{'turn': turn, 'id': id}}) AS first FROM own_units JOIN m USING (id) WHERE turn IS NOT NULL GROUP BY ALL
+), weighed AS (
+  SELECT q.id, q.passage, q.depth, o.first, sum(length(q.unit)) AS chars FROM quoted_units q JOIN m USING (id) JOIN origin o ON o.conv_key = m.conv_key AND o.unit = q.unit WHERE o.first.turn < m.turn GROUP BY ALL
+), linked AS (
+  SELECT id, passage, depth, max({{'chars': chars, 'first': first}}) AS best FROM weighed GROUP BY ALL
+), parents AS (
+  SELECT id, max({{'turn': best.first.turn, 'id': best.first.id}}) AS p FROM linked WHERE depth = 1 GROUP BY id
+), up AS (
+  SELECT id, p.id AS root, 1 AS steps FROM parents UNION ALL SELECT up.id, parents.p.id, steps + 1 FROM up JOIN parents ON parents.id = up.root
+), top AS (
+  SELECT id, arg_max(root, steps) AS root, max(steps) AS steps FROM up GROUP BY id
+), j AS (
+  SELECT m.*, coalesce(bodies.body, '') AS body, coalesce(top.root, m.id) AS root, coalesce(top.steps, 0) AS depth, parents.p.turn AS reply_to
+  FROM m LEFT JOIN bodies USING (id) LEFT JOIN top USING (id) LEFT JOIN parents USING (id)
+)
+SELECT j.conv_id, j.turn, j.role, j.body, CAST((SELECT count(DISTINCT passage) FROM quoted q WHERE q.id = j.id) AS BIGINT) AS quotes, CAST((SELECT count(*) FROM linked l WHERE l.id = j.id) AS BIGINT) AS linked,
+       j.reply_to, r.turn AS thread_turn, CAST(j.depth AS BIGINT) AS depth,
+       row_number() OVER (PARTITION BY j.conv_key ORDER BY r.turn NULLS LAST, j.root, j.turn NULLS LAST, j.id) - 1 AS position, j.copies
+FROM j JOIN m r ON r.id = j.root
+"""

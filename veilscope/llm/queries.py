@@ -71,6 +71,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chatquotes": chatquotes.THREADS_SQL,
     "op3_mixing": mixing.MIX_SQL,
     "op4_exactdedup": exactdedup.DEDUP_SQL,
 }
