@@ -92,13 +92,13 @@ def merge_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Gold and predicted labels: quality marks against a rule on the text's length.
-_GOLD = """gold AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS gold, toxic FROM labels), guess AS (SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 'odd' WHEN n_chars > 800 THEN 'good' ELSE 'poor' END AS predicted FROM documents WHERE doc_id % 10 <> 3),
+_GOLD = """gold AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS gold, toxic FROM labels), guess AS (SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 'odd' WHEN n_chars > 800 THEN 'good' ELSE 'poor' END AS predicted FROM documents WHERE lang <> 'es'),
  ev AS (SELECT g.doc_id, gold, predicted, toxic FROM gold g LEFT JOIN guess USING (doc_id))"""
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
     gold = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("gold"), "toxic")
-    guess = table(spark, sf, "documents").where("doc_id % 10 <> 3").select("doc_id", F.when(F.col("n_chars") % 7 == 0, "odd").when(F.col("n_chars") > 800, "good").otherwise("poor").alias("predicted"))
+    guess = table(spark, sf, "documents").where("lang <> 'es'").select("doc_id", F.when(F.col("n_chars") % 7 == 0, "odd").when(F.col("n_chars") > 800, "good").otherwise("poor").alias("predicted"))
     return classification.joined_gold(gold, guess, ["doc_id"])
 
 
@@ -164,10 +164,10 @@ def benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
     return joins.summary(_built(spark, sf))
 
 
-@query(f"""WITH {LABELS}, last AS (SELECT l_partkey AS row_id, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS flag FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+@query(f"""WITH {LABELS}, last AS (SELECT l_partkey AS row_id, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS flag FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
 SELECT row_id, split, coalesce(flag, 'OTHER') AS flag FROM lab LEFT JOIN last USING (row_id)""")
 def enrich_types(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("row_id"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    lines = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("row_id"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
     return joins.enrich(proxies.labels(spark, sf).select("row_id", "split"), lines, "row_id", "flag", "at")
 
 

@@ -71,10 +71,10 @@ def report_scaling(spark: SparkSession, sf: str) -> DataFrame:
     return report.scaling(named, F.col("params")).select("n_name", F.round("log_params", 6).alias("log_params"))
 
 
-@query("WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1) SELECT a.k AS nation, customers, suppliers FROM a LEFT JOIN b USING (k)")
+@query("WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) SELECT a.k AS nation, customers, suppliers FROM a LEFT JOIN b USING (k)")
 def report_scatter(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
-    b = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
+    b = table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
     return a.join(b, "nation", "left")
 
 
