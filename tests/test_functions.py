@@ -130,13 +130,12 @@ def test_markdown_sections_replace_themselves(spark):
     assert report.replace_section(once, "x", table) == once and "a\\|b" in once
 
 
-class Echo:
-    def predict(self, records):
-        return [f"{r['question']}!" for r in records]
-
-
 def test_plugins(spark):
-    df = spark.createDataFrame([("When was it?", "1999"), ("date", "zzz 1 yyy")], "question string, answer string")
+    class Echo:  # local, so that it travels to the workers by value
+        def predict(self, records):
+            return [f"{r['question']}!" for r in records]
+
+    df = spark.createDataFrame([("When was it?", "1999"), ("date", "q7")], "question string, answer string")
     assert [r["prediction"] for r in plugins.predict(df, Echo).orderBy("question").collect()] == ["When was it?!", "date!"]
     out = {r["question"]: (r["field_type"], r["label_source"]) for r in plugins.label(df, Echo).collect()}
     assert out == {"When was it?": ("DATE_TIME", "rule"), "date": ("DATE_TIME", "llm")}
