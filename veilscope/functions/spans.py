@@ -45,7 +45,8 @@ def find_spans(flat: Column, answer: Column) -> Column:
         spans = F.transform(starts, lambda i: F.struct(F.get(at, i - 1).alias("start"), F.get(at, i + n - 2).alias("end")))
         return F.when(first == "", none).otherwise(F.array_distinct(spans))
 
-    return let(F.struct(flat["part"].alias("parts"), flat["token"].alias("at"), F.split(normalize(answer), " ").alias("words")), search)
+    words = F.split(normalize(answer), " ")
+    return let(flat, lambda f: let(F.struct(f["part"].alias("parts"), f["token"].alias("at"), words.alias("words")), search))
 
 
 def union_of_spans(flat: Column, candidates: Column) -> Column:

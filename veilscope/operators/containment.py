@@ -32,7 +32,8 @@ def contained(texts: DataFrame, passages: DataFrame, text_key: str, passage_key:
 def leak_audit(rows: DataFrame, keys: list[str], strategies: tuple[str, ...] = ("none", "drop", "mask")) -> DataFrame:
     """For each strategy and group: answers checked, those found again after redaction, and whether none was.
 
-    ``rows`` have ``tokens``, ``answer`` and ``spans``. The strategies are columns of one scan, unpivoted before the count."""
-    leaked = [F.struct(F.lit(s).alias("scenario"), (F.size(find_spans(subtokens(redact(F.col("tokens"), F.col("spans"), s)), F.col("answer"))) > 0).alias("leak")) for s in strategies]
-    each = rows.select(*keys, F.explode(F.array(*leaked)).alias("x"))
+    ``rows`` have ``tokens``, ``answer`` and ``spans``, each computed once for all strategies of a row."""
+    found = lambda v, s: F.size(find_spans(subtokens(redact(v["tokens"], v["spans"], s)), v["answer"])) > 0
+    leaks = let(F.struct("tokens", "spans", "answer"), lambda v: F.array(*(F.struct(F.lit(s).alias("scenario"), found(v, s).alias("leak")) for s in strategies)))
+    each = rows.select(*keys, F.explode(leaks).alias("x"))
     return each.groupBy(F.col("x.scenario").alias("scenario"), *keys).agg(F.count(F.lit(1)).alias("checked"), F.count_if("x.leak").alias("leaks"), (F.count_if("x.leak") == 0).alias("passed"))
