@@ -221,18 +221,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``component``, its smallest node, of each node of ``links``: smallest labels travel along the links
-    and every label is replaced by its own label, until nothing changes."""
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    """``node`` and ``component``, its smallest node, of each node of ``links``, by contraction.
+
+    Every node takes the smallest of itself and its neighbours as its parent, parents are replaced by their parents,
+    and the links are drawn anew between what is left; those within one node vanish. So the links shrink in each round,
+    and a star, the usual shape of near copies, is gone after two."""
+    edges = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    placed = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        met = labels.join(near, "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
-        own = labels.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-        new = checkpointed(met.join(own, "component").select("node", "_old", F.least("component", "_next").alias("component")))
-        labels = new.select("node", "component")
-        if new.where("component <> _old").isEmpty():
-            return labels
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+        parents = checkpointed(ends.groupBy(F.col("e.x").alias("x")).agg(F.min("e.y").alias("_least")).select("x", F.least("x", "_least").alias("up")))
+        for _ in range(2):
+            above = parents.select(F.col("x").alias("up"), F.col("up").alias("_next"))
+            parents = parents.join(above, "up").select("x", F.col("_next").alias("up"))
+        parents = checkpointed(parents)
+        if placed is None:
+            placed = parents.select(F.col("x").alias("node"), F.col("up").alias("component"))
+        else:
+            step = parents.select(F.col("x").alias("component"), F.col("up").alias("_up"))
+            placed = checkpointed(placed.join(step, "component", "left").select("node", F.coalesce("_up", "component").alias("component")))
+        left = edges.join(parents.select(F.col("x").alias("a"), F.col("up").alias("_a")), "a").join(parents.select(F.col("x").alias("b"), F.col("up").alias("_b")), "b")
+        edges = checkpointed(left.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct())
+        if edges.isEmpty():
+            return placed
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
@@ -304,9 +315,12 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     open_hubs = placed.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("hub")
     rest = placed.join(open_hubs, "hub", "left_semi").join(signed, "node")
     more = checkpointed(_block_pairs(rest).join(first, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = components(checkpointed(links.unionByName(_verified(more, sets))))
     resolved = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
+    if not more.isEmpty():  # links between the components found so far
+        name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        across = _verified(more, sets).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        joined = components(checkpointed(across)).select(F.col("node").alias("class"), F.col("component").alias("_joined"))
+        resolved = resolved.join(joined, "class", "left").select("digest", F.coalesce("_joined", "class").alias("class"))
     return sketched.select("row", "key", "digest").join(resolved, "digest").select("row", "key", "class")
 
 
