@@ -135,6 +135,17 @@ def test_quality_keeps_trusted_text_and_rejects_junk(spark):
     assert kept[1] >= 0.97 and kept[0] <= 0.35
 
 
+def test_all_trusted_documents_count(spark):
+    rare = F.col("doc_id") % 250 == 0
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id")).withColumn("lang", F.when(rare, "rare").otherwise("en")).withColumn("text", F.concat(F.when(rare, "zq ").otherwise("the cat "), F.col("doc_id").cast("string")))
+    labels = docs.where("doc_id < 45000").select(F.col("doc_id").cast("int").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted = quality.trusted_sample(docs, labels.unionByName(labels.limit(5)))
+    assert trusted.count() == 45_000 and trusted.where("lang = 'rare'").count() == 180
+    assert trusted.where("fold = 0 and lang = 'rare'").count() >= quality.LEAST_CALIBRATION
+    limits = quality.thresholds(trusted, quality.train(trusted)).where("not every").collect()
+    assert {r["lang"] for r in limits} == {"rare", "en"}
+
+
 def test_quality_of_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (None, 1), (7, 0)], "doc_id long, quality int")
     out = quality.classify(odd, labels).collect()

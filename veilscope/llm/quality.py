@@ -15,9 +15,12 @@ scatter more. A language's threshold is the ``QUANTILE`` quantile of the scores
 out of the counts, plus ``SLACK``; languages with fewer than ``LEAST_CALIBRATION`` such documents use the threshold of
 all.
 
-The trusted sample is bounded by ``MAX_TRUSTED`` documents (the first by a hash of their key); everything else covers
-all rows. Cases: null, empty and blank texts have no score and are rejected; a null language uses the threshold of all;
-repeated rows are scored alike; texts of any length are scored whole, in slices; without trusted text every document
+All trusted documents are read: three quarters, by a hash of their key, are counted, and the rest are held out. The
+join of texts with labels is by key; before it, a bitmap of hashed keys of a fixed size leaves out most of the other
+texts, so that few of these are shuffled.
+
+Cases: null, empty and blank texts have no score and are rejected; a null language uses the threshold of all; repeated
+rows are scored alike; texts of any length are scored whole, in slices; without trusted text every document
 with a text is kept; an empty table gives an empty result.
 """
 
@@ -37,10 +40,13 @@ from .shared import stored
 ORDER = 4
 ALPHABET = 96
 MAX_GRAMS = 2_000_000
-MAX_TRUSTED = 20_000
 QUANTILE, SLACK, ROOM = 0.99, 0.03, 3.0
 LEAST_CALIBRATION = 30
 SHARDS = 8
+#: The bitmap of trusted keys, by chunks of so many words of 64 bits.
+KEY_BITS, CHUNK = 2**25, 64
+#: Symbols whose n-grams a task merges at once.
+AT_ONCE = 2_000_000
 #: Symbols 0 and 1: the border before and after a text, and every character outside the alphabet.
 _BORDER, _OTHER = 0, 1
 _SLICE = 1_000_000
@@ -67,12 +73,23 @@ def _grams(symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
     return code
 
 
+def _perhaps(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be one of ``keys``: all that are, and those that share a bit of the bitmap with one."""
+    bit = F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(KEY_BITS))
+    places = {"_chunk": F.expr(f"_bit div {64 * CHUNK}"), "_word": F.expr(f"_bit div 64 % {CHUNK}").cast("int"), "_bit": (F.col("_bit") % 64).cast("int")}
+    words = keys.select(bit.alias("_bit")).withColumns(places).groupBy("_chunk", "_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    chunks = words.groupBy("_chunk").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
+    bitmap = chunks.select("_chunk", F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long"))).alias("_words"))
+    found = rows.withColumn("_bit", bit).withColumns(places).join(F.broadcast(bitmap), "_chunk")  # KEY_BITS bits
+    return found.where("shiftrightunsigned(_words[_word], _bit) & 1 = 1").select(*rows.columns)
+
+
 def trusted_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
-    """``lang``, ``text`` and ``fold`` of at most MAX_TRUSTED trusted documents."""
+    """``lang``, ``text`` and ``fold`` of all trusted documents."""
     mark = F.xxhash64(F.col(key), F.lit(17))
-    chosen = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(key, mark.alias("_mark")).orderBy("_mark").limit(MAX_TRUSTED)
+    keys = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).cast(docs.schema[key].dataType).alias(key)).distinct()
     full = docs.select(key, F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
-    return stored(full.join(F.broadcast(chosen), key).select("lang", "text", F.pmod("_mark", F.lit(4)).alias("fold")), "trusted")  # at most MAX_TRUSTED keys
+    return stored(_perhaps(full, keys, key).join(keys.hint("merge"), key).select("lang", "text", F.pmod(mark, F.lit(4)).alias("fold")), "trusted")
 
 
 def _alphabet(trusted: DataFrame) -> np.ndarray:
@@ -99,10 +116,20 @@ def _counts(trusted: DataFrame, table: np.ndarray) -> DataFrame:
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged(codes: list[np.ndarray]) -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate(codes), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], schema=schema)
+
+        codes, size = [], 0
         for batch in batches:
-            codes = [_grams(_symbols(t, table)) for t in batch.column(0).to_pylist()]
-            grams, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], schema=schema)
+            for t in batch.column(0):
+                codes.append(_grams(_symbols(t.as_py(), table)))
+                size += len(codes[-1])
+                if size >= AT_ONCE:
+                    yield merged(codes)
+                    codes, size = [], 0
+        if codes:
+            yield merged(codes)
 
     return trusted.select("text").mapInArrow(run, from_arrow_schema(schema)).groupBy("gram").agg(F.sum("n").alias("n"))
 
