@@ -465,6 +465,14 @@ def test_near_dedup_equals_brute_force(spark, tmp_path):
     assert neardedup.keep_one(docs).count() == len(classes)
 
 
+def test_an_unverified_pair_hides_no_other(spark):
+    rng = np.random.default_rng(8)
+    sigs = [rng.integers(0, 2**16, neardedup.REGISTERS).astype("<u2") for _ in range(4)]
+    sigs[2][:240], sigs[3][:210] = sigs[0][:240], sigs[1][:210]
+    members = spark.createDataFrame([(9, node, component, bytearray(x.tobytes())) for node, component, x in zip((1, 2, 3, 4), (1, 1, 3, 3), sigs, strict=True)], "hub long, node long, component long, sig binary")
+    assert {(r["a"], r["b"]) for r in neardedup._block_pairs(members).collect()} == {(1, 3), (2, 4)}
+
+
 def test_near_dedup_of_odd_tables(odd, empty):
     out = neardedup.dedup(odd).collect()
     assert len(out) == len(ODD)

@@ -14,7 +14,9 @@ connected component of links; equal word sequences are one node from the start,
 Buckets never make all their pairs, unless they are small (``SMALL``). In a larger one every member is checked against
 its hub, the member that shares most buckets with others. Where the members of a bucket are in several components after
 that, its hub's members are compared in blocks of ``BLOCK``, signature against signature, each block pair in its own
-task; pairs across components whose estimate reaches ``ESTIMATE`` are verified like the others. So no link between
+task; pairs across components whose estimate reaches ``ESTIMATE`` are verified like the others. This goes in two rounds:
+the first verifies a forest of the best pairs, and components are contracted by the links that passed; the second
+verifies all pairs that are still across components. So only verified links spare others the check, no link between
 components is lost, and members of one component are not compared again.
 
 Joins that move texts or signatures are merge joins at every size, so that their cost follows the input.
@@ -246,10 +248,19 @@ def components(links: DataFrame) -> DataFrame:
             return placed
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
+def _contracted(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (``node``, ``component``) after its components, and nodes outside it, are joined by further links."""
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    across = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = components(checkpointed(across))
+    moved = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_joined")), "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
+    return checkpointed(moved.unionByName(joined.join(found.select("node"), "node", "left_anti").select("node", "component")))
+
+
+def _block_pairs(members: DataFrame, forest: bool = False) -> DataFrame:
     """Pairs (a, b) of different components with the same ``hub`` whose signatures agree in ESTIMATE of the registers.
 
-    Pairs that agree in nine tenths come first, and a pair that these connect already is left out."""
+    With ``forest`` the best come first, and a pair that better ones of its blocks connect already is left out."""
     sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "hub").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "sig")
@@ -281,7 +292,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
             x, y = root(component[i]), root(component[j])
             if x == y:
                 continue
-            if scores[k] >= 0.9:
+            if forest:
                 parent[max(x, y)] = min(x, y)
             out.append((min(node[i], node[j]), max(node[i], node[j])))
         a, b = zip(*out, strict=True) if out else ((), ())
@@ -310,17 +321,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     sets = stored(_texts_of(rows, members.select("node").distinct()), "shingles")
     links = checkpointed(_verified(first, sets))
     found = components(links)
-    # Hubs whose members are in several components: compare these in blocks.
-    placed = spokes.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
-    open_hubs = placed.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("hub")
-    rest = placed.join(open_hubs, "hub", "left_semi").join(signed, "node")
-    more = checkpointed(_block_pairs(rest).join(first, ["a", "b"], "left_anti"))
+    # Hubs whose members are in several components: compare these in blocks, the best pairs and then all.
+    tried = first
+    for forest in (True, False):
+        placed = spokes.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+        open_hubs = placed.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("hub")
+        rest = placed.join(open_hubs, "hub", "left_semi").join(signed, "node")
+        more = checkpointed(_block_pairs(rest, forest).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            found, tried = _contracted(found, _verified(more, sets)), tried.unionByName(more)
     resolved = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
-    if not more.isEmpty():  # links between the components found so far
-        name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-        across = _verified(more, sets).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-        joined = components(checkpointed(across)).select(F.col("node").alias("class"), F.col("component").alias("_joined"))
-        resolved = resolved.join(joined, "class", "left").select("digest", F.coalesce("_joined", "class").alias("class"))
     return sketched.select("row", "key", "digest").join(resolved, "digest").select("row", "key", "class")
 
 
