@@ -465,6 +465,22 @@ def test_near_dedup_equals_brute_force(spark, tmp_path):
     assert neardedup.keep_one(docs).count() == len(classes)
 
 
+def test_near_copies_with_repeated_lines(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    texts = []
+    for times in (20, 40, 100):
+        for _ in range(5):
+            text, block = words(304), words(60)
+            texts += [text, " ".join([text, *[block] * times])]
+    line = words(60)
+    texts += [" ".join([line] * 20 + [words(int(n))]) for n in rng.integers(1, 12, 30)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    out = neardedup.dedup(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows)
+
+
 def test_an_unverified_pair_hides_no_other(spark):
     rng = np.random.default_rng(8)
     sigs = [rng.integers(0, 2**16, neardedup.REGISTERS).astype("<u2") for _ in range(4)]

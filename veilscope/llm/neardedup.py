@@ -1,9 +1,9 @@
-"""Near dedup by ProbMinHash: weighted shingles, banding, verification, connected classes.
+"""Near dedup by ProbMinHash: shingles, banding, verification, connected classes.
 
-Words are runs of word characters in lower case, shingles five words (a shorter text is one shingle); a shingle's weight
-grows with the logarithm of its frequency in the text. Each shingle is a Poisson process whose rate is its weight; every
+Words are runs of word characters in lower case, shingles five words (a shorter text is one shingle). A distinct shingle
+has the weight 1 however often it occurs, so that the sketches estimate what links are made by. Each shingle is a Poisson process whose rate is its weight; every
 arrival falls into one of ``REGISTERS`` registers, and a register keeps the shingle that arrived first. Two texts agree
-in a register with the probability Jaccard similarity of their shingles. A text is done as soon as no arrival can come
+in a register with the probability Jaccard similarity of their shingles, here the Jaccard similarity of the sets. A text is done as soon as no arrival can come
 before the latest first one: arrivals are generated up to a time limit that holds for all registers, which is raised
 in the rare case that one is still empty. The work for a text is then about ``m log m`` arrivals, however long it is.
 
@@ -168,8 +168,8 @@ def sketches(rows: DataFrame) -> DataFrame:
                         continue
                     if len(met) < REMEMBER:
                         met.add(digest)
-                    elements, counts = shingles(words)
-                    sigs.append((signature(elements, 1 + np.log(counts)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                    elements, _ = shingles(words)
+                    sigs.append((signature(elements, np.ones(len(elements))) & np.uint64(0xFFFF)).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
     return rows.mapInArrow(run, from_arrow_schema(schema))
