@@ -70,6 +70,12 @@ def test_quotes_link_to_their_originals(spark):
     assert chat == "<|a|>\nnever said here\n<|end|>\n"
 
 
+def test_short_messages_quoted_whole_are_linked(spark):
+    rows = [(1, 0, "a", "Lunch?"), (1, 1, "b", "ok, Friday?"), (1, 2, "c", "> Lunch?\nno"), (1, 3, "a", "> ok, Friday?\nfine"), (1, 4, "b", "> ...\n??"), (2, 0, "a", "好的。"), (2, 1, "b", "> 好的。\n谢谢")]
+    out = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chatquotes.threaded(talk(spark, rows)).collect()}
+    assert out == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 1, (1, 4): None, (2, 0): None, (2, 1): 0}
+
+
 def test_quotes_in_odd_conversations(spark):
     rows = [(None, 0, "u", None), (None, 0, "u", None), (1, None, "u", "> Thanks a lot for that!"), (1, 0, None, "Thanks a lot for that!"), (1, 1, "u", "> " + "far too long " * 5000), (1, 2, "u", "")]
     out = chatquotes.threaded(talk(spark, rows)).collect()

@@ -30,7 +30,7 @@ from .shared import checkpointed, stored
 #: Marks at the beginning of a quoted line, and a line that introduces a quote (fixed values).
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
 INTRODUCES = r"(?i)^[ \t]*(?:on [^\n]*|[^\n]* )?(?:wrote|writes|said)[^\n]{0,40}:[ \t]*$"
-#: Units shorter than this are too common to tell whose they are.
+#: Lines and sentences shorter than this are too common to tell whose they are; the whole counts at any length.
 LEAST_CHARS = 12
 #: Turns of a slot, the unit in which positions are counted.
 POSITION_SLOT = 10_000
@@ -67,10 +67,10 @@ def passages(lines: Column) -> Column:
 
 
 def _units(lines: Column) -> Column:
-    """Distinct normalised units of some lines: the whole, each line, each sentence."""
+    """Distinct normalised units of some lines: the whole, each line and each sentence of LEAST_CHARS or more."""
     whole = F.array_join(lines, " ")
-    parts = F.concat(F.array(whole), lines, F.split(whole, r"(?<=[.!?])\s+"))
-    return F.array_distinct(F.filter(F.transform(parts, normalised), lambda u: F.length(u) >= LEAST_CHARS))
+    parts = F.filter(F.transform(F.concat(lines, F.split(whole, r"(?<=[.!?])\s+")), normalised), lambda u: F.length(u) >= LEAST_CHARS)
+    return F.array_distinct(F.filter(F.concat(F.array(normalised(whole)), parts), lambda u: u != ""))
 
 
 def messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
