@@ -15,12 +15,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from veilscope.llm import chatquotes, exactdedup, htmltext, media, mixing, neardedup, packing, quality, tokenfile, tokens, toxicity  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, size int, digest string"
+#: Names that the operators use themselves.
+CLASHING = ["row", "key", "size", "digest", "_row", "_size", "_part", "_nll", "_chars", "_limit", "_own", "_kept", "_metadata", "_row_index", "_file_path", "hash", "taken", "node", "class", "piece", "start", "block"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING)
 
 
 def documents(spark, rows):
     """Documents with further columns whose names the operators use themselves."""
-    full = [(i, t, lang, s, len(t or ""), 7, "k", 1, "d") for i, t, lang, s in rows]
+    full = [(i, t, lang, s, len(t or ""), *range(len(CLASHING))) for i, t, lang, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3) if full else spark.createDataFrame([], SCHEMA)
 
 
@@ -487,12 +489,39 @@ def test_near_copies_with_repeated_lines(spark, tmp_path):
     assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows)
 
 
-def test_an_unverified_pair_hides_no_other(spark):
-    rng = np.random.default_rng(8)
-    sigs = [rng.integers(0, 2**16, neardedup.REGISTERS).astype("<u2") for _ in range(4)]
-    sigs[2][:240], sigs[3][:210] = sigs[0][:240], sigs[1][:210]
-    members = spark.createDataFrame([(9, node, component, bytearray(x.tobytes())) for node, component, x in zip((1, 2, 3, 4), (1, 1, 3, 3), sigs, strict=True)], "hub long, node long, component long, sig binary")
-    assert {(r["a"], r["b"]) for r in neardedup._block_pairs(members).collect()} == {(1, 3), (2, 4)}
+def edited(seed, n, length, least, most):
+    """Copies of one text with ``least`` to ``most`` words replaced; the text itself is not among them."""
+    rng = np.random.default_rng(seed)
+    base, rows = [f"w{i}" for i in rng.integers(0, 10**6, length)], []
+    for i in range(n):
+        text = list(base)
+        for at in rng.choice(length, int(rng.integers(least, most + 1)), replace=False):
+            text[at] = f"e{rng.integers(10**7)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_a_group_around_the_limit_keeps_its_links(spark, tmp_path):
+    rows = edited(4, 300, 250, 3, 6)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    out = neardedup.dedup(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(rows)
+
+
+def test_blocks_give_a_forest_of_links(spark, monkeypatch):
+    monkeypatch.setattr(neardedup, "BLOCK", 40)
+    monkeypatch.setattr(neardedup, "OPEN_BLOCK", 16)
+    for n in (60, 120, 240):
+        members = [(1, i, i, bytearray(neardedup.shingles(neardedup.word_hashes(t)[0])[0].tobytes())) for i, t in edited(9, n, 120, 0, 3)]
+        frame = lambda rows: spark.createDataFrame(rows, "hub long, node long, component long, shingles binary")
+        first = [(r["a"], r["b"]) for r in neardedup._block_links(frame(members), True).collect()]
+        assert n / 2 < len(first) < n
+        found = {r["node"]: r["component"] for r in neardedup.components(spark.createDataFrame(first, "a long, b long")).collect()}
+        rest = [(h, i, found.get(i, i), x) for h, i, _, x in members]
+        links = first + [(r["a"], r["b"]) for r in neardedup._block_links(frame(rest)).collect()]
+        sets = {i: set(np.frombuffer(x, "<u8").tolist()) for _, i, _, x in members}
+        assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+        assert len(links) <= 2 * n
 
 
 def test_near_dedup_of_odd_tables(odd, empty):

@@ -1,29 +1,35 @@
 """Near dedup by ProbMinHash: shingles, banding, verification, connected classes.
 
 Words are runs of word characters in lower case, shingles five words (a shorter text is one shingle). A distinct shingle
-has the weight 1 however often it occurs, so that the sketches estimate what links are made by. Each shingle is a Poisson process whose rate is its weight; every
-arrival falls into one of ``REGISTERS`` registers, and a register keeps the shingle that arrived first. Two texts agree
-in a register with the probability Jaccard similarity of their shingles, here the Jaccard similarity of the sets. A text is done as soon as no arrival can come
-before the latest first one: arrivals are generated up to a time limit that holds for all registers, which is raised
-in the rare case that one is still empty. The work for a text is then about ``m log m`` arrivals, however long it is.
+has the weight 1 however often it occurs, so that the sketches estimate what links are made by. Each shingle is a
+Poisson process whose rate is its weight; every arrival falls into one of ``REGISTERS`` registers, and a register keeps
+the shingle that arrived first. Two texts agree in a register with the probability Jaccard similarity of their shingles,
+here the Jaccard similarity of the sets. A text is done as soon as no arrival can come before the latest first one:
+arrivals are generated up to a time limit that holds for all registers, which is raised in the rare case that one is
+still empty. The work for a text is then about ``m log m`` arrivals, however long it is.
 
 ``BANDS`` bands of ``ROWS`` registers make the buckets. Two texts are linked if the Jaccard similarity of their shingle
 sets is ``LINK`` or more; at that similarity a pair shares no bucket with a probability below 1e-5. A class is a
 connected component of links; equal word sequences are one node from the start, so copies are never paired.
 
-Buckets never make all their pairs, unless they are small (``SMALL``). In a larger one every member is checked against
-its hub, the member that shares most buckets with others. Where the members of a bucket are in several components after
-that, its hub's members are compared in blocks of ``BLOCK``, signature against signature, each block pair in its own
-task; pairs across components whose estimate reaches ``ESTIMATE`` are verified like the others. This goes in two rounds:
-the first verifies a forest of the best pairs, and components are contracted by the links that passed; the second
-verifies all pairs that are still across components. So only verified links spare others the check, no link between
-components is lost, and members of one component are not compared again.
+Pairs of a bucket are never made. A bucket's hub is the member that shares most buckets with others, and
 
-Joins that move texts or signatures are merge joins at every size, so that their cost follows the input.
+1. each node is verified against one hub, the best known of its buckets', and linked nodes are contracted;
+2. each node is verified against those hubs of its buckets that are in another component, and again contracted;
+3. where the other members of a hub's buckets are still in several components, they are dealt out to blocks, and a task
+   compares the exact shingle sets of its block by a matrix product. It returns links only, and no more than join its
+   components;
+4. after another contraction, what is outside a hub's largest component goes in the same way to all of its blocks.
+
+So candidates and links are in proportion to the nodes, members of one component are not compared again, and every pair
+of nodes in different components that share a bucket has been compared exactly: no link is lost. What the last step
+computes, though it makes no rows, is a hub's members times those that it could not link.
+
+Joins that move texts or sets are merge joins at every size, so that their cost follows the input.
 
 Cases: a null text counts as empty, texts without words are equal to one another; a class's id is its smallest key, a
 null key comes last and identifies a class only where all its keys are null; repeated rows are copies; an empty table
-gives an empty result; only key and text are read. Row numbers come from the scan, so the input should be a table.
+gives an empty result; only key and text are read, and further columns of any name come along untouched.
 """
 
 from __future__ import annotations
@@ -38,12 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .shared import checkpointed, stored
+from .shared import by_name, checkpointed, free_name, numbered, stored
 
 WORDS, LINK = 5, 0.8
 BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
-SMALL, BLOCK, ESTIMATE = 16, 512, 0.7
+#: Nodes and bytes of shingles in a block of those that a hub has not linked, and in one of all its members.
+OPEN_BLOCK, BLOCK, BLOCK_BYTES = 256, 512, 2**25
+#: Shingles that are compared at once.
+COLUMNS = 4096
 #: A task remembers so many digests to leave out repeated signatures.
 REMEMBER = 500_000
 _MULT, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -146,10 +155,6 @@ def buckets(registers: np.ndarray) -> np.ndarray:
         return (_mixed(code * np.uint64(64) + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
-def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-
-
 def sketches(rows: DataFrame) -> DataFrame:
     """``row``, ``key``, ``digest`` and ``sig``, which is null where the task has sketched an equal text before."""
     schema = pa.schema([("row", pa.int64()), ("key", to_arrow_type(rows.schema["key"].dataType)), ("digest", pa.binary()), ("sig", pa.binary())])
@@ -257,79 +262,107 @@ def _contracted(found: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(moved.unionByName(joined.join(found.select("node"), "node", "left_anti").select("node", "component")))
 
 
-def _block_pairs(members: DataFrame, forest: bool = False) -> DataFrame:
-    """Pairs (a, b) of different components with the same ``hub`` whose signatures agree in ESTIMATE of the registers.
-
-    With ``forest`` the best come first, and a pair that better ones of its blocks connect already is left out."""
-    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "hub").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "sig")
+def _common(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """How many elements each of the first ``n`` sets shares with each of the others, by products of 0/1 matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    place = np.cumsum(often) - 1
+    met = often[column]
+    owner, column = owner[met], place[column[met]]
+    out = np.zeros((n, len(sets) - n), np.float64)
+    for at in range(0, int(often.sum()), COLUMNS):
+        some = (column >= at) & (column < at + COLUMNS)
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[owner[some], column[some] - at] = 1
+        out += dense[:n] @ dense[n:].T
+    return out
+
+
+def _block_links(members: DataFrame, own: bool = False) -> DataFrame:
+    """Links (a, b) between members of a ``hub`` in different components: a forest of them for each pair of blocks.
+
+    With ``own`` a member is only compared with those of its own block."""
+    main = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component")).alias("_main"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    placed = members.join(main.select("hub", F.col("_main.component").alias("main")), "hub").withColumn("open", F.col("component") != F.col("main"))
+    size = F.length("shingles")
+    blocks = lambda n, size, most: F.ceil(F.greatest(n / most, size / BLOCK_BYTES)).cast("int")
+    counts = placed.groupBy("hub").agg(
+        blocks(F.sum(F.col("open").cast("int")), F.sum(F.when(F.col("open"), size).otherwise(0)), OPEN_BLOCK).alias("opens"), blocks(F.count(F.lit(1)), F.sum(size), BLOCK).alias("alls")
+    )
+    dealt = placed.join(counts, "hub")
+    mine = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["hub", "x", "y", "side", "node", "component", "shingles"]
+    left = dealt.where("open").withColumn("x", F.lit(0) if own else mine("opens")).withColumn("y", mine("alls") if own else every("alls")).withColumn("side", F.lit(0)).select(columns)
+    right = dealt.withColumn("y", mine("alls")).withColumn("x", F.lit(0) if own else every("opens")).withColumn("side", F.lit(1)).select(columns)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        node, component = table["node"].to_numpy(), table["component"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(node), REGISTERS)
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        block = table["block"].to_numpy()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        pairs, scores = [], []
-        for i in left:
-            agree = (sig[right] == sig[i]).mean(1)
-            for j in np.flatnonzero((agree >= ESTIMATE) & (component[right] != component[i])):
-                if low != high or node[i] < node[right[j]]:
-                    pairs.append((i, right[j]))
-                    scores.append(agree[j])
-        parent: dict[int, int] = {}
+        side = table["side"].to_numpy()
+        by, n = np.argsort(side, kind="stable"), int((side == 0).sum())
+        node, component = table["node"].to_numpy()[by], table["component"].to_numpy()[by]
+        held = table["shingles"].to_pylist()
+        sets = [np.frombuffer(held[i], "<u8") for i in by]
+        sizes = np.array([len(x) for x in sets])
+        out, parent = [], {}
 
         def root(x: int) -> int:
             while (up := parent.get(x, x)) != x:
                 x = up
             return x
 
-        out = []
-        for k in np.argsort(-np.array(scores), kind="stable"):
-            i, j = pairs[k]
-            x, y = root(component[i]), root(component[j])
-            if x == y:
-                continue
-            if forest:
-                parent[max(x, y)] = min(x, y)
-            out.append((min(node[i], node[j]), max(node[i], node[j])))
+        if 0 < n < len(sets):
+            both = _common(sets, n)
+            linked = (both >= LINK * (sizes[:n, None] + sizes[None, n:] - both)) & (component[:n, None] != component[None, n:])
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = root(component[i]), root(component[n + j])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((node[i], node[n + j]))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return keyed.groupBy("hub", "low", "high").applyInArrow(run, from_arrow_schema(schema)).distinct()
+    return left.unionByName(right).groupBy("hub", "x", "y").applyInArrow(run, from_arrow_schema(schema)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``row``, ``key`` and ``class`` (the smallest row of a text of its class) of each row of ``df``."""
-    rows = _numbered(df, key, text)
+def _by_hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (``hub``, ``node``) that share a bucket whose hub is the first, and each node's ``best`` hub."""
+    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    hubs = members.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", -F.col("node"))).alias("_top"))
+    hubs = stored(hubs.select("bucket", (-F.col("_top")["col2"]).alias("hub"), F.col("_top.fame").alias("fame")), "hubs")
+    spokes = stored(members.join(hubs, "bucket").where("hub <> node").groupBy("hub", "node").agg(F.max("fame").alias("fame")), "spokes")
+    best = spokes.groupBy("node").agg(F.max(F.struct("fame", -F.col("hub"))).alias("_top")).select("node", (-F.col("_top")["col2"]).alias("hub"))
+    return spokes.select("hub", "node"), best
+
+
+def classes(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row") -> DataFrame:
+    """``row``, ``key`` and ``class`` (the smallest row of a text of its class) of each row of ``rows``, which are
+    ``numbered``."""
+    rows = rows.select(F.col(row).alias("row"), by_name(key).alias("key"), by_name(text).cast("string").alias("text"))
     sketched = stored(sketches(rows), "sketches")
     nodes = stored(sketched.groupBy("digest").agg(F.min(F.when(F.col("sig").isNotNull(), F.col("row"))).alias("node")), "nodes")
     signed = sketched.where("sig is not null").select(F.col("row").alias("node"), "sig").join(nodes.select("node").hint("merge"), "node", "left_semi")
     banded = stored(_banded(signed), "bands")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(banded.join(shared.hint("merge"), "bucket"), "members")
-    pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    few = members.where(F.col("n") <= SMALL).select("bucket", "node")
-    close = few.select("bucket", F.col("node").alias("x")).join(few.select("bucket", F.col("node").alias("y")), "bucket").where("x < y").select(*pairs("x", "y"))
-    many = members.where(F.col("n") > SMALL).select("bucket", "node")
-    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
-    hubs = stored(many.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", -F.col("node"))).alias("_top")).select("bucket", (-F.col("_top")["col2"]).alias("hub")), "hubs")
-    spokes = stored(many.join(hubs, "bucket").select("hub", "node").distinct(), "spokes")
-    first = checkpointed(close.unionByName(spokes.where("hub <> node").select(*pairs("hub", "node"))).distinct())
     sets = stored(_texts_of(rows, members.select("node").distinct()), "shingles")
-    links = checkpointed(_verified(first, sets))
-    found = components(links)
-    # Hubs whose members are in several components: compare these in blocks, the best pairs and then all.
-    tried = first
-    for forest in (True, False):
-        placed = spokes.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    spokes, best = _by_hubs(members)
+    tried = checkpointed(best.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    found = components(checkpointed(_verified(tried, sets)))
+    place = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
+    named = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    apart = spokes.join(named("node"), "node", "left").join(named("hub"), "hub", "left").where(place("node") != place("hub"))
+    more = checkpointed(apart.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = _contracted(found, _verified(more, sets))
+    for own in (True, False):
+        placed = checkpointed(spokes.join(named("node"), "node", "left").select("hub", "node", place("node").alias("component")))
         open_hubs = placed.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("hub")
-        rest = placed.join(open_hubs, "hub", "left_semi").join(signed, "node")
-        more = checkpointed(_block_pairs(rest, forest).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            found, tried = _contracted(found, _verified(more, sets)), tried.unionByName(more)
+        rest = checkpointed(placed.join(open_hubs, "hub", "left_semi"))
+        if rest.isEmpty():
+            break
+        found = _contracted(found, _block_links(stored(rest.join(sets, "node"), "open"), own))
     resolved = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     return sketched.select("row", "key", "digest").join(resolved, "digest").select("row", "key", "class")
 
@@ -341,12 +374,15 @@ def _stays(placed: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ``class_id`` (the smallest key of its class), ``class_size`` and ``kept`` of each row."""
-    placed = stored(classes(df, key, text), "classes")
-    out = placed.join(_stays(placed), "class")
+    row = free_name(df, "row")
+    placed = stored(classes(numbered(df, row), key, text, row), "classes")
+    out = placed.join(stored(_stays(placed), "stays"), "class")  # stored, so that a hot class can be split in the join
     return out.select(F.col("key").alias(key), F.col("_first.key").alias("class_id"), "class_size", (F.col("row") == F.col("_first.row")).alias("kept"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of ``df``, with all its columns; ``df`` should be a table."""
-    stay = checkpointed(_stays(classes(df, key, text)).select(F.col("_first.row").alias("_row")))
-    return df.withColumn("_row", F.monotonically_increasing_id()).join(stay.hint("merge"), "_row", "left_semi").drop("_row")
+    """One row of each class of ``df``, with all its columns."""
+    row = free_name(df, "row")
+    rows = numbered(df, row)
+    stay = checkpointed(_stays(classes(rows, key, text, row)).select(F.col("_first.row").alias(row)))
+    return rows.join(stay.hint("merge"), row, "left_semi").select(*map(by_name, df.columns))

@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.shipping import ship  # noqa: F401
 
@@ -15,18 +17,22 @@ from ..sources.shipping import ship  # noqa: F401
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+#: A file has fewer rows than two to the power of this.
+FILE_ROWS_BITS = 40
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place."""
+    Where the setting is missing, a temporary folder takes its place on a local master and nowhere else."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         done = sc._jsc.sc().getCheckpointDir()
         if done.isDefined():
             return done.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="veilscope-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -50,6 +56,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a column of row numbers that every scan repeats, however it is split: the file's number in the order
+    of paths, then the place in the file. A ``df`` that is not a scan of files is stored first."""
+    try:
+        place = df.select(df.metadataColumn("_metadata").getField("file_path").alias("path"), df.metadataColumn("_metadata").getField("row_index")).select("path")
+    except AnalysisException:
+        return numbered(stored(df, "table"), name)
+    files = sorted(r["path"] for r in place.distinct().collect())  # names of files, which the driver lists anyway
+    at, path, number = (free_name(df, x) for x in ("_row_index", "_file_path", "_file_number"))
+    known = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(files)], f"{path} string, {number} long")
+    meta = df.metadataColumn("_metadata")
+    joined = df.select("*", meta.getField("row_index").alias(at), meta.getField("file_path").alias(path)).join(F.broadcast(known), path)
+    return joined.select(*map(by_name, df.columns), F.expr(f"shiftleft({number}, {FILE_ROWS_BITS}) | {at}").alias(name))
+
+
+def by_name(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema, rows: int = 512) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows, given and returned as lists by column name.
 
