@@ -323,7 +323,8 @@ def _block_links(members: DataFrame, own: bool = False) -> DataFrame:
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return left.unionByName(right).groupBy("hub", "x", "y").applyInArrow(run, from_arrow_schema(schema)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocked = left.unionByName(right).repartition("hub", "x", "y")  # else all blocks of a hub stay in one task
+    return blocked.groupBy("hub", "x", "y").applyInArrow(run, from_arrow_schema(schema)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _by_hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
