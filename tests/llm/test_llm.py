@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from veilscope.llm import chatquotes, exactdedup, htmltext, media, mixing, neardedup, packing, quality, tokenfile, tokens, toxicity  # noqa: E402
+from veilscope.llm.shared import numbered  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 #: Names that the operators use themselves.
@@ -123,17 +124,47 @@ def kneser_ney(grams_by_order, order, gram, size):
     return (c - cut(c) if c else 0) / sum(mates) + sum(map(cut, mates)) / sum(mates) * below
 
 
-def test_model_equals_the_definition(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the cat", "a cat and a dog", "to the hat"]
-    trusted = spark.createDataFrame([("en", t, 1) for t in texts], "lang string, text string, fold int")
-    model = quality.train(trusted)
-    grams = {4: Counter(tuple(s[i : i + 4].tolist()) for t in texts for s in [quality._symbols(t, model.table)] for i in range(len(s) - 3))}
+def units(text):
+    raw = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist()
+    return [0xFFFF] * 3 + raw + [0xFFFF]
+
+
+def test_quality_equals_the_definition(spark, tmp_path):
+    trusted = ["the cat sat on the mat", "the dog sat on the cat", "a cat and a dog", "to the hat", "日本語 \U0001f600 の文", "the mat"] * 3
+    others = ["the cat", "zebra hat", "dog on a mat \U0001f601", "日本の猫", "Ж", "\x00"]
+    rows = [(i, t, "en" if i % 2 else "de", "s") for i, t in enumerate(trusted + others)]
+    documents(spark, rows).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    labels = spark.createDataFrame([(i, 1) for i in range(len(trusted))], "doc_id long, quality int")
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)).alias("f")).collect()}
+    counted = [t for i, t in enumerate(trusted) if fold[i]]
+    grams = {4: Counter(tuple(u[i : i + 4]) for u in map(units, counted) for i in range(len(u) - 3))}
     for order in (3, 2, 1):
         grams[order] = Counter(g[1:] for g in grams[order + 1])
-    for text in ("the cat", "zebra hat", "dog on a mat"):
-        s = quality._symbols(text, model.table)
-        wanted = [np.log(kneser_ney(grams, 4, tuple(s[i : i + 4].tolist()), quality.ALPHABET)) for i in range(len(s) - 3)]
-        assert model.log_probabilities(text) == pytest.approx(wanted, rel=1e-4)
+    size = len(grams[1]) + 1
+
+    def nll(text):
+        u = units(text)
+        return -np.mean([np.log(kneser_ney(grams, 4, tuple(u[i : i + 4]), size)) for i in range(len(u) - 3)])
+
+    wanted = {i: nll(t) for i, t, *_ in rows}
+    held = [np.floor((wanted[i] - 3 / np.sqrt(len(units(t)) - 3)) * 1000) for i, t, *_ in rows if i < len(trusted) and not fold[i]]
+    out = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    for i, t, *_ in rows:
+        n = len(units(t)) - 3
+        limit = sorted(held)[int(np.ceil(0.99 * len(held))) - 1] / 1000 + 0.001 + 0.03 + 3 / np.sqrt(n)  # too few by language
+        assert np.log(out[i]["perplexity"]) == pytest.approx(wanted[i], rel=1e-4)
+        assert np.log(out[i]["threshold"]) == pytest.approx(limit, abs=1e-6)
+        assert out[i]["kept"] == (round(wanted[i], 4) <= round(limit, 4))
+
+
+def test_windows_of_a_long_text_change_nothing(monkeypatch):
+    text = "日本語 \U0001f600 cat " * 50
+    whole = np.concatenate(list(quality._codes(text)))
+    for window in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(quality, "_WINDOW", window)
+        assert np.array_equal(np.concatenate(list(quality._codes(text))), whole)
+    assert len(whole) == len(units(text)) - 3 and not list(quality._codes(""))
 
 
 def test_quality_keeps_trusted_text_and_rejects_junk(spark):
@@ -143,15 +174,16 @@ def test_quality_keeps_trusted_text_and_rejects_junk(spark):
     assert kept[1] >= 0.97 and kept[0] <= 0.35
 
 
-def test_all_trusted_documents_count(spark):
+def test_all_trusted_documents_count(spark, tmp_path):
     rare = F.col("doc_id") % 250 == 0
     docs = spark.range(70_000).select(F.col("id").alias("doc_id")).withColumn("lang", F.when(rare, "rare").otherwise("en")).withColumn("text", F.concat(F.when(rare, "zq ").otherwise("the cat "), F.col("doc_id").cast("string")))
     labels = docs.where("doc_id < 45000").select(F.col("doc_id").cast("int").alias("doc_id"), F.lit(1).alias("quality"))
-    trusted = quality.trusted_sample(docs, labels.unionByName(labels.limit(5)))
-    assert trusted.count() == 45_000 and trusted.where("lang = 'rare'").count() == 180
-    assert trusted.where("fold = 0 and lang = 'rare'").count() >= quality.LEAST_CALIBRATION
-    limits = quality.thresholds(trusted, quality.train(trusted)).where("not every").collect()
-    assert {r["lang"] for r in limits} == {"rare", "en"}
+    docs.write.parquet(str(tmp_path / "t"))
+    rows = numbered(spark.read.parquet(str(tmp_path / "t"))).select("row", F.col("doc_id").alias("key"), "lang", "text")
+    flags = quality.BlockFiles(quality._flags(rows, labels.unionByName(labels.limit(5)).withColumnsRenamed({"doc_id": "key", "quality": "label"}), "key", "label"), "flags")
+    scores = quality.scored(rows, quality.model_of(rows, flags), flags).cache()
+    assert scores.where("fold >= 0").count() == 45_000 and scores.where("fold >= 0 and lang = 'rare'").count() == 180
+    assert {r["lang"] for r in quality.thresholds(scores).where("not every").collect()} == {"rare", "en"}
 
 
 def test_quality_of_odd_tables(spark, odd, empty):

@@ -1,137 +1,180 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Training counts n-grams of ``ORDER`` characters over trusted documents, each partition merging its own before the counts
-are dealt out by n-gram. Lower orders use continuation counts. Discounts come from the counts of counts of each order;
-the probabilities are then built from the lowest order up by joins of the count tables on their contexts and on the
-suffixes of their n-grams, sharded by those keys.
-
-The finished tables are bounded: ``ALPHABET`` symbols (the most frequent characters of the trusted text; the rest share
-one symbol) and at most ``MAX_GRAMS`` n-grams of the highest order. So the model goes to the documents, not the
-documents to the model: it is broadcast in shards, each worker joins the n-grams of a slice of texts with one shard of
-the table after the other, and no text is shuffled.
-
-A document's score is its log perplexity per character, less ``ROOM`` over the root of its length, as short texts
-scatter more. A language's threshold is the ``QUANTILE`` quantile of the scores of trusted documents that were held
-out of the counts, plus ``SLACK``; languages with fewer than ``LEAST_CALIBRATION`` such documents use the threshold of
-all.
-
-All trusted documents are read: three quarters, by a hash of their key, are counted, and the rest are held out. The
-join of texts with labels is by key; before it, a bitmap of hashed keys of a fixed size leaves out most of the other
-texts, so that few of these are shuffled.
+Symbols are UTF-16 code units, so every script has its own and an n-gram of ``ORDER`` = 4 is one 64-bit number; U+FFFF,
+which is no character, stands for the borders of a text.
+
+1. Documents form blocks by their place in their files. Each task counts the n-grams of a block at once, in all its
+   documents and in the trusted ones that are not held out: a row for each n-gram of a block, not of a document.
+2. The trusted counts, summed by n-gram, are the model's counts; lower orders use continuation counts, discounts come
+   from the counts of counts of each order.
+3. The probability of every n-gram that any document has follows from joins of the count tables, sharded by n-gram,
+   context and suffix, from the lowest order up.
+4. Joined back with the blocks' n-grams, each block's probabilities are written as files sorted by block. A task that
+   reads a block's documents again looks its n-grams up there, and so has each document's perplexity.
+
+Texts are never shuffled, nothing is broadcast, and neither the model nor the alphabet has a limit; what a task holds is
+the n-grams of a block (``BLOCK_ROWS`` documents).
+
+A document's score is its log perplexity per symbol, less ``ROOM`` over the root of its length, as short texts scatter
+more. A language's threshold is the ``QUANTILE`` quantile of the scores of trusted documents that were held out of the
+counts (a quarter, by a hash of the key), plus ``SLACK``; languages with fewer than ``LEAST_CALIBRATION`` such documents
+use the threshold of all.
 
 Cases: null, empty and blank texts have no score and are rejected; a null language uses the threshold of all; repeated
-rows are scored alike; texts of any length are scored whole, in slices; without trusted text every document
-with a text is kept; an empty table gives an empty result.
+rows are scored alike; a text of any length is scored as one sequence, read in windows that carry their context; a
+character that trusted text lacks has what its context leaves to the uniform distribution; without trusted text every
+document with a text is kept; an empty table gives an empty result; further columns of any name come along untouched.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema, to_arrow_type
 
-from .shared import stored
+from .shared import by_name, free_name, numbered, shared_dir, stored
 
 ORDER = 4
-ALPHABET = 96
-MAX_GRAMS = 2_000_000
 QUANTILE, SLACK, ROOM = 0.99, 0.03, 3.0
 LEAST_CALIBRATION = 30
-SHARDS = 8
-#: The bitmap of trusted keys, by chunks of so many words of 64 bits.
-KEY_BITS, CHUNK = 2**25, 64
-#: Symbols whose n-grams a task merges at once.
-AT_ONCE = 2_000_000
-#: Symbols 0 and 1: the border before and after a text, and every character outside the alphabet.
-_BORDER, _OTHER = 0, 1
-_SLICE = 1_000_000
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def _symbols(text: str, table: np.ndarray) -> np.ndarray:
-    """Symbols of a text, with borders before it and one after it."""
-    points = _points(text)
-    out = np.zeros(len(points) + ORDER, np.int64)
-    out[ORDER - 1 : -1] = table[np.minimum(points, len(table) - 1)]
-    return out
-
-
-def _grams(symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Codes of all n-grams, the first symbol most significant; one for each symbol after the leading borders."""
-    n = len(symbols) - ORDER + 1
-    code = np.zeros(n, np.int64)
-    for k in range(ORDER - order, ORDER):
-        code = code * ALPHABET + symbols[k : k + n]
-    return code
-
-
-def _perhaps(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be one of ``keys``: all that are, and those that share a bit of the bitmap with one."""
-    bit = F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(KEY_BITS))
-    places = {"_chunk": F.expr(f"_bit div {64 * CHUNK}"), "_word": F.expr(f"_bit div 64 % {CHUNK}").cast("int"), "_bit": (F.col("_bit") % 64).cast("int")}
-    words = keys.select(bit.alias("_bit")).withColumns(places).groupBy("_chunk", "_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
-    chunks = words.groupBy("_chunk").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
-    bitmap = chunks.select("_chunk", F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long"))).alias("_words"))
-    found = rows.withColumn("_bit", bit).withColumns(places).join(F.broadcast(bitmap), "_chunk")  # KEY_BITS bits
-    return found.where("shiftrightunsigned(_words[_word], _bit) & 1 = 1").select(*rows.columns)
-
-
-def trusted_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
-    """``lang``, ``text`` and ``fold`` of all trusted documents."""
-    mark = F.xxhash64(F.col(key), F.lit(17))
-    keys = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).cast(docs.schema[key].dataType).alias(key)).distinct()
-    full = docs.select(key, F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
-    return stored(_perhaps(full, keys, key).join(keys.hint("merge"), key).select("lang", "text", F.pmod(mark, F.lit(4)).alias("fold")), "trusted")
-
-
-def _alphabet(trusted: DataFrame) -> np.ndarray:
-    """Symbol by code point; the last entry stands for all code points beyond."""
-    schema = pa.schema([("point", pa.int64()), ("n", pa.int64())])
+#: Documents of a block: two to the power of this.
+BLOCK_BITS = 13
+#: Symbols whose n-grams are sorted at once, and n-grams of a block that a task holds before it hands them on.
+AT_ONCE, MOST_HELD = 4_000_000, 8_000_000
+#: Blocks whose probabilities are in one folder, two to the power of this; row groups of a folder's files hold one block.
+FOLDER_BITS = 6
+ROW_GROUP = 256 * 1024
+#: Bits of a symbol, and the symbol before and after a text.
+_BITS, _BORDER = 16, 0xFFFF
+_WINDOW = 1_000_000
+
+
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """Codes of the n-grams that end at each symbol of a text and at its end, the first symbol most significant."""
+    for at in range(0, len(text), _WINDOW):
+        before = text[max(0, at - ORDER + 1) : at].encode("utf-16-le", "surrogatepass")[-2 * (ORDER - 1) :]
+        units = np.frombuffer(before + text[at : at + _WINDOW].encode("utf-16-le", "surrogatepass"), "<u2")
+        lead = ORDER - 1 - len(before) // 2
+        symbols = np.full(lead + len(units) + (at + _WINDOW >= len(text)), _BORDER, np.uint64)
+        symbols[lead : lead + len(units)] = units
+        n = len(symbols) - ORDER + 1
+        code = np.zeros(n, np.uint64)
+        for k in range(ORDER):
+            code = code << np.uint64(_BITS) | symbols[k : k + n]
+        yield code.view(np.int64)
+
+
+def _blank(text: str | None) -> bool:
+    return not text or not text.strip()
+
+
+class BlockFiles:
+    """A table with a ``block`` column, written so that a task can read the rows of one block."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        self.names = [c for c in df.columns if c != "block"]
+        dealt = df.withColumn("folder", F.expr(f"shiftright(block, {FOLDER_BITS})")).repartition("folder", "block").sortWithinPartitions("folder", "block", self.names[0])
+        dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("folder").parquet(self.path)
+
+    def read(self, block: int) -> list[np.ndarray]:
+        """The columns of a block's rows, in the order of the first."""
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(self.path)
+        folder = f"{root}/folder={block >> FOLDER_BITS}"
+        if files.get_file_info(folder).type == fs.FileType.NotFound:
+            return [np.zeros(0, np.int64) for _ in self.names]
+        table = ds.dataset(folder, filesystem=files, format="parquet").to_table(columns=self.names, filter=ds.field("block") == block)
+        columns = [table[c].to_numpy() for c in self.names]
+        by = np.argsort(columns[0], kind="stable")
+        return [c[by] for c in columns]
+
+
+def _flags(rows: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``block``, ``row`` and ``fold`` (0: held out) of the trusted documents among the numbered ``rows``."""
+    trusted = labels.where((F.col(label) == 1) & by_name(key).isNotNull()).select(by_name(key).cast(rows.schema[key].dataType).alias("key")).distinct()
+    marked = rows.select("row", by_name(key).alias("key")).join(trusted.hint("merge"), "key")
+    return marked.select(F.expr(f"shiftright(row, {BLOCK_BITS})").alias("block"), "row", F.pmod(F.xxhash64("key", F.lit(17)), F.lit(4)).cast("long").alias("fold"))
+
+
+class _ByBlock:
+    """The rows of one block file after the other, as the blocks come."""
+
+    def __init__(self, files: BlockFiles):
+        self.files, self.block, self.columns = files, None, []
+
+    def of(self, block: int) -> list[np.ndarray]:
+        if block != self.block:
+            self.block, self.columns = block, self.files.read(block)
+        return self.columns
+
+
+def _folds(flags: _ByBlock, row: int) -> int:
+    """The fold of a row, -1 if it is not trusted."""
+    rows, folds = flags.of(row >> BLOCK_BITS)
+    at = np.searchsorted(rows, row)
+    return int(folds[at]) if at < len(rows) and rows[at] == row else -1
+
+
+class _Grams:
+    """Distinct n-grams of a block, with their number in the texts that count."""
+
+    def __init__(self):
+        self.codes, self.counts, self.fresh, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), {True: [], False: []}, 0
+
+    def add(self, code: np.ndarray, counted: bool) -> None:
+        self.fresh[counted].append(code)
+        self.size += len(code)
+        if self.size >= AT_ONCE:
+            self.merge()
+
+    def merge(self) -> None:
+        codes, counts = [self.codes], [self.counts]
+        for counted, fresh in self.fresh.items():
+            if fresh:
+                found, times = np.unique(np.concatenate(fresh), return_counts=True)
+                codes.append(found)
+                counts.append(times if counted else np.zeros(len(found), np.int64))
+        self.codes, at = np.unique(np.concatenate(codes), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate(counts), len(self.codes)).astype(np.int64)
+        self.fresh, self.size = {True: [], False: []}, 0
+
+
+def count(rows: DataFrame, flags: BlockFiles) -> DataFrame:
+    """``block``, ``gram`` and ``n``: the n-grams of each block, and how often counted documents have them."""
+    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                points, counts = np.unique(_points(t), return_counts=True)
-                total.update(dict(zip(points.tolist(), counts.tolist(), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], schema=schema)
-
-    top = trusted.select("text").mapInArrow(run, from_arrow_schema(schema)).groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(ALPHABET - 2).collect()
-    table = np.full(max((r["point"] for r in top), default=0) + 2, _OTHER, np.int64)
-    for i, r in enumerate(top):
-        table[r["point"]] = i + 2
-    return table
-
+        trusted, block, held = _ByBlock(flags), None, _Grams()
 
-def _counts(trusted: DataFrame, table: np.ndarray) -> DataFrame:
-    """(gram, n) of the highest order."""
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+        def leave() -> Iterator[pa.RecordBatch]:
+            held.merge()
+            for at in range(0, len(held.codes), 100_000):
+                codes = held.codes[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), block)), pa.array(codes), pa.array(held.counts[at : at + 100_000])], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(codes: list[np.ndarray]) -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate(codes), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], schema=schema)
-
-        codes, size = [], 0
         for batch in batches:
-            for t in batch.column(0):
-                codes.append(_grams(_symbols(t.as_py(), table)))
-                size += len(codes[-1])
-                if size >= AT_ONCE:
-                    yield merged(codes)
-                    codes, size = [], 0
-        if codes:
-            yield merged(codes)
-
-    return trusted.select("text").mapInArrow(run, from_arrow_schema(schema)).groupBy("gram").agg(F.sum("n").alias("n"))
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if row >> BLOCK_BITS != block or len(held.codes) > MOST_HELD:
+                    if block is not None:
+                        yield from leave()
+                    block, held = row >> BLOCK_BITS, _Grams()
+                text = text.as_py()
+                if not _blank(text):
+                    counted = _folds(trusted, row) > 0
+                    for code in _codes(text):
+                        held.add(code, counted)
+        if block is not None:
+            yield from leave()
+
+    return rows.select("row", "text").mapInArrow(run, from_arrow_schema(schema))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -145,141 +188,129 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """Rows (order, gram, logp, backoff): the log probability of a seen n-gram's last symbol after the others, and the
-    log weight that its context leaves to lower orders; contexts are coded as n-grams of their own order."""
-    table = _alphabet(trusted.where("fold > 0"))
-    tables = {ORDER: stored(_counts(trusted.where("fold > 0"), table), "grams")}
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many ways an n-gram can be begun
-        tables[order] = stored(tables[order + 1].groupBy((F.col("gram") % ALPHABET**order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
-    lower, out = None, None
+def _suffix(order: int) -> str:
+    """A gram's last ``order`` symbols, as SQL."""
+    return f"gram & {(1 << _BITS * order) - 1}L"
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """``gram`` and ``logp``, the log probability of its last symbol after the others, of each row of ``grams`` (``gram``
+    and ``n``, how often it was counted).
+
+    The tables are sharded by n-gram, by context and by suffix. An n-gram that was not counted has the probability of
+    its suffix times what its context leaves to lower orders, all of it if the context was not counted either."""
+    asked, seen = {ORDER: grams.select("gram")}, {ORDER: grams.where("n > 0")}
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.expr(_suffix(order)).alias("gram")
+        asked[order] = stored(asked[order + 1].select(suffix).distinct(), "asked")
+        # Continuation counts: in how many ways an n-gram can be begun.
+        seen[order] = stored(seen[order + 1].groupBy(suffix).agg(F.count(F.lit(1)).alias("n")), "seen")
+    symbols = seen[1].count() + 1  # and one that was never seen
+    lower = None
     for order in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(tables[order])
+        d1, d2, d3 = _discounts(seen[order])
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        contexts = tables[order].withColumn("context", F.expr(f"gram div {ALPHABET}")).groupBy("context").agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("left"))
-        seen = tables[order].withColumn("context", F.expr(f"gram div {ALPHABET}")).join(contexts, "context")
-        own = (F.col("n") - cut) / F.col("total")
+        context = F.expr(f"shiftrightunsigned(gram, {_BITS})").alias("context")
+        # The sums by context are made of partial sums, and a context's rows are not gathered.
+        contexts = stored(seen[order].select(context, "n", cut.alias("cut")).groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left")), "contexts")
+        own = asked[order].join(seen[order].select("gram", ((F.col("n") - cut)).alias("more")), "gram", "left")
         if order == 1:
-            level = seen.select("gram", "n", (own + F.col("left") / ALPHABET).alias("p"))
+            total = contexts.first()
+            total, left = (total["total"], total["left"]) if total else (1, 1.0)
+            level = own.select("gram", ((F.coalesce("more", F.lit(0.0)) + F.lit(left / symbols)) / F.lit(float(total))).alias("p"))
         else:
-            suffix = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
-            level = seen.withColumn("suffix", F.col("gram") % ALPHABET ** (order - 1)).join(suffix, "suffix").select("gram", "n", (own + F.col("left") * F.col("below")).alias("p"))
-        level = stored(level, "level")
-        kept = level if order < ORDER else level.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS)
-        rows = kept.select(F.lit(order).alias("order"), "gram", F.log("p").alias("value")).unionByName(contexts.select(F.lit(-order).alias("order"), F.col("context").alias("gram"), F.log("left").alias("value")))
-        out, lower = rows if out is None else out.unionByName(rows), level
-    return Model.of(table, stored(out, "model"))
-
-
-class Model:
-    """The tables as arrays: a dense one for all n-grams below the highest order, and shards of sorted codes."""
-
-    def __init__(self, table: np.ndarray, dense: np.ndarray, leave: np.ndarray, shards: list[tuple[np.ndarray, np.ndarray]]):
-        self.table, self.dense, self.leave, self.shards = table, dense, leave, shards
-
-    @classmethod
-    def of(cls, table: np.ndarray, rows: DataFrame) -> Model:
-        """Collects at most MAX_GRAMS n-grams and the ``ALPHABET ** (ORDER - 1)`` entries of each lower table."""
-
-        def arrays(order: int) -> tuple[np.ndarray, np.ndarray]:
-            part = rows.where(F.col("order") == order).select("gram", "value").toArrow()
-            gram, value = part["gram"].to_numpy(), part["value"].to_numpy()
-            by = np.argsort(gram)
-            return gram[by], value[by].astype(np.float32)
-
-        dense = np.full(ALPHABET, -np.log(ALPHABET), np.float32)
-        for order in range(1, ORDER):
-            contexts, left = arrays(-order)
-            leave = np.zeros(ALPHABET ** (order - 1), np.float32)
-            leave[contexts] = left
-            suffix = dense if order > 1 else np.full(ALPHABET, -np.log(ALPHABET), np.float32)
-            wide = np.tile(suffix, ALPHABET) if order > 1 else suffix
-            dense = wide + np.repeat(leave, ALPHABET)
-            gram, value = arrays(order)
-            dense[gram] = value
-        contexts, left = arrays(-ORDER)
-        leave = np.zeros(ALPHABET ** (ORDER - 1), np.float32)
-        leave[contexts] = left
-        gram, value = arrays(ORDER)
-        cuts = np.array_split(np.arange(len(gram)), SHARDS)
-        return cls(table, dense.astype(np.float32), leave, [(gram[c], value[c]) for c in cuts if len(c)])
-
-    def log_probabilities(self, text: str) -> np.ndarray:
-        """Of each character of a text and of its end."""
-        symbols = _symbols(text, self.table)
-        grams = _grams(symbols)
-        out = self.leave[grams // ALPHABET] + self.dense[grams % ALPHABET ** (ORDER - 1)]
-        for codes, values in self.shards:  # the join with one shard after the other
-            mine = np.flatnonzero((grams >= codes[0]) & (grams <= codes[-1])) if len(self.shards) > 1 else np.arange(len(grams))
-            at = np.searchsorted(codes, grams[mine])
-            hit = codes[np.minimum(at, len(codes) - 1)] == grams[mine]
-            out[mine[hit]] = values[at[hit]]
-        return out
-
-    def score(self, text: str | None) -> tuple[float | None, int]:
-        """Log perplexity per character, and the number of characters."""
-        if not text or not text.strip():
-            return None, 0
-        total, n = 0.0, 0
-        for at in range(0, len(text), _SLICE):
-            p = self.log_probabilities(text[at : at + _SLICE])
-            total, n = total - float(p.sum(dtype=np.float64)), n + len(p)
-        return round(total / n, 6), n
-
-
-def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``_nll`` (log perplexity) and ``_chars``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text)
-    schema = to_arrow_schema(df.schema)
-    for field in (pa.field("_nll", pa.float64()), pa.field("_chars", pa.int64())):
-        schema = schema.append(field)
+            parts = own.withColumn("suffix", F.expr(_suffix(order - 1))).withColumn("context", context)
+            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.coalesce("more", F.lit(0.0)) + F.col("left") * F.col("below")) / F.col("total"))
+            level = parts.join(contexts, "context", "left").join(below, "suffix").select("gram", p.alias("p"))
+        lower = stored(level, "level")
+    return lower.select("gram", F.log("p").cast("float").alias("logp"))
+
+
+def score(text: str | None, grams: np.ndarray, logp: np.ndarray) -> tuple[float | None, int]:
+    """Log perplexity per symbol of a text, and the number of its symbols and its end."""
+    if _blank(text):
+        return None, 0
+    total, n = 0.0, 0
+    for code in _codes(text):
+        total -= float(logp[np.searchsorted(grams, code)].sum(dtype=np.float64))
+        n += len(code)
+    return round(total / n, 6), n
+
+
+def scored(rows: DataFrame, model: BlockFiles, flags: BlockFiles) -> DataFrame:
+    """``row``, ``key``, ``lang``, ``nll`` (log perplexity), ``chars`` and ``fold`` (-1: not trusted)."""
+    schema = pa.schema([("row", pa.int64()), ("key", to_arrow_type(rows.schema["key"].dataType)), ("lang", pa.string()), ("nll", pa.float64()), ("chars", pa.int64()), ("fold", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, trusted = _ByBlock(model), _ByBlock(flags)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                nll, n = zip(*map(shared.value.score, part.column(at).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nll, pa.float64()), pa.array(n, pa.int64())], names=schema.names)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                places = part.column(0).to_pylist()
+                nll, chars = zip(*(score(t.as_py(), *known.of(r >> BLOCK_BITS)) for r, t in zip(places, part.column(3), strict=True)), strict=True)
+                folds = [_folds(trusted, r) for r in places]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nll, pa.float64()), pa.array(chars, pa.int64()), pa.array(folds, pa.int64())], schema=schema)
 
-    return df.mapInArrow(run, from_arrow_schema(schema))
+    return rows.select("row", "key", "lang", "text").mapInArrow(run, from_arrow_schema(schema))
 
 
-def thresholds(trusted: DataFrame, model: Model) -> DataFrame:
-    """(lang, limit, scatter) from the held-out trusted documents; the row of all languages has ``every`` set.
+def thresholds(scores: DataFrame) -> DataFrame:
+    """(lang, limit) from the held-out trusted documents; the row of all languages has ``every`` set.
 
     Quantiles are exact on scores in steps of 0.001, counted by step, so no group is gathered."""
-    held = scored(trusted.where("fold = 0"), model).where("_nll is not null").select("lang", F.floor((F.col("_nll") - ROOM / F.sqrt("_chars")) * 1000).alias("step"))
+    held = scores.where("fold = 0 and nll is not null").select("lang", F.floor((F.col("nll") - ROOM / F.sqrt("chars")) * 1000).alias("step"))
     both = held.withColumn("every", F.lit(False)).unionByName(held.select(F.lit(None).cast("string").alias("lang"), "step", F.lit(True).alias("every")))
     counted = both.where("every or lang is not null").groupBy("every", "lang", "step").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("every", "lang")
     ranked = counted.withColumn("_all", F.sum("n").over(w)).withColumn("_upto", F.sum("n").over(w.orderBy("step")))
     found = ranked.where(F.col("_upto") >= QUANTILE * F.col("_all")).groupBy("every", "lang").agg((F.min("step") / 1000 + 0.001).alias("limit"), F.max("_all").alias("_all"))
     return stored(found.where((F.col("_all") >= LEAST_CALIBRATION) | F.col("every")).select("every", "lang", (F.col("limit") + SLACK).alias("limit")), "limits")
 
 
-def judged(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
-    """``df`` with ``_nll``, ``_chars``, ``_limit`` and ``_kept``."""
-    trusted = trusted_sample(df, labels, key, text, lang, label)
-    model = train(trusted)
-    limits = thresholds(trusted, model)
+def model_of(rows: DataFrame, flags: BlockFiles) -> BlockFiles:
+    """The n-grams of each block of ``rows`` (``row``, ``text``) with their log probabilities."""
+    counted = stored(count(rows, flags), "counts")
+    grams = stored(counted.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    # Two tasks may hold parts of a block; an n-gram that both have is then in its files twice, alike.
+    return BlockFiles(counted.select("gram", "block").join(probabilities(grams).hint("merge"), "gram"), "model")
+
+
+def judged(rows: DataFrame, labels: DataFrame, key: str, text: str, lang: str, label: str, row: str) -> DataFrame:
+    """``row``, ``key``, ``lang``, ``nll``, ``chars``, ``limit`` and ``kept`` of each of the numbered ``rows``."""
+    narrow = rows.select(by_name(row).alias("row"), by_name(key).alias("key"), by_name(lang).cast("string").alias("lang"), by_name(text).cast("string").alias("text"))
+    flags = BlockFiles(_flags(narrow, labels.select(by_name(key).alias("key"), by_name(label).alias("label")), "key", "label"), "flags")
+    scores = stored(scored(narrow, model_of(narrow, flags), flags), "scores")
+    limits = thresholds(scores)
     overall = limits.where("every").select("limit").collect()  # one row at most
     overall = overall[0]["limit"] if overall else float("inf")
-    own = limits.where("not every").select(F.col("lang").alias("_lang"), F.col("limit").alias("_own"))
-    joined = scored(df, model, text).join(own, F.col(lang) == F.col("_lang"), "left").drop("_lang")
-    limit = F.coalesce("_own", F.lit(overall))
-    limit = limit + ROOM / F.sqrt(F.greatest(F.col("_chars"), F.lit(1)))
-    return joined.withColumn("_limit", limit).withColumn("_kept", F.coalesce(F.col("_nll") <= F.col("_limit"), F.lit(False))).drop("_own")
+    limit = F.coalesce("limit", F.lit(overall)) + ROOM / F.sqrt(F.greatest(F.col("chars"), F.lit(1)))
+    joined = scores.join(limits.where("not every").select("lang", "limit"), "lang", "left").withColumn("limit", limit)
+    return joined.withColumn("kept", F.coalesce(F.col("nll") <= F.col("limit"), F.lit(False)))
 
 
-def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Key, ``lang``, ``perplexity`` per character, ``threshold`` and ``kept`` of each row."""
-    rows = judged(df.select(key, lang, text), labels, key, text, lang)
-    return rows.select(key, lang, F.exp("_nll").alias("perplexity"), F.exp("_limit").alias("threshold"), F.col("_kept").alias("kept"))
+def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
+    """Key, ``lang``, ``perplexity`` per symbol, ``threshold`` and ``kept`` of each row."""
+    row = free_name(df, "row")
+    out = judged(numbered(df, row), labels, key, text, lang, label, row)
+    return out.select(F.col("key").alias(key), F.col("lang").alias(lang), F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), "kept")
 
 
-def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
     """The rows of ``df`` that pass, with all their columns."""
-    return judged(df, labels, key, text, lang).where("_kept").select(*df.columns)
+    row = free_name(df, "row")
+    rows = numbered(df, row)
+    good = judged(rows, labels, key, text, lang, label, row).where("kept")
+    kept = BlockFiles(good.select(F.expr(f"shiftright(row, {BLOCK_BITS})").alias("block"), "row"), "kept")
+    schema, at = to_arrow_schema(rows.schema), rows.columns.index(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _ByBlock(kept)
+        for batch in batches:
+            places = batch.column(at).to_numpy()
+            good = np.zeros(len(places), bool)
+            for block in np.unique(places >> BLOCK_BITS):
+                good |= np.isin(places, files.of(int(block))[0])
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=schema).filter(pa.array(good))
+
+    return rows.mapInArrow(run, from_arrow_schema(schema)).select(*map(by_name, df.columns))
