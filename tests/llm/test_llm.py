@@ -358,6 +358,39 @@ def test_best_fit():
     assert all(fills[b] >= o + n for b, o, n in zip(bins, offsets, [5, 4, 3, 2, 6], strict=True))
 
 
+def test_runs_are_packed_like_single_items():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        capacity = 40
+        classes = [(int(f), int(n)) for f, n in zip(rng.integers(1, capacity + 1, 12), rng.integers(1, 6, 12), strict=True)]
+        merged = packing.merge_runs([packing.Run(f, n, [(i, f, 0, 0)]) for i, (f, n) in enumerate(classes)], capacity)
+        _, _, fills = packing.best_fit([f for f, n in classes for _ in range(n)], capacity)
+        assert sorted(f for r in merged for f in [r.fill] * r.count) == sorted(fills)
+        seen = set()
+        for r in merged:
+            assert sum(f for _, f, _, _ in r.parts) == r.fill <= capacity
+            assert [o for *_, o in r.parts] == np.cumsum([0, *[f for _, f, _, _ in r.parts]])[:-1].tolist()
+            for i, _, first, _ in r.parts:
+                assert not seen & (own := {(i, k) for k in range(first, first + r.count)})
+                seen |= own
+        assert seen == {(i, k) for i, (_, n) in enumerate(classes) for k in range(n)}
+
+
+def test_no_underfull_bin_is_left_out(spark, tmp_path):
+    """Pieces of 1,100 tokens of one partition are joined by what other partitions could not place."""
+    plain = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False)
+    words = lambda n: " ".join(["a"] * (n - 1))
+    assert len(plain.encode([words(1100)])[0]) == 4 * 1099
+    for part, (first, count, size) in enumerate([(0, 900, 1100), *[(900 + i, 1, 900) for i in range(40)]]):
+        spark.createDataFrame([(first + k, words(size)) for k in range(count)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t" / f"part={part}"))
+    docs = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "t"))
+    out = packing.pack(docs, tokens.vocabulary("word_bpe_49k.json")).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r["sequence_id"]] += r["length"]
+    assert len(out) == 940 and Counter(sizes.values()) == {1100: 860, 2000: 40}
+
+
 def check_packing(rows, ids):
     sequences, lengths = defaultdict(list), Counter()
     for r in rows:

@@ -28,7 +28,6 @@ document with a text is kept; an empty table gives an empty result; further colu
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema, to_arrow_type
 
-from .shared import by_name, free_name, numbered, shared_dir, stored
+from .shared import BlockFiles, by_name, free_name, numbered, stored
 
 ORDER = 4
 QUANTILE, SLACK, ROOM = 0.99, 0.03, 3.0
@@ -45,10 +44,7 @@ LEAST_CALIBRATION = 30
 #: Documents of a block: two to the power of this.
 BLOCK_BITS = 13
 #: Symbols whose n-grams are sorted at once, and n-grams of a block that a task holds before it hands them on.
-AT_ONCE, MOST_HELD = 4_000_000, 8_000_000
-#: Blocks whose probabilities are in one folder, two to the power of this; row groups of a folder's files hold one block.
-FOLDER_BITS = 6
-ROW_GROUP = 256 * 1024
+AT_ONCE, MOST_HELD = 2_000_000, 8_000_000
 #: Bits of a symbol, and the symbol before and after a text.
 _BITS, _BORDER = 16, 0xFFFF
 _WINDOW = 1_000_000
@@ -73,30 +69,6 @@ def _blank(text: str | None) -> bool:
     return not text or not text.strip()
 
 
-class BlockFiles:
-    """A table with a ``block`` column, written so that a task can read the rows of one block."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-        self.names = [c for c in df.columns if c != "block"]
-        dealt = df.withColumn("folder", F.expr(f"shiftright(block, {FOLDER_BITS})")).repartition("folder", "block").sortWithinPartitions("folder", "block", self.names[0])
-        dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("folder").parquet(self.path)
-
-    def read(self, block: int) -> list[np.ndarray]:
-        """The columns of a block's rows, in the order of the first."""
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(self.path)
-        folder = f"{root}/folder={block >> FOLDER_BITS}"
-        if files.get_file_info(folder).type == fs.FileType.NotFound:
-            return [np.zeros(0, np.int64) for _ in self.names]
-        table = ds.dataset(folder, filesystem=files, format="parquet").to_table(columns=self.names, filter=ds.field("block") == block)
-        columns = [table[c].to_numpy() for c in self.names]
-        by = np.argsort(columns[0], kind="stable")
-        return [c[by] for c in columns]
-
-
 def _flags(rows: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """``block``, ``row`` and ``fold`` (0: held out) of the trusted documents among the numbered ``rows``."""
     trusted = labels.where((F.col(label) == 1) & by_name(key).isNotNull()).select(by_name(key).cast(rows.schema[key].dataType).alias("key")).distinct()

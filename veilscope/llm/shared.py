@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: A file has fewer rows than two to the power of this.
 FILE_ROWS_BITS = 40
+#: Blocks of a folder of ``BlockFiles``, two to the power of this, and bytes of a row group of its files.
+FOLDER_BITS = 6
+ROW_GROUP = 256 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,3 +102,27 @@ def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, from_arrow_schema(schema))
+
+
+class BlockFiles:
+    """A table with a ``block`` column, written so that a task can read the rows of one block."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.path = fresh_path(df.sparkSession, name)
+        self.names = [c for c in df.columns if c != "block"]
+        dealt = df.withColumn("folder", F.expr(f"shiftright(block, {FOLDER_BITS})")).repartition("folder", "block").sortWithinPartitions("folder", "block", self.names[0])
+        dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("folder").parquet(self.path)
+
+    def read(self, block: int) -> list[np.ndarray]:
+        """The columns of a block's rows, in the order of the first."""
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(self.path)
+        folder = f"{root}/folder={block >> FOLDER_BITS}"
+        if files.get_file_info(folder).type == fs.FileType.NotFound:
+            return [np.zeros(0, np.int64) for _ in self.names]
+        table = ds.dataset(folder, filesystem=files, format="parquet").to_table(columns=self.names, filter=ds.field("block") == block)
+        columns = [table[c].to_numpy() for c in self.names]
+        by = np.argsort(columns[0], kind="stable")
+        return [c[by] for c in columns]
