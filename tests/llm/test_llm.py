@@ -96,6 +96,36 @@ def test_threads_equal_sql(spark, tmp_path):
     compare(spark, "op1_chatquotes", SMALL)
 
 
+def test_a_large_quoted_table_equals_sql(spark, tmp_path):
+    """Thousands of messages with quotes at several depths; most quotes are of the first message."""
+    from oracle import compare
+
+    rng, rows = np.random.default_rng(12), []
+    for conv in range(40):
+        said = []
+        for turn in range(4 if conv else 1200):
+            own = [f"{' '.join(rng.choice(['alpha', 'beta', 'gamma', 'delta'], 5))} number {turn}{rng.choice(['.', '!', '?'])}" for _ in range(int(rng.integers(1, 4)))]
+            if rng.random() < 0.2:
+                own = [str(rng.choice(["ok", "no way", "yes."]))]
+            lines = [] if rng.random() < 0.8 else ["On Monday, Ann wrote:"]
+            for _ in range(int(rng.integers(0, 3)) if said else 0):
+                quoted = said[0] if rng.random() < 0.7 else said[int(rng.integers(len(said)))]
+                mark = str(rng.choice(["> ", ">> ", "> > > "]))
+                lines += [mark + x for x in (quoted if rng.random() < 0.6 else quoted[:1])]
+            said.append(own)
+            rows.append((conv, turn, str(rng.choice(["a", "b"])), "\n".join([*lines, *own])))
+    talk(spark, rows).coalesce(1).toPandas().to_parquet(tmp_path / "conversations.parquet")
+    compare(spark, "op1_chatquotes", str(tmp_path))
+    out = chatquotes.threaded(talk(spark, rows)).agg(F.sum("linked"), F.count("reply_to"), F.sum((F.col("reply_to") == 0).cast("int"))).first()
+    assert out[0] > 900 and out[1] > 700 and out[2] > 200
+
+
+def test_a_message_replies_by_its_outermost_quotes(spark):
+    rows = [(1, 0, "a", "The first of all messages here"), (1, 1, "b", "And this is the second message"), (1, 2, "c", ">> The first of all messages here\nyes"), (1, 3, "c", "> > The first of all messages here\n> And this is the second message\nno")]
+    out = {r["turn"]: r["reply_to"] for r in chatquotes.threaded(talk(spark, rows)).collect()}
+    assert out == {0: None, 1: None, 2: 0, 3: 1}
+
+
 def test_a_deep_thread_keeps_its_order(spark):
     rows = [(1, t, "u", f"This is message number {t} of all.\n" + (f"> This is message number {t - 1} of all." if t else "")) for t in range(40)]
     out = sorted(chatquotes.threaded(talk(spark, rows)).collect(), key=lambda r: r["turn"])
@@ -270,8 +300,15 @@ def test_exact_dedup_of_odd_tables(odd, empty):
     assert exactdedup.dedup(empty).collect() == []
 
 
+def test_a_shard_holds_a_fixed_number_of_digests(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "LIVE_DIGESTS", 10)
+    rows = spark.range(600).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 150).cast("string")).alias("text")).repartition(3)
+    out = exactdedup.build_index(exactdedup.digests(rows)).collect()
+    assert len(out) == 150 and {(r["row"], r["size"]) for r in out} == {(i, 4) for i in range(150)}
+
+
 def test_the_index_is_updated(spark):
-    rows = lambda *ts: exactdedup.digests(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string"))
+    rows = lambda *ts: exactdedup.digests(spark.createDataFrame([(i, i, t) for i, t in enumerate(ts)], "row long, doc_id long, text string"))
     index = exactdedup.build_index(rows("a", "b", "b ", "c"))
     sizes = lambda df: sorted(r["size"] for r in df.collect())
     assert sizes(index) == [1, 1, 2]
@@ -293,6 +330,45 @@ def test_toxicity_finds_unseen_misspellings():
     assert score("word " * 60_000 + "worthless pathetic") >= 0.7
 
 
+def plain_margin(text, weight, bias):
+    """The worst window straight from the definition: words, their n-grams with borders, means of overlapping windows."""
+    import re
+
+    mult, base, full = 0x9E3779B97F4A7C15, 1_000_003, 2**64
+    words = re.findall("[a-z0-9\u00e0-\uffff]+", text.lower())
+    bags = []
+    for word in words:
+        points = [0, *map(ord, word), 0]
+        bag = []
+        for size in (3, 4, 5, 6):
+            for at in range(len(points) - size + 1):
+                code = 0
+                for x in points[at : at + size]:
+                    code = (code * base + x) % full
+                bag.append(((code + size) * mult % full) >> 48)
+        whole = sum(((x + 1) * (2 * k + 1) * mult % full) ^ (x * base % full) for k, x in enumerate(points[1:-1])) % full
+        bags.append([*bag, (whole * mult % full) >> 48])
+    tops = []
+    for begin in range(0, max(1, len(words) - 2), 2):
+        window = [weight[b] for bag in bags[begin : begin + 4] for b in bag]
+        if window:
+            tops.append(float(np.mean(window)))
+    return max(tops, default=0.0) + bias
+
+
+@pytest.mark.parametrize("size", [None, 7, 40, 333])
+def test_scores_equal_the_definition(monkeypatch, size):
+    rng = np.random.default_rng(1)
+    weight = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+    letters = list("abcdeé日x1")
+    texts = ["", "a", "ab cd", "one, two; three!", " " * 500 + "late", "x" * 700 + " y z"]
+    texts += [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(n)) for n in (3, 4, 5, 6, 7, 50, 151)]
+    if size:
+        monkeypatch.setattr(toxicity, "_SLICE_CHARS", size)
+    for text in texts:
+        assert toxicity.margins(text, weight, 0.5) == pytest.approx(plain_margin(text, weight, 0.5), abs=1e-5)
+
+
 def test_toxicity_of_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (7, 0), (None, 1)], "doc_id long, toxic int")
     out = toxicity.classify(odd, labels).collect()
@@ -435,6 +511,39 @@ def test_direct_codes_give_any_id(ids):
         codes[len(ids)]
 
 
+def test_single_ids_are_read_from_a_file(tmp_path):
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.integers(0, 2 ** int(bits), 700) for bits in rng.integers(1, 33, 9)]).astype(np.uint32)
+    data = tokenfile.write_file([5, None, 7], [4000, 300, 2000], ids)
+    (tmp_path / "f").write_bytes(data)
+    read = []
+
+    class Counting:
+        def __init__(self, file):
+            self.file, self.seek = file, file.seek
+
+        def read(self, n):
+            read.append(n)
+            return self.file.read(n)
+
+    with open(tmp_path / "f", "rb") as file:
+        reader = tokenfile.TokenReader(Counting(file))
+        assert len(reader) == len(ids)
+        for at in rng.integers(0, len(ids), 300).tolist():
+            read.clear()
+            assert reader[at] == ids[at]
+            assert sum(read) <= 4 * (1 + 64 + 4)
+        with pytest.raises(IndexError):
+            reader[len(ids)]
+    whole = tokenfile.TokenFile(data)
+    assert whole.keys == [5, None, 7] and np.array_equal(whole.document(1), ids[4000:4300])
+
+
+def test_other_keys_than_integers_are_refused(spark, tmp_path):
+    with pytest.raises(TypeError):
+        tokenfile.write_files(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path), "x")
+
+
 def test_token_files(spark, small, odd, empty):
     from tokenizers import Tokenizer
 
@@ -453,7 +562,7 @@ def test_token_files(spark, small, odd, empty):
 
 
 def test_media_round_trip(odd, empty):
-    out = media.media_table(odd, arrays=True).collect()
+    out = media.media_table(odd).collect()
     assert len(out) == len(ODD)
     by_text = defaultdict(set)
     for r in out:
@@ -467,11 +576,41 @@ def test_media_round_trip(odd, empty):
     assert all(len(x) == 1 for x in by_text.values()) and media.media_table(empty).collect() == []
 
 
+def plain_landmarks(payload):
+    """Peaks and pairs from a Fourier transform written out frame by frame."""
+    x = np.frombuffer(payload, np.uint8).astype(float) - 128
+    window, turn = np.hanning(192), np.exp(-2j * np.pi * np.outer(np.arange(97), np.arange(192)) / 192)
+    frames = [np.abs(turn @ (x[at : at + 192] * window)) for at in range(0, len(x) - 191, 96)]
+    peaks, margin = [], 1e9
+    for t, spectrum in enumerate(frames):
+        for lo, hi in ((1, 12), (12, 36), (36, 97)):
+            top = spectrum[lo:hi].max()
+            sides = [round(frames[s][lo:hi].max(), 2) if 0 <= s < len(frames) else -1 for s in (t - 1, t + 1)]
+            margin = min([margin, *(abs(top - frames[s][lo:hi].max()) for s in (t - 1, t + 1) if 0 <= s < len(frames))])
+            if round(top, 2) > sides[0] and round(top, 2) >= sides[1] and top > 0:
+                peaks.append((t, lo + int(spectrum[lo:hi].argmax())))
+    pairs = [(t, a << 12 | b << 5 | u - t) for i, (t, a) in enumerate(peaks) for u, b in peaks[i + 1 : i + 4] if u - t <= 31]
+    return sorted(pairs), margin
+
+
+def test_landmarks_equal_the_definition():
+    rng, compared = np.random.default_rng(4), 0
+    for n in (1, 2, 5, 20, 60):
+        for _ in range(4):
+            payload = bytes(rng.integers(32, 127, 192 * n).astype(np.uint8))
+            wanted, margin = plain_landmarks(payload)
+            times, codes = media.landmarks(np.frombuffer(payload, np.uint8).astype(np.float32) - 128)
+            if margin > 0.05:  # no two magnitudes so close that rounding decides
+                compared += 1
+                assert list(zip(times.tolist(), codes.tolist(), strict=True)) == wanted
+    assert compared >= 10
+
+
 def test_landmarks_follow_the_signal():
     t = np.arange(192 * 40)
-    low, high = (100 * np.sin(2 * np.pi * k * t / 192 * (1 + 1e-4 * t)) for k in (20, 70))
-    bins = lambda x: media._band_peaks(x.astype(np.float32))[0]
-    assert abs(np.median(bins(low)[:, 1]) - 20) < 25 and np.median(bins(high)[:5, 2]) == pytest.approx(70, abs=6)
+    bins = lambda k: media._band_peaks((100 * np.sin(2 * np.pi * k * t / 192)).astype(np.float32))[0]
+    for k, band in ((5, 0), (20, 1), (30, 1), (70, 2)):
+        assert set(bins(k)[:-1, band].tolist()) == {k}
 
 
 # --- 10: near dedup -------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ Passages and messages are normalised (lower case, letters and digits only, singl
 whole, each line and each sentence. Units join the conversation's own, unquoted ones, of which only the first message
 that has them is the original; so a phrase that thousands repeat still matches one message. A passage links to the
 earlier message that originates most of its characters (ties: the later message), and a message replies to the latest
-message that one of its outermost passages links to.
+message that one of its outermost passages, those of the smallest depth that it quotes at, links to.
 
 Reply order: a message without a link begins a thread; a reply belongs to the thread of the message it answers, found
 by replacing each parent by its own parent, so that the rounds grow with the logarithm of the depth. Threads follow one
@@ -89,16 +89,18 @@ def messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
 
 def links(parsed_messages: DataFrame) -> DataFrame:
-    """``id``, ``passage``, ``depth`` and the ``original`` that each passage links to, with its turn."""
+    """``id``, ``passage``, whether it is an ``outer`` one, of the message's smallest depth, and the ``original`` that it
+    links to, with its turn."""
     m = parsed_messages
     # Of all messages of a conversation that have a unit, the first is its original.
     origin = m.where("turn is not null").select("conv_key", "turn", "id", F.explode("units").alias("unit")).groupBy("conv_key", F.md5("unit").alias("hash")).agg(F.min(F.struct("turn", "id")).alias("first"))
-    quoted = m.where("turn is not null").select("conv_key", "turn", "id", F.posexplode("passages").alias("passage", "p"))
-    probes = quoted.select("conv_key", "turn", "id", "passage", F.col("p.depth").alias("depth"), F.explode(_units(F.filter("p.lines", lambda x: F.trim(x) != ""))).alias("unit"))
+    outermost = F.array_min(F.transform("passages", lambda p: p["depth"]))
+    quoted = m.where("turn is not null").select("conv_key", "turn", "id", outermost.alias("outermost"), F.posexplode("passages").alias("passage", "p"))
+    probes = quoted.select("conv_key", "turn", "id", "passage", (F.col("p.depth") == F.col("outermost")).alias("outer"), F.explode(_units(F.filter("p.lines", lambda x: F.trim(x) != ""))).alias("unit"))
     hits = probes.withColumn("hash", F.md5("unit")).join(origin, ["conv_key", "hash"]).where(F.col("first.turn") < F.col("turn"))
-    weighed = hits.groupBy("id", "passage", "depth", "first").agg(F.sum(F.length("unit")).alias("chars"))
-    best = weighed.groupBy("id", "passage", "depth").agg(F.max(F.struct("chars", "first")).alias("best"))
-    return best.select("id", "passage", "depth", F.col("best.first.id").alias("original"), F.col("best.first.turn").alias("original_turn"))
+    weighed = hits.groupBy("id", "passage", "outer", "first").agg(F.sum(F.length("unit")).alias("chars"))
+    best = weighed.groupBy("id", "passage", "outer").agg(F.max(F.struct("chars", "first")).alias("best"))
+    return best.select("id", "passage", "outer", F.col("best.first.id").alias("original"), F.col("best.first.turn").alias("original_turn"))
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def threaded(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     turn it replies to, its thread's first turn and its depth there, its ``position`` in reply order, and ``copies``."""
     m = stored(messages(df, conv, turn, role, text), "messages")
     linked = checkpointed(links(m))
-    parents = linked.where("depth = 1").groupBy("id").agg(F.max(F.struct("original_turn", F.col("original").alias("parent"))).alias("p")).select("id", "p.parent", F.col("p.original_turn").alias("reply_to"))
+    parents = linked.where("outer").groupBy("id").agg(F.max(F.struct("original_turn", F.col("original").alias("parent"))).alias("p")).select("id", "p.parent", F.col("p.original_turn").alias("reply_to"))
     tree = roots(parents)
     counts = linked.groupBy("id").agg(F.count(F.lit(1)).alias("linked"))
     full = (
@@ -155,9 +157,13 @@ def formatted(threads: DataFrame, role: str = "role", opening: str = "<|", closi
     return threads.withColumn("chat", F.concat(F.lit(opening), F.coalesce(F.col(role), F.lit("unknown")), F.lit(closing + "\n"), "body", F.lit(f"\n{opening}end{closing}\n")))
 
 
-_UNITS = """SELECT DISTINCT {keys}, u AS unit FROM (
-    SELECT {keys}, trim(regexp_replace(lower(unnest(list_concat([whole], lines, string_split(regexp_replace(whole, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS u FROM (
-      SELECT {keys}, list(body ORDER BY n) AS lines, string_agg(body, ' ' ORDER BY n) AS whole FROM {lines} WHERE trim(body, ' ') <> '' GROUP BY ALL)) WHERE length(u) >= 12"""
+_NORMALISED = "trim(regexp_replace(lower(%s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_UNITS = f"""SELECT DISTINCT {{keys}}, u AS unit FROM (
+    SELECT {{keys}}, {_NORMALISED % "unnest(list_concat(lines, string_split(regexp_replace(whole, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))"} AS u, 12 AS least FROM (
+      SELECT {{keys}}, list(body ORDER BY n) AS lines, string_agg(body, ' ' ORDER BY n) AS whole FROM {{lines}} WHERE trim(body, ' ') <> '' GROUP BY ALL)
+    UNION ALL
+    SELECT {{keys}}, {_NORMALISED % "string_agg(body, ' ' ORDER BY n)"} AS u, 1 AS least FROM {{lines}} WHERE trim(body, ' ') <> '' GROUP BY {{keys}}
+  ) WHERE length(u) >= least"""
 THREADS_SQL = rf"""
 WITH RECURSIVE raw AS (
   SELECT conv_id, turn, role, text, coalesce('=' || CAST(conv_id AS VARCHAR), 'null') AS conv_key,
@@ -192,7 +198,7 @@ WITH RECURSIVE raw AS (
 ), linked AS (
   SELECT id, passage, depth, max({{'chars': chars, 'first': first}}) AS best FROM weighed GROUP BY ALL
 ), parents AS (
-  SELECT id, max({{'turn': best.first.turn, 'id': best.first.id}}) AS p FROM linked WHERE depth = 1 GROUP BY id
+  SELECT id, max({{'turn': best.first.turn, 'id': best.first.id}}) AS p FROM linked JOIN (SELECT id, min(depth) AS depth FROM quoted GROUP BY id) USING (id, depth) GROUP BY id
 ), up AS (
   SELECT id, p.id AS root, 1 AS steps FROM parents UNION ALL SELECT up.id, parents.p.id, steps + 1 FROM up JOIN parents ON parents.id = up.root
 ), top AS (

@@ -6,12 +6,14 @@ the content that is kept in stripes beside it, a digest can be deleted again, an
 filter is doubled and filled anew from the stored keys.
 
 Each partition first merges its own copies, so a group of any size leaves one row for each partition; then the digests
-are dealt out by hash and each shard merges what is left. Texts never move: only digests, lengths and keys do.
+are dealt out by hash and each shard, sorted by digest, merges what is left. As soon as a shard holds ``LIVE_DIGESTS`` it hands
+them on, since no later row can have one of them; so the index of any shard fits in a fixed space. Texts never move:
+only digests, lengths and keys do.
 
 Of equal texts the longest original stays (code points), then the smallest key, then the first row; a null key comes
 last. Cases: null counts as empty, and all texts without other characters than white space are equal; repeated rows
 are copies like any others, and one of them stays; an empty table gives an empty result; only the key and the text
-are read. Row numbers come from the scan, so the input should be a table (or checkpoint), not a shuffle.
+are read, and further columns of any name come along untouched.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .shared import SPACE, checkpointed, stored
+from .shared import SPACE, by_name, checkpointed, free_name, numbered, stored
 
 SLOTS, MAX_KICKS, STRIPES = 4, 200, 256
-#: A partition hands on what it has merged when it holds so many digests; later stages merge the rest.
+#: A task hands on what it has merged when it holds so many digests.
 LIVE_DIGESTS = 300_000
 
 
@@ -120,19 +122,20 @@ class CuckooIndex:
         raise AssertionError("a live digest has no fingerprint")
 
 
-def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``row``, ``key``, ``digest`` (32 bytes) and ``length`` (code points of the original) of each row."""
-    full = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(key).alias("key"),
+def digests(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row") -> DataFrame:
+    """``row``, ``key``, ``digest`` (32 bytes) and ``length`` (code points of the original) of each of the numbered
+    ``rows``."""
+    full = F.coalesce(by_name(text).cast("string"), F.lit(""))
+    return rows.select(
+        F.col(row).alias("row"),
+        by_name(key).alias("key"),
         F.unhex(F.sha2(F.translate(full, SPACE, "").cast("binary"), 256)).alias("digest"),
         F.length(full).cast("long").alias("length"),
     )
 
 
-def _merge(rows: DataFrame, live: int | None) -> DataFrame:
-    """Merge rows of equal digests within each partition; ``live``: hand on what is merged beyond so many digests.
+def _merge(rows: DataFrame) -> DataFrame:
+    """Merge rows of equal digests within each partition; if it is sorted by digest, into one row for each.
 
     A row with a negative size deletes its digest."""
     schema = pa.schema([("digest", pa.binary()), ("length", pa.int64()), ("key", to_arrow_type(rows.schema["key"].dataType)), ("row", pa.int64()), ("size", pa.int64())])
@@ -149,6 +152,9 @@ def _merge(rows: DataFrame, live: int | None) -> DataFrame:
         for batch in batches:
             for digest, length, key, row, size in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 old = index.find(digest)
+                if old is None and len(index) >= LIVE_DIGESTS:
+                    yield from leave()
+                    index = CuckooIndex()
                 if size < 0:
                     index.delete(digest)
                 elif old is None:
@@ -160,9 +166,6 @@ def _merge(rows: DataFrame, live: int | None) -> DataFrame:
                     else:  # another row takes the place
                         index.delete(digest)
                         index.insert(digest, (*new, old[3] + size))
-            if live and len(index) > live:
-                yield from leave()
-                index = CuckooIndex()
         yield from leave()
 
     return rows.select("digest", "length", "key", "row", "size").mapInArrow(run, from_arrow_schema(schema))
@@ -170,7 +173,7 @@ def _merge(rows: DataFrame, live: int | None) -> DataFrame:
 
 def build_index(rows: DataFrame) -> DataFrame:
     """The index table over rows of ``digests``: a row for each digest with the row that stays and the group's size."""
-    return _merge(_merge(rows.withColumn("size", F.lit(1).cast("long")), LIVE_DIGESTS).repartition("digest"), None)
+    return _merge(_merge(rows.withColumn("size", F.lit(1).cast("long"))).repartition("digest").sortWithinPartitions("digest"))
 
 
 def update_index(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
@@ -179,13 +182,13 @@ def update_index(index: DataFrame, added: DataFrame | None = None, removed: Data
     if removed is not None:
         gone = removed.select("digest").distinct()
         rows = rows.unionByName(index.sparkSession.createDataFrame([], rows.schema).unionByName(gone.withColumn("size", F.lit(-1).cast("long")), allowMissingColumns=True))
-    dealt = rows.repartition("digest").sortWithinPartitions(F.col("size") < 0)
-    return _merge(dealt, None)
+    return _merge(rows.repartition("digest").sortWithinPartitions("digest", F.col("size") < 0))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``df``: its key, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
-    rows = stored(digests(df, key, text), "digests")
+    row = free_name(df, "row")
+    rows = stored(digests(numbered(df, row), key, text, row), "digests")
     index = checkpointed(build_index(rows)).select("digest", F.col("key").alias("keep_id"), F.col("row").alias("keep_row"), F.col("size").alias("group_size"))
     return rows.join(index, "digest").select(
         F.col("key").alias(key), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
@@ -193,9 +196,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; ``df`` should be a table."""
-    index = checkpointed(build_index(digests(df, key, text)))
-    return df.withColumn("_row", F.monotonically_increasing_id()).join(index.select(F.col("row").alias("_row")).hint("merge"), "_row", "left_semi").drop("_row")
+    """The rows of ``df`` that stay, with all their columns."""
+    row = free_name(df, "row")
+    rows = numbered(df, row)
+    index = checkpointed(build_index(digests(rows, key, text, row)))
+    return rows.join(index.select(F.col("row").alias(row)).hint("merge"), row, "left_semi").select(*map(by_name, df.columns))
 
 
 DEDUP_SQL = r"""

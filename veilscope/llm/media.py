@@ -120,15 +120,14 @@ def to_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return map_slices(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), encode, schema, 256)
 
 
-def fingerprints(media: DataFrame, arrays: bool = True) -> DataFrame:
+def fingerprints(media: DataFrame) -> DataFrame:
     """Digests and fingerprint of a table from ``to_media``.
 
-    ``feature`` is ``pairs:checksum:most frequent codes``; with ``arrays`` the time-coded arrays come along."""
+    The fingerprint is the arrays ``times`` and ``codes``; ``feature`` sums it up as ``pairs:checksum:most frequent
+    codes``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    fields = [("key", to_arrow_type(media.schema["key"].dataType)), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    if arrays:
-        fields += [("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32()))]
+    fields = [("key", to_arrow_type(media.schema["key"].dataType)), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32()))]
     schema = pa.schema(fields)
 
     def read(rows: dict[str, list]) -> dict[str, list]:
@@ -146,6 +145,6 @@ def fingerprints(media: DataFrame, arrays: bool = True) -> DataFrame:
     return map_slices(media, read, schema, 256)
 
 
-def media_table(df: DataFrame, key: str = "doc_id", text: str = "text", arrays: bool = False) -> DataFrame:
+def media_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Store the media column as a table in the shared folder, read it back and fingerprint what was read."""
-    return fingerprints(stored(to_media(df, key, text), "media"), arrays).withColumnRenamed("key", key)
+    return fingerprints(stored(to_media(df, key, text), "media")).withColumnRenamed("key", key)

@@ -12,8 +12,8 @@ Only Catalyst expressions, joins and windows are used. Windows run over sources
 source and over the documents of a shard, all of them aggregates or bounded by ``SHARD_WORDS``.
 
 Cases: a null or empty text has no words and takes none; a null source is a source of its own, the last one; sources
-whose texts are all empty have target 0; repeated rows are laid out one by one; an empty table gives an empty result;
-columns of the input other than key, source and text are not read.
+whose texts are all empty have target 0; repeated rows are laid out one by one, rows of one key and size in the order of
+a hash of their texts; an empty table gives an empty result; further columns of any name come along untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, stored
+from .shared import WORD_CLASS, by_name, free_name, numbered, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -104,7 +104,7 @@ def plan_mix(rows: DataFrame, seed: int = 7) -> DataFrame:
                 (F.col("_first") * F.col("block")).alias("_from"), (F.least(F.col("_first") + F.col("_run"), F.col("_whole")) * F.col("block")).alias("_to"),
                 (F.greatest(F.lit(0), F.col("_first") + F.col("_run") - F.col("_whole")) * F.col("block")).alias("_wrapped"))
     )
-    lay = Window.partitionBy("number", "shard").orderBy("hash", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    lay = Window.partitionBy("number", "shard").orderBy("hash", "key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     laid = dealt.withColumn("_at", F.coalesce(F.sum("size").over(lay), F.lit(0))).join(quotas, ["number", "shard"])
     cut = lambda c: F.least(F.greatest(c - F.col("_at"), F.lit(0)), F.col("size"))
     return (
@@ -114,18 +114,20 @@ def plan_mix(rows: DataFrame, seed: int = 7) -> DataFrame:
     )
 
 
-def sized(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7) -> DataFrame:
-    name = F.col(source).cast("string")
-    return df.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), name.alias("source"),
-        F.when(name.isNull(), "null").otherwise(F.concat(F.lit("="), name)).alias("source_key"), words(F.col(text)).alias("size"),
-        _seeded(seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("hash"),
+def sized(rows: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, row: str = "row") -> DataFrame:
+    """What the plan needs of each of the numbered ``rows``."""
+    name = by_name(source).cast("string")
+    return rows.select(
+        F.col(row).alias("row"), by_name(key).alias("key"), name.alias("source"),
+        F.when(name.isNull(), "null").otherwise(F.concat(F.lit("="), name)).alias("source_key"), words(by_name(text)).alias("size"),
+        _seeded(seed, F.coalesce(by_name(key).cast("string"), F.lit("null"))).alias("hash"), F.xxhash64(by_name(text)).alias("text_hash"),
     )
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7) -> DataFrame:
     """Key, ``size``, ``source_size``, ``target`` and ``taken`` of each row."""
-    rows = stored(sized(df, key, source, text, seed), "sizes")
+    row = free_name(df, "row")
+    rows = stored(sized(numbered(df, row), key, source, text, seed, row), "sizes")
     return plan_mix(rows, seed).select(F.col("key").alias(key), "size", "source_size", "target", "taken")
 
 
@@ -133,20 +135,22 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source",
     """The mix itself: the rows of ``df`` as often as they are taken, cut where a run of blocks begins or ends.
 
     A row appears once for each whole pass and once more for each part of it that lies in the run. ``count``: a column
-    that holds the text's length. ``df`` should be a table, since row numbers come from its scan."""
-    plan = plan_mix(stored(sized(df, key, source, text, seed), "sizes"), seed).where("taken > 0")
+    that holds the text's length."""
+    row, size, piece = (free_name(df, x) for x in ("row", "size", "piece"))
+    rows = numbered(df, row)
+    plan = plan_mix(stored(sized(rows, key, source, text, seed, row), "sizes"), seed).where("taken > 0")
     full = F.struct(F.lit(0).cast("long").alias("begin"), F.col("size").alias("end"))
     part = lambda a, b: F.struct(F.col(a).alias("begin"), F.col(b).alias("end"))
     parts = F.filter(F.concat(F.array_repeat(full, F.col("passes").cast("int")), F.array(part("cut_1", "cut_2"), part("cut_3", "cut_4"))), lambda p: p["end"] > p["begin"])
-    pieces = plan.select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.explode(parts).alias("_part"))
-    joined = df.withColumn("_row", F.monotonically_increasing_id()).join(pieces.hint("merge"), "_row")
-    spaced = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(spaced, (F.col("_part.begin") + 1).cast("int"), (F.col("_part.end") - F.col("_part.begin")).cast("int")), "")
-    whole = (F.col("_part.begin") == 0) & (F.col("_part.end") == F.col("_size"))
-    out = joined.withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
+    joined = rows.join(plan.select(F.col("row").alias(row), F.col("size").alias(size), F.explode(parts).alias(piece)).hint("merge"), row)
+    begin, end = F.col(piece)["begin"], F.col(piece)["end"]
+    spaced = F.regexp_extract_all(by_name(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(spaced, (begin + 1).cast("int"), (end - begin).cast("int")), "")
+    whole = (begin == 0) & (end == F.col(size))
+    out = joined.withColumn(text, F.when(whole, by_name(text)).otherwise(cut))
     if count:
-        out = out.withColumn(count, F.when(whole, F.col(count)).otherwise(F.length(text).cast(df.schema[count].dataType)))
-    return out.select(*df.columns)
+        out = out.withColumn(count, F.when(whole, by_name(count)).otherwise(F.length(by_name(text)).cast(df.schema[count].dataType)))
+    return out.select(*map(by_name, df.columns))
 
 
 _SEEDED = "CAST(concat('0x', substr(md5({}), 1, 15)) AS BIGINT)"

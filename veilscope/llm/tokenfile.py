@@ -4,13 +4,16 @@ An id is split into chunks of 8 bits, lowest first. Level 0 holds the first chun
 second chunk of those that have one, and so on; a bitmap for each level marks the ids that continue, and a rank
 directory counts the marks before each block of 512 bits. So ``ids[i]`` takes one look-up a level: no block is decoded.
 
-A file holds whole documents in ascending key order with a directory of their starts. Executors write the files into
+A file holds whole documents in ascending key order with a directory of their starts, and names in its head where each
+part of each level begins. So ``TokenReader`` fetches one id by reading a few bytes a level, wherever it is in a file of
+any size. Executors write the files into
 the shared folder under names that no other attempt uses, and return a row for each; only files named by these rows
 count, so a lost executor or a repeated task leaves nothing but an unread file.
 
 Cases: a null or empty text is the end id alone; null keys come first; rows with equal keys keep their own entries,
 ordered by text; a text of any length is written whole, in a file of its own if it is very long; an empty table gives
-no files and an empty result; only the key and the text are read, so further columns cannot clash.
+no files and an empty result; only the key and the text are read, so further columns cannot clash. Keys are integers;
+keys of any other type are refused.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import IntegralType
 
 from .shared import checkpointed, fresh_path
 from .tokens import encoder
 
-MAGIC = b"VDAC0001"
+MAGIC = b"VDAC0002"
 WIDTH = 8
 RANK_BLOCK = 512
 #: A file is closed when it holds so many ids.
@@ -100,40 +104,68 @@ class DirectCodes:
 
 
 def write_file(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """A file's bytes: head, keys with their null marks, lengths, then for each level chunks, bitmap and ranks."""
+    """A file's bytes: the head with the places of all parts, keys with their null marks, lengths, then for each level
+    chunks, bitmap and ranks."""
     codes = DirectCodes.of(ids)
-    out = [_HEAD.pack(MAGIC, len(keys), len(ids), len(codes.levels))]
-    out += [np.array([k or 0 for k in keys], "<i8").tobytes(), bytes(k is None for k in keys), np.array(lengths, "<u8").tobytes()]
-    for parts in zip(codes.levels, codes.bitmaps, codes.ranks, strict=True):
-        out += [struct.pack("<QQQ", *map(len, parts)), parts[0].tobytes(), parts[1].tobytes(), parts[2].astype("<u4").tobytes()]
-    return b"".join(out)
+    parts = [np.array([k or 0 for k in keys], "<i8").tobytes(), bytes(k is None for k in keys), np.array(lengths, "<u8").tobytes()]
+    for level in zip(codes.levels, codes.bitmaps, codes.ranks, strict=True):
+        parts += [level[0].tobytes(), level[1].tobytes(), level[2].astype("<u4").tobytes()]
+    places, at = [], _HEAD.size + 8 * (len(parts) + 1)
+    for part in parts:
+        places.append(at)
+        at += len(part)
+    return b"".join([_HEAD.pack(MAGIC, len(keys), len(ids), len(codes.levels)), np.array([*places, at], "<u8").tobytes(), *parts])
+
+
+def _head(data: bytes) -> tuple[int, int, int]:
+    """Numbers of documents, ids and levels."""
+    magic, n, n_ids, levels = _HEAD.unpack_from(data)
+    if magic != MAGIC:
+        raise ValueError("not a token file")
+    return n, n_ids, levels
+
+
+class TokenReader:
+    """Single ids of a file that is open, each by a few short reads and without any of the rest."""
+
+    def __init__(self, file):
+        self.file = file
+        self.n_documents, self.n_ids, self.n_levels = _head(self._read(0, _HEAD.size))
+        self.places = np.frombuffer(self._read(_HEAD.size, 8 * (3 * self.n_levels + 4)), "<u8").tolist()
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def __len__(self) -> int:
+        return self.n_ids
+
+    def __getitem__(self, at: int) -> int:
+        if not 0 <= at < self.n_ids:
+            raise IndexError(at)
+        value = 0
+        for level in range(self.n_levels):
+            chunks, bitmap, ranks = self.places[3 + 3 * level : 6 + 3 * level]
+            value |= self._read(chunks + at, 1)[0] << (WIDTH * level)
+            block, bit = divmod(at, RANK_BLOCK)
+            marks = int.from_bytes(self._read(bitmap + block * RANK_BLOCK // 8, RANK_BLOCK // 8), "little")
+            if not marks >> bit & 1:
+                break
+            at = int.from_bytes(self._read(ranks + 4 * block, 4), "little") + (marks & ((1 << bit) - 1)).bit_count()
+        return value
 
 
 class TokenFile:
     """A file that was read: keys, the place of each document, and its codes."""
 
     def __init__(self, data: bytes):
-        magic, n, self.n_ids, levels = _HEAD.unpack_from(data)
-        if magic != MAGIC:
-            raise ValueError("not a token file")
-        at = _HEAD.size
-
-        def take(dtype: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, dtype, count, at)
-            at += out.nbytes
-            return out
-
-        keys, null = take("<i8", n), take("u1", n)
-        self.keys = [None if z else int(k) for k, z in zip(keys, null, strict=True)]
-        self.lengths = take("<u8", n).astype(np.int64)
+        n, self.n_ids, levels = _head(data)
+        places = np.frombuffer(data, "<u8", 3 * levels + 4, _HEAD.size).tolist()
+        parts = [np.frombuffer(data, kind, (end - at) // np.dtype(kind).itemsize, at) for kind, at, end in zip(["<i8", "u1", "<u8", *["u1", "u1", "<u4"] * levels], places, places[1:], strict=False)]
+        self.keys = [None if z else int(k) for k, z in zip(parts[0], parts[1], strict=True)]
+        self.lengths = parts[2].astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        parts = []
-        for _ in range(levels):
-            sizes = struct.unpack_from("<QQQ", data, at)
-            at += 24
-            parts.append([take(kind, size) for kind, size in zip(("u1", "u1", "<u4"), sizes, strict=True)])
-        self.codes = DirectCodes(*map(list, zip(*parts, strict=True)))
+        self.codes = DirectCodes(parts[3::3], parts[4::3], parts[5::3])
 
     def document(self, i: int) -> np.ndarray:
         return self.codes.span(int(self.starts[i]), int(self.starts[i] + self.lengths[i]))
@@ -145,6 +177,8 @@ ENTRY = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.i
 
 def write_files(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = 2, partitions: int | None = None) -> DataFrame:
     """Write the files below ``folder`` (a path or URI that all executors reach); one row for each file."""
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise TypeError(f"keys must be integers, {key} is {df.schema[key].dataType.simpleString()}")
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     by = [F.col("key"), F.xxhash64("text")]
     ranged = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(*by, "text")
@@ -202,8 +236,10 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY, strict=True)], schema=ENTRY)
 
     files = max(1, min(10_000, manifest.count()))
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("file_start"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # a row for each partition of the shuffle
+    parts = parts.select("part", before(Window.orderBy("part")).alias("part_start"))
+    placed = manifest.select("part", "path", before(Window.partitionBy("part").orderBy("number")).alias("in_part")).join(parts, "part").select("path", (F.col("part_start") + F.col("in_part")).alias("file_start"))
     return placed.repartition(files).mapInArrow(run, from_arrow_schema(ENTRY))
 
 

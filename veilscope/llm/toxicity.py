@@ -15,8 +15,8 @@ The model is fitted on the driver from at most ``MAX_TRAIN_DOCS`` labelled texts
 together, the first ones by a hash of their key; held-out rows never take part. Its size is fixed, and it reaches the
 workers as one broadcast of ``BUCKETS`` numbers.
 
-Cases: null and empty texts get the score of a window without subwords; texts of any length are scored whole, in
-slices; without labels of both classes every score is the share of label 1; equal texts get equal scores; an empty
+Cases: null and empty texts get the score of a window without subwords; texts of any length are scored whole, the
+windows of long ones in slices that change none of them; without labels of both classes every score is the share of label 1; equal texts get equal scores; an empty
 table gives an empty result; only key and text (and labels in training) are read.
 """
 
@@ -35,8 +35,8 @@ DIM = 12
 SIZES = (3, 4, 5, 6)
 WINDOW = 4
 MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 6_000, 12_000_000
-#: Longer texts are left out of the training sample (never out of the scores).
-MAX_TRAIN_TEXT = 20_000
+#: Longer texts take part in training with so many characters from a seeded place on (and in scores as a whole).
+MAX_TRAIN_TEXT = 100_000
 THRESHOLD = 0.7
 _SLICE_CHARS = 200_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -92,21 +92,39 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + WINDOW, len(counts))
 
 
+def _worst(found: np.ndarray, counts: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> float:
+    """The largest mean weight of the subwords of some windows."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    sums = np.concatenate([[0.0], np.cumsum(weight[found], dtype=np.float64)])
+    return float(((sums[ends[end]] - sums[ends[begin]]) / (ends[end] - ends[begin])).max())
+
+
 def margins(text: str, weight: np.ndarray, bias: float) -> float:
-    """The largest margin of a text's windows."""
-    best = None
-    overlap = 200
-    for at in range(0, max(1, len(text)), _SLICE_CHARS):  # slices overlap by more than a window of usual words
-        found, counts = subwords(text[max(0, at - overlap) : at + _SLICE_CHARS])
-        if not len(counts):
+    """The largest margin of a text's windows.
+
+    A long text is read in slices that begin with the first word whose window the last one did not hold whole."""
+    low, at, size, best = text.lower(), 0, _SLICE_CHARS, None
+    while at < len(low) or not at:
+        part, last = low[at : at + size], at + size >= len(low)
+        found, counts = subwords(part)
+        if last:
+            if len(counts) > (0 if best is None else WINDOW // 2):
+                top = _worst(found, counts, *_windows(counts), weight)
+                best = top if best is None else max(best, top)
+            break
+        _, first, ends = _codes(part)
+        words = len(first) - bool(len(ends) and ends[-1] == len(part))  # the last one may go on
+        begin = np.arange(0, max(0, words - WINDOW + 1), WINDOW // 2)
+        if not len(begin):
+            if len(first):  # words so long that a slice holds no window
+                size *= 2
+            else:
+                at += size
             continue
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        sums = np.concatenate([[0.0], np.cumsum(weight[found], dtype=np.float64)])
-        begin, end = _windows(counts)
-        total = sums[ends[end]] - sums[ends[begin]]
-        top = float((total / (ends[end] - ends[begin])).max()) + bias
+        top = _worst(found, counts, begin, begin + WINDOW, weight)
         best = top if best is None else max(best, top)
-    return bias if best is None else best
+        at, size = at + int(first[begin[-1] + WINDOW // 2]) - 1, _SLICE_CHARS
+    return bias if best is None else best + bias
 
 
 def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
@@ -202,7 +220,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     """Texts and labels of at most MAX_TRAIN_DOCS rows that are not held out, the first by a hash of their key."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (crc_mod(F.col(key)) != 1)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     chosen = marked.withColumn("_hash", F.xxhash64(F.col(key), F.lit(3))).orderBy("_hash", key).limit(MAX_TRAIN_DOCS)
-    usable = docs.select(key, F.col(text).cast("string").alias("_text")).where(F.length("_text").between(1, MAX_TRAIN_TEXT))
+    full = docs.select(F.col(key), F.col(text).cast("string").alias("_text")).where("_text <> ''")
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.greatest(F.lit(1), F.length("_text") - MAX_TRAIN_TEXT + 1)) + 1
+    usable = full.withColumn("_text", F.substring("_text", place, F.lit(MAX_TRAIN_TEXT)))
     rows = usable.join(F.broadcast(chosen), key).select("_label", "_text", "_hash").orderBy("_hash", "_text").limit(MAX_TRAIN_DOCS)  # at most MAX_TRAIN_DOCS keys
     texts, classes, held = [], [], 0
     for row in rows.toLocalIterator():
