@@ -399,14 +399,78 @@ def test_html_is_laid_out():
 
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("<div>a<div>b</div>c", "a\nb\nc"), ("a</p>b", "a\n\nb"), ("<table><td>x<table><td>y</table></table>", "x\n\ny"), ("<b>x</i>y", "xy"), ("a<!-- open", "a"), ("<script>x", ""), ("x<", "x<"), ("<a href='>'>k</a>", "k"), ("&nbsp;a&#65;", " aA"),
-    ("<p hidden>no</p>yes", "yes"), ("<ul><li></ul>z", "z"), ("<svg><text>no</text></svg>t", "t"), ("<textarea>a  b</textarea>", "a  b"),
+    ("<p hidden>no</p>yes", "yes"), ("<ul><li></ul>z", "z"), ("a<svg><title>t</title><g>x<text>in</text></g></svg>b", "a in b"), ("<math><mi>x</mi><mo>+</mo><annotation>tex</annotation></math>", "x+"), ("<textarea>a  b</textarea>", "a  b"),
 ])
 def test_html_cases(html, text):
     assert htmltext.render(html) == text
 
 
+@pytest.mark.parametrize("css, shown", [
+    ("@media print {.m, p{display:none}}", True), (".m{display:none} @media (min-width:600px){.m{display:block}}", True), (".m{display:none} @media (max-width: 600px){.m{display:block}}", False),
+    ("@media screen and (min-width: 40em) {p{display:none}}", False), ("@media not print{.m{display:none}}", False), ("@media not all and (min-width:9px){.m{display:none}}", True), (".m{display:none;display:block}", True),
+    ("#i{display:block} .m{display:none}", True), (".m{display:none!important} #i{display:block}", False), ("@import url(x); @charset 'u'; .m{visibility:hidden}", False), ("@supports (display:grid){@media all{.m{display:none}}} p{}", False),
+    ("@keyframes k{from{display:none}} @font-face{display:none}", True), ("/* .m{display:none} */", True), ("div .m{display:none}", True), (".m{color:red;display : none ;}", False), (".m{", True), ("@media{@media{@media{", True), ("}}.m{display:none}", False),
+])
+def test_style_sheets(css, shown):
+    assert htmltext.render(f"<style>{css}</style><p class=m id=i>x</p>y") == ("x\n\ny" if shown else "y")
+
+
+def test_a_style_attribute_beats_rules():
+    assert htmltext.render("<style>.m{display:none} .n{display:block} .k{display:none!important}</style><b class=m style='display:inline'>a</b><b class=n hidden>b</b><b class=n style='display:none'>c</b><b class=k style='display:inline'>d</b>") == "ab"
+
+
+def test_hidden_elements_at_any_depth():
+    deep = lambda x, n=160: "<div>" * n + x + "</div>" * n
+    assert htmltext.render(deep("<p hidden>secret</p>shown<p>too</p>")) == "shown\ntoo"
+    assert htmltext.render("<div hidden>" + deep("secret", 200) + "</div>after") == "after"
+    assert htmltext.render("<div hidden>" + deep("secret", 200) + "still</div>after") == "after"
+    assert htmltext.render(deep("<pre>a\n  b</pre><details><summary>s</summary>no</details><svg><text>t</text>x</svg>")) == "a\n  b\ns\nt"
+
+
+def plain_visible(node):
+    """The words that are shown, by recursion over a tree of (tag, hidden, children)."""
+    tag, hidden, children = node
+    return [] if hidden else [w for c in children for w in ([c] if isinstance(c, str) else plain_visible(c))]
+
+
+def test_visible_words_equal_brute_force():
+    rng = np.random.default_rng(7)
+
+    def tree(depth):
+        tag = str(rng.choice(["div", "span", "p", "section", "b", "li"]))
+        children = [f"w{rng.integers(10**6)}" if depth > 7 or rng.random() < 0.4 else tree(depth + 1) for _ in range(int(rng.integers(1, 5)))]
+        return tag, bool(rng.random() < 0.12), children
+
+    def html(node):
+        tag, hidden, children = node
+        how = str(rng.choice([" hidden", " style='display: none'", " class='gone'", " style='VISIBILITY:hidden'"])) if hidden else str(rng.choice(["", " id=a", " class='x y'"]))
+        return f"<{tag}{how}>" + " ".join(c if isinstance(c, str) else html(c) for c in children) + f"</{tag}>"
+
+    def nests(node, inside=()):
+        """Whether the parser would close something early: blocks in a paragraph, items in items."""
+        tag, _, children = node
+        bad = ("p" in inside and tag in ("div", "p", "section", "li")) or (tag == "li" and "li" in inside)
+        return bad or any(nests(c, (*inside, tag)) for c in children if not isinstance(c, str))
+
+    compared = 0
+    for _ in range(3000):
+        root = tree(0)
+        if not nests(root):
+            compared += 1
+            assert htmltext.render("<style>.gone{display:none}</style>" + html(root)).replace("- ", "").split() == plain_visible(root)
+    assert compared > 200
+
+
+def test_wide_cells_are_aligned():
+    wide = "x" * 60
+    out = htmltext.render(f"<table><tr><td>{wide}<td>1<tr><td>a<td>2<tr><td colspan=2>c<td>3</table>").split("\n")
+    assert [line.index(c) for line, c in zip(out, "123", strict=True)] == [62, 62, 65]
+    assert len(htmltext.render("<table>" + f"<tr><td>{'y' * 100_000}<td>z" + "<tr><td>a<td>b" * 5_000 + "</table>")) < 5_000_000
+
+
 def test_html_of_any_depth_and_broken_html(spark):
     assert htmltext.render("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert htmltext.render("<div><b><p>" * 20_000 + "deep").split() == ["deep"]
     for broken in ("<" * 3000, "<a " * 2000, '<a b="' * 1500, "</" * 2000, "<table>" * 300 + "x"):
         assert isinstance(htmltext.render(broken), str)
     pages = spark.createDataFrame([(1, "u", HTML, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")

@@ -1,21 +1,26 @@
 """HTML extraction by layout-aware rendering: all visible text, laid out as lines.
 
 A tokenizer feeds a tree builder that knows void elements, raw-text elements, optional end tags and implied parents
-(``tbody``, ``tr``). Rendering leaves out what a browser would not show: the head, scripts, templates, ``hidden``
-elements, ``display: none`` and ``visibility: hidden`` in style attributes or in simple rules of style sheets, closed
-``details`` and ``dialog``. White space collapses as in a browser, except in ``pre``; blocks begin on new lines, with a
-blank line where they have margins; list items get bullets or numbers and nested lists an indent; table cells are
-aligned in columns.
+(``tbody``, ``tr``). Rendering leaves out what a browser would not show on a screen: the head, scripts, templates,
+``hidden`` elements, closed ``details`` and ``dialog``, and elements that ``display: none`` or ``visibility: hidden``
+hides. These come from style attributes and from the rules of style sheets for simple selectors (a tag, class or id, or
+a tag with one of these), by importance, specificity and order; media queries are answered for a screen of ``SCREEN``
+pixels. White space collapses as in a browser, except in ``pre``; blocks begin on new lines, with a blank line where
+they have margins; list items get bullets or numbers and nested lists an indent; table cells are aligned in columns.
+The text elements of ``svg`` and the text of ``math`` are shown like any other.
 
 Cases: null or empty HTML gives an empty text; broken mark-up never fails, and its text is kept; nesting beyond
-``MAX_DEPTH`` is flattened, not dropped; pages of any length are rendered whole; an empty table gives an empty result;
-columns other than the key, the address and the HTML are not read.
+``MAX_DEPTH`` is rendered as plain lines, hidden elements left out there as well; cells of any width are aligned, unless
+the blanks for that were more than ``MOST_BLANKS`` times the table's text; pages of any length are rendered whole; an
+empty table gives an empty result; columns other than the key, the address and the HTML are not read. Complex selectors
+and a visible element within an invisible one are not told apart from their surroundings.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +33,7 @@ from .shared import map_slices
 # Element names of HTML by what they mean for the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas svg math param source track area base link meta".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist object audio video canvas param source track area base link meta desc defs metadata annotation annotation-xml".split())
 WITH_MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre hr figure fieldset menu dir xmp".split())
 BLOCK = WITH_MARGIN | frozenset("html body div section article aside header footer nav main address center form li dt dd details summary dialog figcaption legend hgroup search caption optgroup option tr td th thead tbody tfoot".split())
 #: A start tag closes open elements of these names, up to the nearest of the second group.
@@ -49,15 +54,22 @@ CLOSES = {
 CLOSES_P = BLOCK - frozenset("html body tr td th thead tbody tfoot caption option optgroup".split())
 SCOPE = frozenset("table td th caption html body button object template".split())
 
+#: Media features that hold on the screen that is assumed, besides lengths (fixed values).
+FEATURES = frozenset(["orientation:landscape", "prefers-color-scheme:light", "prefers-reduced-motion:no-preference", "hover", "hover:hover", "pointer", "pointer:fine", "scripting:none", "color"])
+SCREEN = {"width": 1280, "height": 800}
+#: The widest span that HTML allows (a fixed value).
+MAX_SPAN = 1000
+
 MAX_DEPTH = 150
-#: Cells are padded to so many columns at most; longer cells are kept whole.
-MAX_PAD = 48
+MOST_BLANKS = 16
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _GAP = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_EDGE = re.compile(r"[{};]")
+_LENGTH = re.compile(r"(?:(min|max)-)?(width|height)\s*(:|[<>]=?)\s*([\d.]+)(px|em|rem)?")
 _SIMPLE = re.compile(r"\s*([a-zA-Z][\w-]*)?([.#][\w-]+)?\s*")
 
 
@@ -77,21 +89,26 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class TreeBuilder:
-    """Builds the tree from start tags, end tags and text."""
+    """Builds the tree from start tags, end tags and text; ``names`` counts the open elements by tag."""
 
     def __init__(self):
         self.root = Element("html")
         self.open = [self.root]
+        self.names: Counter[str] = Counter()
 
     def _pop_to(self, at: int) -> None:
-        del self.open[max(1, at) :]
+        at = max(1, at)
+        self.names.subtract(x.tag for x in self.open[at:])
+        del self.open[at:]
 
     def _close(self, names: tuple[str, ...], until: tuple[str, ...] | frozenset[str]) -> None:
         """Close the outermost open element of ``names`` above the nearest one of ``until``."""
-        found = 0
-        for i in range(len(self.open) - 1, 0, -1):
+        found, left = 0, sum(self.names[x] for x in names)
+        for i in range(len(self.open) - 1, 0, -1) if left else ():
             if self.open[i].tag in names:
-                found = i
+                found, left = i, left - 1
+                if not left:
+                    break
             elif self.open[i].tag in until:
                 break
         if found:
@@ -99,8 +116,9 @@ class TreeBuilder:
 
     def _push(self, element: Element) -> None:
         self.open[-1].children.append(element)
-        if element.tag not in VOID and len(self.open) < MAX_DEPTH:
+        if element.tag not in VOID:
             self.open.append(element)
+            self.names[element.tag] += 1
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
@@ -127,7 +145,7 @@ class TreeBuilder:
             self._push(Element("br"))
             return
         wall = ("table",) if tag not in ("table", "html", "body") else ()
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.names[tag] else ():
             if self.open[i].tag == tag:
                 self._pop_to(i)
                 return
@@ -182,7 +200,7 @@ def parse(html: str) -> tuple[Element, list[str]]:
                 builder.text(inner)
             at = end if not stop else stop.start()
             if builder.open[-1].tag == tag:
-                builder.open.pop()
+                builder.end(tag)
             if stop:
                 j = html.find(">", at)
                 at = end if j < 0 else j + 1
@@ -191,13 +209,69 @@ def parse(html: str) -> tuple[Element, list[str]]:
     return builder.root, styles
 
 
-def hiding_rules(styles: list[str]) -> set[tuple[str, str]]:
-    """(tag, .class or #id) of the simple selectors whose rules hide their elements."""
-    found = set()
+def on_screen(query: str) -> bool:
+    """Whether a media query holds on a screen of the assumed size."""
+
+    def holds(part: str) -> bool:
+        part = part.strip().removeprefix("only ").strip()
+        if part.startswith("not "):
+            return not holds(part[4:])
+        if not part.startswith("("):
+            return part in ("", "all", "screen")
+        feature = part.strip("() ")
+        if m := _LENGTH.fullmatch(feature):
+            bound, name, sign, number, unit = m.groups()
+            length, own = float(number) * (16 if unit in ("em", "rem") else 1), SCREEN[name]
+            if bound == "min" or sign.startswith(">"):
+                return own > length if sign == ">" else own >= length
+            return own < length if sign == "<" else own <= length if bound == "max" or sign == "<=" else own == length
+        return feature.replace(" ", "") in FEATURES
+
+    def all_hold(one: str) -> bool:
+        inverted = one.startswith("not ") and not one.startswith("not (")
+        return inverted != all(map(holds, re.split(r"\s+and\s+", one[4:] if inverted else one)))
+
+    return any(all_hold(one.strip()) for one in query.lower().split(","))
+
+
+def declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """For ``display`` and ``visibility``, whether the last declaration is important and whether it hides."""
+    found: dict[str, tuple[bool, bool]] = {}
+    for name, value, important in _DECLARATION.findall(body):
+        name, strong = name.lower(), bool(important)
+        if strong >= found.get(name, (False, False))[0]:
+            found[name] = (strong, value.lower() in ("none", "hidden", "collapse"))
+    return found
+
+
+def style_rules(styles: list[str]) -> dict[tuple[str, str], list[tuple[str, tuple[bool, int, int], bool]]]:
+    """By (tag, .class or #id): property, rank (importance, specificity, order) and whether the rule hides."""
+    found: dict[tuple[str, str], list] = {}
+    order = 0
     for style in styles:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", style, flags=re.S)):
-            if _HIDING.search(body):
-                found |= {((m[1] or "").lower(), m[2] or "") for s in selectors.split(",") if (m := _SIMPLE.fullmatch(s)) and (m[1] or m[2])}
+        css, at = _COMMENT.sub(" ", style), 0
+        while edge := _EDGE.search(css, at):
+            prelude, at = css[at : edge.start()].strip(), edge.end()
+            if edge[0] != "{":  # the end of a group or of a statement
+                continue
+            if prelude.startswith("@"):
+                name, _, condition = prelude[1:].partition(" ")
+                name = name.lower()
+                if name in ("supports", "layer", "scope") or (name.startswith("media") and on_screen(condition if name == "media" else prelude[6:])):
+                    continue  # what is inside counts
+            depth, begin = 1, at
+            while depth and (edge := _EDGE.search(css, at)):
+                depth, at = depth + {"{": 1, "}": -1, ";": 0}[edge[0]], edge.end()
+            if prelude.startswith("@"):
+                continue
+            own = declared(css[begin : at - 1 if not depth else len(css)].partition("{")[0])
+            if depth:
+                at = len(css)
+            order += 1
+            for selector in prelude.split(",") if own else ():
+                if (m := _SIMPLE.fullmatch(selector)) and (m[1] or m[2]):
+                    weight = bool(m[1]) + {"": 0, ".": 10, "#": 100}[(m[2] or "")[:1]]
+                    found.setdefault(((m[1] or "").lower(), m[2] or ""), []).extend((name, (strong, weight, order), hides) for name, (strong, hides) in own.items())
     return found
 
 
@@ -253,8 +327,8 @@ class _Flow:
 
 
 class Renderer:
-    def __init__(self, rules: set[tuple[str, str]]):
-        self.rules = rules
+    def __init__(self, rules: dict[tuple[str, str], list[tuple[str, tuple[bool, int, int], bool]]]):
+        self.rules, self.depth = rules, 0
 
     def hidden(self, e: Element) -> bool:
         if e.tag in UNSEEN:
@@ -262,14 +336,17 @@ class Renderer:
         a = e.attributes
         if not a and not self.rules:
             return e.tag == "dialog"
-        if "hidden" in a or (e.tag == "input" and a.get("type", "").lower() == "hidden") or (e.tag == "dialog" and "open" not in a):
-            return True
-        if "style" in a and _HIDING.search(a["style"]):
+        if e.tag == "input" and a.get("type", "").lower() == "hidden":
             return True
+        ranked = [("display", (False, -1, 0), "hidden" in a or (e.tag == "dialog" and "open" not in a))]
+        if "style" in a:
+            ranked += [(name, (strong, 1000, 0), hides) for name, (strong, hides) in declared(a["style"]).items()]
         if self.rules:
             marks = ["", *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
-            return any((tag, mark) in self.rules for tag in (e.tag, "") for mark in marks)
-        return False
+            for tag in (e.tag, ""):
+                for mark in marks:
+                    ranked += self.rules.get((tag, mark), ())
+        return any(max((x[1:] for x in ranked if x[0] == name), default=(None, False))[1] for name in ("display", "visibility"))
 
     def lines(self, e: Element, pre: bool = False) -> list[str]:
         flow = _Flow()
@@ -282,7 +359,46 @@ class Renderer:
             if isinstance(child, str):
                 flow.text(child, pre)
             elif not self.hidden(child):
-                self.element(child, flow, pre, e.tag)
+                self.depth += 1
+                if self.depth > MAX_DEPTH:
+                    self.flat(child, flow, pre)
+                else:
+                    self.element(child, flow, pre, e.tag)
+                self.depth -= 1
+
+    def flat(self, e: Element, flow: _Flow, pre: bool) -> None:
+        """What nests deeper than is laid out: each block on lines of its own, without recursion."""
+        stack: list[tuple[Element | str, bool, bool]] = [(e, False, pre)]
+        while stack:
+            node, over, pre = stack.pop()
+            if isinstance(node, str):
+                flow.text(node, pre)
+            elif over:
+                flow.newline(False)
+            elif node is e or not self.hidden(node):
+                if node.tag in ("br", "input"):
+                    self.element(node, flow, pre, "")
+                    continue
+                if node.tag in BLOCK:
+                    flow.newline(False)
+                    stack.append((node, True, pre))
+                inner = node.children
+                if node.tag == "svg":
+                    inner = self.svg_texts(node)
+                elif node.tag == "details" and "open" not in node.attributes:
+                    inner = [c for c in inner if isinstance(c, Element) and c.tag == "summary"][:1]
+                stack += [(c, False, pre or node.tag in ("pre", "xmp", "textarea")) for c in reversed(inner)]
+
+    def svg_texts(self, e: Element) -> list[Element]:
+        """The elements of a picture that hold text to be shown."""
+        found, stack = [], [e]
+        while stack:
+            node = stack.pop()
+            if node.tag in ("text", "foreignobject"):
+                found.append(node)
+            else:
+                stack += [c for c in reversed(node.children) if isinstance(c, Element) and not self.hidden(c)]
+        return found
 
     def element(self, e: Element, flow: _Flow, pre: bool, parent: str) -> None:
         tag = e.tag
@@ -307,6 +423,11 @@ class Renderer:
                     break
         elif tag in BLOCK:
             flow.block(self.lines(e, pre), int(tag in WITH_MARGIN))
+        elif tag == "svg":
+            for part in self.svg_texts(e):
+                flow.text(" ", pre)
+                self.walk(part, flow, pre)
+                flow.text(" ", pre)
         elif tag == "input":
             if e.attributes.get("type", "text").lower() in ("button", "submit", "reset", "text", "search", "email", "url", "tel", "number"):
                 flow.text(e.attributes.get("value", ""), pre)
@@ -357,16 +478,22 @@ class Renderer:
             for cell in cells:
                 lines = self.lines(cell)
                 span = cell.attributes.get("colspan", "1")
-                span = min(int(span), 100) if re.fullmatch(r"\d{1,4}", span) and int(span) else 1
+                span = min(int(span), MAX_SPAN) if re.fullmatch(r"\d{1,4}", span) and int(span) else 1
                 row.append((column, lines))
                 if span == 1:
                     widths += [0] * (column + 1 - len(widths))
-                    widths[column] = max(widths[column], min(MAX_PAD, max(map(_wide, lines), default=0)))
+                    widths[column] = max(widths[column], max(map(_wide, lines), default=0))
                 column += span
             grid.append(row)
-        starts = [0]
-        for w in widths:
-            starts.append(starts[-1] + w + 2 * (w > 0))
+        size, most = sum(len(x) for row in grid for _, lines in row for x in lines), max(widths, default=0)
+        while True:
+            starts = [0]
+            for w in widths:
+                starts.append(starts[-1] + min(w, most) + 2 * (w > 0))
+            blanks = sum(starts[min(row[-1][0], len(starts) - 1)] * max(len(lines) for _, lines in row) for row in grid if row)
+            if blanks <= MOST_BLANKS * (size + 1000) or most <= 1:
+                break
+            most //= 2
         out = list(captions)
         outside = Element("div")
         outside.children = loose  # text between cells is shown above its table
@@ -394,7 +521,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     tree, styles = parse(html)
-    return "\n".join(Renderer(hiding_rules(styles)).lines(tree)).strip("\n")
+    return "\n".join(Renderer(style_rules(styles)).lines(tree)).strip("\n")
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
