@@ -213,7 +213,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                left, right = left.as_py(), right.as_py()
                 n, m = len(left) // 8, len(right) // 8
                 if min(n, m) < LINK * max(n, m):
                     good.append(False)
@@ -283,14 +284,13 @@ def _block_links(members: DataFrame, own: bool = False) -> DataFrame:
     """Links (a, b) between members of a ``hub`` in different components: a forest of them for each pair of blocks.
 
     With ``own`` a member is only compared with those of its own block."""
-    main = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "component")).alias("_main"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
-    placed = members.join(main.select("hub", F.col("_main.component").alias("main")), "hub").withColumn("open", F.col("component") != F.col("main"))
-    size = F.length("shingles")
+    parts = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("size"))
+    hubs = parts.groupBy("hub").agg(F.max(F.struct("n", "component", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n, size, most: F.ceil(F.greatest(n / most, size / BLOCK_BYTES)).cast("int")
-    counts = placed.groupBy("hub").agg(
-        blocks(F.sum(F.col("open").cast("int")), F.sum(F.when(F.col("open"), size).otherwise(0)), OPEN_BLOCK).alias("opens"), blocks(F.count(F.lit(1)), F.sum(size), BLOCK).alias("alls")
+    hubs = hubs.select(
+        "hub", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"), OPEN_BLOCK).alias("opens"), blocks(F.col("n"), F.col("size"), BLOCK).alias("alls")
     )
-    dealt = placed.join(counts, "hub")
+    dealt = members.join(stored(hubs, "hubs"), "hub").withColumn("open", F.col("component") != F.col("main"))  # stored, so that a hot hub can be split in the join
     mine = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["hub", "x", "y", "side", "node", "component", "shingles"]
@@ -360,7 +360,7 @@ def classes(rows: DataFrame, key: str = "doc_id", text: str = "text", row: str =
     for own in (True, False):
         placed = checkpointed(spokes.join(named("node"), "node", "left").select("hub", "node", place("node").alias("component")))
         open_hubs = placed.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("hub")
-        rest = checkpointed(placed.join(open_hubs, "hub", "left_semi"))
+        rest = checkpointed(placed.join(stored(open_hubs, "hubs"), "hub", "left_semi"))
         if rest.isEmpty():
             break
         found = _contracted(found, _block_links(stored(rest.join(sets, "node"), "open"), own))

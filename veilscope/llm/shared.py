@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shipping import ship  # noqa: F401
+from ..sources import shipping
 
 #: Characters that count as white space in every contract of this subpackage (fixed values).
 SPACE = " \t\n\x0b\x0c\r"
@@ -25,6 +25,18 @@ FOLDER_BITS = 6
 ROW_GROUP = 256 * 1024
 
 
+#: Rows that Spark hands to a Python worker at once; its own default holds tens of megabytes of texts, in both processes.
+ARROW_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, and let them get ``ARROW_ROWS`` rows at once unless the session says otherwise."""
+    shipping.ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
