@@ -25,46 +25,46 @@ QUESTION_PATTERNS = {
 #: A condition is a list that must hold altogether; an item is (predicate, argument), a list of which one must hold, or
 #: ("not", item). Predicates: q and a search a pattern in the question or answer, words bounds the answer's words from
 #: above, long from below, digits counts them, in compares the answer in lower case, identifier looks at the answer
-#: and compact at the answer without commas.
+#: and compact at the answer without commas. Order, labels, reasons and confidences are fixed values.
 RULES = [
     ([("empty", None)], "OTHER", "empty_answer", 1.0),
     ([("in", fixed.BOOLEAN_VALUES)], "BOOLEAN", "boolean_value", 1.0),
-    ([[("a", "email"), ("a", "url")]], "CONTACT", "email_or_url", 1.0),
-    ([("a", "percent")], "PERCENTAGE", "percent_regex", 1.0),
-    ([("in", fixed.SPECIAL_LABELS)], "CATEGORY_LABEL", "special_label", 0.9),
+    ([[("a", "email"), ("a", "url")]], "CONTACT", "email_or_url_regex", 1.0),
+    ([("a", "percent")], "PERCENTAGE", "percentage_regex", 1.0),
+    ([("in", fixed.SPECIAL_LABELS)], "CATEGORY_LABEL", "generic_short_label", 0.9),
     ([("q", "QUANTITY"), ("a", "numeric")], "QUANTITY", "question_quantity_numeric", 0.97),
-    ([("q", "DOCUMENT_REFERENCE"), [("a", "numeric"), ("identifier", None), ("a", "page")]], "DOCUMENT_REFERENCE", "question_document_reference", 0.98),
-    ([("q", "item"), ("compact", None)], "IDENTIFIER", "question_item_number", 0.95),
+    ([("q", "DOCUMENT_REFERENCE"), [("a", "numeric"), ("identifier", None), ("a", "page")]], "DOCUMENT_REFERENCE", "question_doc_reference", 0.98),
+    ([("q", "item"), ("compact", None)], "IDENTIFIER", "question_identifier_like", 0.95),
     ([("q", "CONTACT"), [("a", "phone"), ("a", "email"), ("a", "url")]], "CONTACT", "question_contact", 0.98),
-    ([("q", "CONTACT"), ("digits", 7)], "CONTACT", "question_contact_digits", 0.96),
-    ([("q", "DATE_TIME"), ("a", "date")], "DATE_TIME", "question_date", 0.98),
-    ([("q", "expiration"), ("a", "date")], "DATE_TIME", "expiration_date", 0.98),
-    ([("q", "source")], "FREE_TEXT", "question_source", 0.94),
-    ([("q", "stand_for")], "CATEGORY_LABEL", "question_stand_for", 0.95),
-    ([("q", "short_what"), ("words", 4), ("not", ("a", "digit"))], "CATEGORY_LABEL", "question_abbreviation", 0.9),
-    ([("q", "NON_MONEY_NUMERIC"), ("a", "numeric")], "QUANTITY", "question_non_money", 0.97),
-    ([("q", "NON_MONEY_MEASURE"), ("a", "numeric")], "QUANTITY", "question_measure", 0.96),
+    ([("q", "CONTACT"), ("digits", 7)], "CONTACT", "question_contact_numeric", 0.96),
+    ([("q", "DATE_TIME"), ("a", "date")], "DATE_TIME", "question_date_and_date_like_answer", 0.98),
+    ([("q", "expiration"), ("a", "date")], "DATE_TIME", "question_expiration_date", 0.98),
+    ([("q", "source")], "FREE_TEXT", "question_sources", 0.94),
+    ([("q", "stand_for")], "CATEGORY_LABEL", "abbreviation_expansion", 0.95),
+    ([("q", "short_what"), ("words", 4), ("not", ("a", "digit"))], "CATEGORY_LABEL", "short_abbreviation_like_question", 0.9),
+    ([("q", "NON_MONEY_NUMERIC"), ("a", "numeric")], "QUANTITY", "question_non_money_numeric", 0.97),
+    ([("q", "NON_MONEY_MEASURE"), ("a", "numeric")], "QUANTITY", "question_measure_numeric", 0.96),
     ([("q", "PERCENTAGE"), [("a", "percent"), ("a", "numeric")]], "PERCENTAGE", "question_percentage", 0.95),
     ([("q", "LOCATION"), ("words", 8), ("not", ("a", "digit"))], "LOCATION", "question_location", 0.94),
-    ([("q", "when"), ("a", "digit"), ("a", "clock")], "DATE_TIME", "question_time", 0.97),
-    ([("a", "date"), ("not", ("q", "QUANTITY")), ("not", ("q", "IDENTIFIER")), ("not", ("q", "identifier_word"))], "DATE_TIME", "date_like", 0.92),
+    ([("q", "when"), ("a", "digit"), ("a", "clock")], "DATE_TIME", "question_time_or_date_span", 0.97),
+    ([("a", "date"), ("not", ("q", "QUANTITY")), ("not", ("q", "IDENTIFIER")), ("not", ("q", "identifier_word"))], "DATE_TIME", "date_like_regex", 0.92),
     ([("a", "money")], "MONEY", "money_regex", 1.0),
-    ([("q", "MONEY"), ("a", "numeric")], "MONEY", "question_money", 0.96),
+    ([("q", "MONEY"), ("a", "numeric")], "MONEY", "question_money_numeric_answer", 0.96),
     ([("q", "IDENTIFIER"), [("a", "numeric"), ("identifier", None)]], "IDENTIFIER", "question_identifier", 0.95),
-    ([("q", "ADDRESS"), ("a", "zip")], "ADDRESS", "question_zip", 0.92),
+    ([("q", "ADDRESS"), ("a", "zip")], "ADDRESS", "question_address_zip", 0.92),
     ([("q", "ADDRESS")], "ADDRESS", "question_address", 0.9),
-    ([("q", "ORG_NAME"), ("words", 12), ("not", ("a", "date"))], "ORG_NAME", "question_org", 0.94),
+    ([("q", "ORG_NAME"), ("words", 12), ("not", ("a", "date"))], "ORG_NAME", "question_org_name", 0.94),
     ([("q", "PERSON_NAME"), ("not", ("a", "digit")), ("words", 8), ("not", ("a", "no_person"))], "PERSON_NAME", "question_person_name", 0.94),
-    ([("q", "ROLE_TITLE")], "ROLE_TITLE", "question_role", 0.94),
-    ([("q", "TITLE_HEADER"), ("words", 20), ("q", "footnote")], "FREE_TEXT", "question_footnote", 0.93),
-    ([("q", "TITLE_HEADER"), ("words", 20)], "TITLE_HEADER", "question_title", 0.93),
-    ([("q", "CATEGORY_LABEL"), ("words", 10), ("not", ("a", "digit"))], "CATEGORY_LABEL", "question_category", 0.92),
+    ([("q", "ROLE_TITLE")], "ROLE_TITLE", "question_role_title", 0.94),
+    ([("q", "TITLE_HEADER"), ("words", 20), ("q", "footnote")], "FREE_TEXT", "question_footnote_text", 0.93),
+    ([("q", "TITLE_HEADER"), ("words", 20)], "TITLE_HEADER", "question_title_header", 0.93),
+    ([("q", "CATEGORY_LABEL"), ("words", 10), ("not", ("a", "digit"))], "CATEGORY_LABEL", "question_category_label", 0.92),
     ([("a", "phone"), ("digits", 7)], "CONTACT", "phone_regex", 0.95),
-    ([("compact", None), ("a", "letter"), ("a", "digit"), ("q", "date_word"), ("a", "date")], "DATE_TIME", "date_over_identifier", 0.95),
+    ([("compact", None), ("a", "letter"), ("a", "digit"), ("q", "date_word"), ("a", "date")], "DATE_TIME", "question_date_over_identifier", 0.95),
     ([("compact", None), ("a", "letter"), ("a", "digit")], "IDENTIFIER", "alphanumeric_identifier_regex", 0.9),
-    ([("a", "numeric")], "QUANTITY", "numeric_default", 0.85),
+    ([("a", "numeric")], "QUANTITY", "plain_numeric", 0.85),
     ([("words", 4), ("not", ("a", "digit"))], "CATEGORY_LABEL", "short_text_category_like", 0.82),
-    ([("long", 4), ("not", ("a", "money")), ("not", ("a", "percent")), ("not", ("a", "date"))], "FREE_TEXT", "free_text", 0.8),
+    ([("long", 4), ("not", ("a", "money")), ("not", ("a", "percent")), ("not", ("a", "date"))], "FREE_TEXT", "long_text_span", 0.8),
 ]
 
 
@@ -88,13 +88,13 @@ def _holds(item, q: Column, a: Column) -> Column:
 
 
 def label(question: Column, answer: Column) -> Column:
-    """(field_type, rule_reason, rule_confidence); a null type where no rule holds."""
+    """(field_type, rule_reason, rule_confidence); nulls and 0 where no rule holds."""
     q, a = F.lower(squeeze(question)), squeeze(answer)
-    result = lambda kind, reason, sure: F.struct(F.lit(kind).cast("string").alias("field_type"), F.lit(reason).alias("rule_reason"), F.lit(sure).alias("rule_confidence"))
+    result = lambda kind, reason, sure: F.struct(F.lit(kind).cast("string").alias("field_type"), F.lit(reason).cast("string").alias("rule_reason"), F.lit(sure).alias("rule_confidence"))
     chain = F
     for conditions, kind, reason, sure in RULES:
         chain = chain.when(reduce(Column.__and__, (_holds(c, q, a) for c in conditions)), result(kind, reason, sure))
-    return chain.otherwise(result(None, "no_rule", 0.0))
+    return chain.otherwise(result(None, None, 0.0))
 
 
 def _sql(item) -> str:
@@ -119,6 +119,6 @@ def _sql(item) -> str:
 
 def label_sql(column: int) -> str:
     """A CASE over ``q`` and ``a`` for other engines: 0 the type, 1 the reason, 2 the confidence."""
-    last = ("CAST(NULL AS VARCHAR)", "'no_rule'", "CAST(0.0 AS DOUBLE)")[column]
+    last = ("CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "CAST(0.0 AS DOUBLE)")[column]
     shown = lambda rule: f"CAST({rule[3]} AS DOUBLE)" if column == 2 else f"'{rule[1 + column]}'"
     return "CASE " + " ".join(f"WHEN {' AND '.join(map(_sql, rule[0]))} THEN {shown(rule)}" for rule in RULES) + f" ELSE {last} END"

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .spans import let
 from .text import normalize, strip
 
+#: What stands for a confidence that is no number (a fixed value).
+NOT_FINITE = -100.0
+
 
 def exact_match(prediction: Column, gold: Column) -> Column:
     return (normalize(prediction) == normalize(gold)).cast("double")
@@ -36,7 +39,8 @@ def best(score, prediction: Column, answers: Column) -> Column:
 
 
 def sequence_confidence(log_probabilities: Column, tokens: Column, end: int) -> Column:
-    """Mean log probability up to the end token (all if it is missing), exponentiated; null without any."""
+    """Mean log probability up to the end token (all if it is missing); 0 without any, NOT_FINITE if it isn't finite."""
     stop = F.array_position(tokens, end)
     used = F.slice(log_probabilities, F.lit(1), F.when(stop > 0, stop).otherwise(F.greatest(F.size(log_probabilities), F.lit(1))).cast("int"))
-    return F.when(F.size(used) > 0, F.exp(F.aggregate(used, F.lit(0.0), lambda s, x: s + x) / F.size(used)))
+    mean = F.aggregate(used, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(used), F.lit(1))
+    return F.when(F.isnan(mean) | (F.abs(mean) == float("inf")), NOT_FINITE).otherwise(F.coalesce(mean, F.lit(NOT_FINITE)))

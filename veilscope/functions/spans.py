@@ -9,6 +9,8 @@ from . import fixed
 from .text import normalize, strip
 
 SPAN = "struct<start:int,end:int>"
+#: Stands between tokens that are normalised together; it is neither white space nor part of a word.
+_MARK = "\x01"
 
 
 def let(value: Column, body) -> Column:
@@ -26,24 +28,36 @@ def flatten_tokens(lines: Column) -> Column:
     return F.filter(tokens, lambda t: t["text"] != "")
 
 
+def normalized_tokens(tokens: Column) -> Column:
+    """Each token normalised; all at once, as one text with marks between the tokens."""
+    marked = F.array_join(F.transform(tokens, lambda t: F.translate(F.coalesce(t, F.lit("")), _MARK, " ")), _MARK)
+    plain = F.regexp_replace(F.lower(marked), rf"(?U)[^\p{{L}}\p{{N}}_\s{_MARK}]", " ")
+    each = F.transform(F.split(F.regexp_replace(plain, r"(?U)\s+", " "), _MARK), lambda t: F.trim(t))
+    return F.when(F.size(tokens) > 0, each).otherwise(F.array().cast("array<string>"))
+
+
 def subtokens(tokens: Column) -> Column:
     """(part, token): the words of each normalised token with the token's index."""
-    split = F.transform(tokens, lambda t, i: F.transform(F.split(normalize(t), " "), lambda p: F.struct(p.alias("part"), i.cast("int").alias("token"))))
-    return F.filter(F.flatten(split), lambda p: p["part"] != "")
+    part = lambda p, i: F.struct(p.alias("part"), i.cast("int").alias("token"))
+    none = F.array().cast("array<struct<part:string,token:int>>")
+    words = lambda t, i: F.when(t == "", none).when(F.instr(t, " ") == 0, F.array(part(t, i))).otherwise(F.transform(F.split(t, " "), lambda p: part(p, i)))
+    return F.flatten(F.transform(normalized_tokens(tokens), words))
 
 
 def find_spans(flat: Column, answer: Column) -> Column:
     """All spans (start, end) of token indices whose sub-tokens equal the answer's words, each once, in order.
 
-    Window starts are found on the plain array of parts, so each step is one slice and one comparison."""
+    Window starts are found on the plain array of parts, so each step is one slice and one comparison. Spans are whole
+    numbers while repetitions are left out, as those are told apart by hash."""
     none = F.array().cast(f"array<{SPAN}>")
 
     def search(v: Column) -> Column:
         parts, at, words = v["parts"], v["at"], v["words"]
         n, first = F.size(words), F.get(words, F.lit(0))
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))), lambda i: (F.get(parts, i - 1) == first) & (F.slice(parts, i, n) == words))
-        spans = F.transform(starts, lambda i: F.struct(F.get(at, i - 1).alias("start"), F.get(at, i + n - 2).alias("end")))
-        return F.when(first == "", none).otherwise(F.array_distinct(spans))
+        codes = F.array_distinct(F.transform(starts, lambda i: F.shiftleft(F.get(at, i - 1).cast("long"), 32) + F.get(at, i + n - 2)))
+        spans = F.transform(codes, lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("start"), (c % (1 << 32)).cast("int").alias("end")))
+        return F.when(first == "", none).otherwise(spans)
 
     words = F.split(normalize(answer), " ")
     return let(flat, lambda f: let(F.struct(f["part"].alias("parts"), f["token"].alias("at"), words.alias("words")), search))
@@ -67,18 +81,31 @@ def record_spans(spans: Column, start: Column, end: Column) -> Column:
     return F.when(F.size(F.coalesce(valid, F.array().cast(f"array<{SPAN}>"))) > 0, valid).when(start.isNotNull() & end.isNotNull(), F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _inside(spans: Column, i: Column) -> Column:
-    return F.exists(spans, lambda s: (i >= s["start"]) & (i <= s["end"]))
+def replaced(tokens: Column, spans: Column, mask: str | None) -> Column:
+    """Tokens without those of the spans, or with ``mask`` in their places; in time proportional to both."""
+
+    def body(v: Column) -> Column:
+        n = F.size(v["tokens"])
+        covered = F.array_distinct(F.flatten(F.transform(v["spans"], lambda s: F.sequence(s["start"], F.least(s["end"], n - 1)))))
+        kept = F.array_except(F.sequence(F.lit(0), n - 1), covered)
+        token = lambda i: F.get(v["tokens"], i)
+        if mask is None:
+            out = F.transform(kept, token)
+        else:
+            pair = lambda i, t: F.struct(i.alias("i"), t.alias("t"))
+            both = F.concat(F.transform(kept, lambda i: pair(i, token(i))), F.transform(covered, lambda i: pair(i, F.lit(mask))))
+            out = F.transform(F.sort_array(both), lambda x: x["t"])
+        return F.when((n == 0) | (F.size(v["spans"]) <= 0), v["tokens"]).otherwise(out)
+
+    return let(F.struct(tokens.alias("tokens"), spans.alias("spans")), body)
 
 
-def redact(tokens: Column, spans: Column, strategy: str) -> Column:
+def redact(tokens: Column, spans: Column, strategy: str, mask: str = fixed.MASK_TEXT) -> Column:
     """Tokens of spans left as they are (none), removed (drop) or replaced (mask)."""
     if strategy == "none":
         return tokens
-    if strategy == "drop":
-        return let(spans, lambda s: F.filter(tokens, lambda t, i: ~_inside(s, i)))
-    if strategy == "mask":
-        return let(spans, lambda s: F.transform(tokens, lambda t, i: F.when(_inside(s, i), F.lit(fixed.MASK_TEXT)).otherwise(t)))
+    if strategy in ("drop", "mask"):
+        return replaced(tokens, spans, mask if strategy == "mask" else None)
     raise ValueError(f"unknown strategy {strategy}")
 
 

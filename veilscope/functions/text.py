@@ -71,15 +71,17 @@ def normalize_label_pilot(c: Column) -> Column:
 
 
 def parse_model_answer(c: Column) -> Column:
-    """(label, is_new) from a model's answer: JSON, else the first braces as JSON, else a known word."""
+    """(label, is_new) from a model's answer: the object between its outermost braces, if that is JSON and not empty; else
+    a known word. An object without either key is OTHER."""
     kind = "struct<field_type:string,new_type:string>"
     raw = F.coalesce(c, F.lit(""))
-    inner = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), kind)
+    braces = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    inner = F.from_json(braces, kind)
     word = F.regexp_extract(F.upper(raw), r"\b(" + "|".join(fixed.PILOT_TYPES) + r")\b", 1)
     snake = "^[a-z][a-z0-9_]{1,63}$"
     field, new = strip(inner["field_type"]), strip(inner["new_type"])
     row = lambda label, is_new: F.struct(label.alias("label"), F.lit(is_new).alias("is_new"))
-    no_object = inner["field_type"].isNull() & inner["new_type"].isNull()
+    no_object = F.coalesce(F.size(F.json_object_keys(braces)), F.lit(0)) <= 0
     return (
         F.when(no_object, F.when(word != "", row(word, False)).otherwise(row(F.lit("OTHER"), False)))
         .when(field.isin(*fixed.PILOT_TYPES), row(field, False)).when(field.rlike(snake), row(field, True)).when(new.rlike(snake), row(new, True)).otherwise(row(F.lit("OTHER"), False))

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def joined_gold(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """Every gold row with its prediction by the first key that finds one; unmatched rows have a null prediction."""
+def joined_gold(gold: DataFrame, predicted: DataFrame, keys: list[str], unmatched: str | None = None, order: str = "predicted") -> DataFrame:
+    """Every gold row with its prediction by the first key that finds one; unmatched rows have the prediction
+    ``unmatched``, null by default. Of several predictions of a key the last by ``order`` counts."""
     out = gold
     for i, key in enumerate(keys):
-        out = out.join(predicted.select(F.col(key).alias(f"_k{i}"), F.col("predicted").alias(f"_p{i}")).dropDuplicates([f"_k{i}"]), F.col(key) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
-    return out.withColumn("predicted", F.coalesce(*(F.col(f"_p{i}") for i in range(len(keys))))).drop(*(f"_p{i}" for i in range(len(keys))))
+        one = predicted.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_k{i}")).agg(F.max(F.struct(F.col(order).alias("order"), "predicted"))["predicted"].alias(f"_p{i}"))
+        out = out.join(one, F.col(key) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+    return out.withColumn("predicted", F.coalesce(*(F.col(f"_p{i}") for i in range(len(keys))), F.lit(unmatched))).drop(*(f"_p{i}" for i in range(len(keys))))
 
 
 def report(df: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:

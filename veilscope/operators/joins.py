@@ -22,11 +22,12 @@ def pending(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return records.join(done.select(key).distinct(), key, "left_anti")
 
 
-def lookup(df: DataFrame, source: DataFrame, keys: list[list[str]], value: str) -> DataFrame:
-    """``df`` with ``value`` from the first list of keys that finds a row; the last row of a key counts."""
+def lookup(df: DataFrame, source: DataFrame, keys: list[list[str]], value: str, order: str) -> DataFrame:
+    """``df`` with ``value`` from the first list of keys that finds a row; of a key's rows the last by ``order`` counts
+    (ties: the greatest value)."""
     out, found = df, []
     for i, columns in enumerate(keys):
-        side = source.groupBy(*(F.col(c).alias(f"_{i}_{c}") for c in columns)).agg(F.max(value).alias(f"_value{i}"))
+        side = source.groupBy(*(F.col(c).alias(f"_{i}_{c}") for c in columns)).agg(F.max(F.struct(order, value))[value].alias(f"_value{i}"))
         on = [F.col(c) == F.col(f"_{i}_{c}") for c in columns]
         out = out.join(side, on, "left").drop(*(f"_{i}_{c}" for c in columns))
         found.append(f"_value{i}")
@@ -43,3 +44,8 @@ def summary(rows: DataFrame) -> DataFrame:
     """Counters of a benchmark build, in one pass."""
     count = lambda name: F.count_if(F.col("outcome") == name)
     return rows.agg(F.count(F.lit(1)).alias("total_seen"), count("kept").alias("total_kept"), count("no_span").alias("skipped_no_span"), count("no_image").alias("skipped_no_image"), count("no_box").alias("skipped_no_bbox"))
+
+
+def type_counts(rows: DataFrame, kind: str) -> DataFrame:
+    """How many rows of each type a benchmark build has kept."""
+    return rows.where("outcome = 'kept'").groupBy(kind).agg(F.count(F.lit(1)).alias("n"))

@@ -12,9 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .metrics import exact_mean
+
 LEAST = 10
 
 
+def _mean(c: Column) -> Column:
+    return exact_mean(c, 5)
+
+
 def finite(c: Column) -> Column:
     """The number, or null for null, NaN and infinities."""
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
@@ -74,18 +80,19 @@ def with_p(df: DataFrame, t: str = "t_stat", freedom: str = "df") -> DataFrame:
 
 def summary(df: DataFrame, *keys: str, seen: str = "split = 'seen'") -> DataFrame:
     """Means, sample deviations and counts by class over rows whose confidence and loss are finite, and both AUCs (the
-    loss counts reversed); null AUCs where fewer than LEAST rows are finite."""
+    loss counts reversed). Where fewer than LEAST rows are finite, the AUCs are 0.5 and means and deviations 0."""
     rows = df.withColumn("confidence", finite(F.col("confidence"))).withColumn("loss", finite(F.col("loss"))).where("confidence IS NOT NULL AND loss IS NOT NULL")
     mine = F.expr(seen)
     side = lambda f, cond, c, name: f(F.when(cond, F.col(c))).alias(name)
     stats = rows.groupBy(*keys).agg(
-        side(F.avg, mine, "confidence", "mean_seen_conf"), side(F.stddev_samp, mine, "confidence", "std_seen_conf"), side(F.avg, ~mine, "confidence", "mean_unseen_conf"), side(F.stddev_samp, ~mine, "confidence", "std_unseen_conf"),
-        side(F.avg, mine, "loss", "mean_seen_loss"), side(F.avg, ~mine, "loss", "mean_unseen_loss"), F.count_if(mine).alias("n_seen"), F.count_if(~mine).alias("n_unseen"),
+        side(_mean, mine, "confidence", "mean_seen_conf"), side(F.stddev_samp, mine, "confidence", "std_seen_conf"), side(_mean, ~mine, "confidence", "mean_unseen_conf"), side(F.stddev_samp, ~mine, "confidence", "std_unseen_conf"),
+        side(_mean, mine, "loss", "mean_seen_loss"), side(_mean, ~mine, "loss", "mean_unseen_loss"), F.count_if(mine).alias("n_seen"), F.count_if(~mine).alias("n_unseen"),
     )
     enough = F.col("n_seen") + F.col("n_unseen") >= LEAST
     by_loss = auc(rows.withColumn("loss", -F.col("loss")), "loss", mine, *keys).withColumnRenamed("auc", "auc_loss")
     joined = stats.join(auc(rows, "confidence", mine, *keys).withColumnRenamed("auc", "auc_confidence"), list(keys)).join(by_loss, list(keys))
-    return joined.withColumn("auc_confidence", F.when(enough, F.col("auc_confidence"))).withColumn("auc_loss", F.when(enough, F.col("auc_loss")))
+    defaults = {c: 0.5 if c.startswith("auc") else 0.0 for c in joined.columns if c not in (*keys, "n_seen", "n_unseen")}
+    return joined.withColumns({c: F.when(enough, F.col(c)).otherwise(default) for c, default in defaults.items()})
 
 
 def histogram(df: DataFrame, value: str, *keys: str, bins: int = 30) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import token_f1
@@ -11,9 +11,31 @@ from ..functions.text import normalize
 SCORES = ("exact_match", "token_f1", "random_em", "random_f1", "corrected_em", "corrected_f1")
 
 
+def nanos(c: Column) -> Column:
+    """A number in billionths, as a whole number: sums of these do not depend on their order."""
+    return F.round(c * 1_000_000_000).cast("decimal(20,0)")
+
+
+def exact_mean(c: Column | str, places: int = 6) -> Column:
+    """The mean of a column of numbers above -10**6, rounded half up; whole numbers all the way, so that repeated runs
+    and other engines agree even where the mean lies between two roundings."""
+    c = F.col(c) if isinstance(c, str) else c
+    unit, lift = 10 ** (9 - places), 10**6
+    n = F.count(c).cast("decimal(20,0)")
+    twice = 2 * (F.sum(nanos(c)) + n * F.lit(lift * 10**9).cast("decimal(20,0)")) + n * unit
+    whole = F.call_function("div", twice.cast("decimal(38,0)"), F.nullif((n * (2 * unit)).cast("decimal(38,0)"), F.lit(0)))
+    return ((whole - lift * 10**places).cast("double") / 10**places).cast("double")
+
+
+def exact_mean_sql(c: str, places: int = 6) -> str:
+    """The same for other engines."""
+    unit, lift = 10 ** (9 - places), 10**6
+    return f"CAST((2 * (sum(CAST(round({c} * 1000000000) AS HUGEINT)) + count({c}) * {lift * 10**9}::HUGEINT) + count({c}) * {unit}) // nullif(count({c}) * {2 * unit}, 0) - {lift * 10**places} AS DOUBLE) / {10**places}"
+
+
 def means(df: DataFrame, *keys: str) -> DataFrame:
     """Number of rows and mean of each score by ``keys``; null keys are groups too."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_examples"), *(F.avg(c).alias(c) for c in SCORES))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_examples"), *(exact_mean(c).alias(c) for c in SCORES))
 
 
 def means_with_totals(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
@@ -21,7 +43,7 @@ def means_with_totals(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
     null key take no part."""
     full = df.dropna(subset=[*keys, kind])
     grouped = full.groupingSets([[*map(F.col, keys), F.col(kind)], [F.col(k) for k in keys]], *map(F.col, keys), F.col(kind))
-    rows = grouped.agg(F.grouping(kind).alias("_total"), F.count(F.lit(1)).alias("n_examples"), *(F.avg(c).alias(c) for c in SCORES))
+    rows = grouped.agg(F.grouping(kind).alias("_total"), F.count(F.lit(1)).alias("n_examples"), *(exact_mean(c).alias(c) for c in SCORES))
     return rows.withColumn(kind, F.when(F.col("_total") == 1, "ALL").otherwise(F.col(kind))).drop("_total")
 
 
@@ -37,7 +59,7 @@ def random_baseline(df: DataFrame, pool: list[str], answer: str = "gold") -> Dat
     left, right = words.select(*pool, F.col("_answer").alias("_own"), "_word"), words.select(*pool, "_answer", "_n", "_word")
     pairs = left.join(right, [*pool, "_word"]).select(*pool, "_own", "_answer", "_n").distinct()
     # Equal answers are taken apart, as each row leaves out itself.
-    unequal = pairs.where("_own <> _answer").groupBy(*pool, F.col("_own").alias("_answer")).agg(F.sum(F.col("_n") * token_f1(F.col("_own"), F.col("_answer"))).alias("_others"))
+    unequal = pairs.where("_own <> _answer").groupBy(*pool, F.col("_own").alias("_answer")).agg((F.sum(F.col("_n") * nanos(token_f1(F.col("_own"), F.col("_answer")))).cast("double") / 1_000_000_000).alias("_others"))
     others = F.col("_size") - 1
     per_answer = (
         counted.join(sizes, pool).join(unequal, [*pool, "_answer"], "left")

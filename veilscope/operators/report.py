@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import exact_mean
+
 
 def tagged_union(parts: dict[str, DataFrame], tag: str = "model") -> DataFrame:
     """Tables of several models below one another, with the model's name."""
@@ -15,7 +17,7 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "model") -> DataFrame:
 
 def pivot(df: DataFrame, rows: str, columns: str, values: list, value: str) -> DataFrame:
     """Mean of ``value`` by row and column; the columns' values and order are given, so one pass suffices."""
-    return df.groupBy(rows).pivot(columns, values).agg(F.avg(value))
+    return df.groupBy(rows).pivot(columns, values).agg(exact_mean(value))
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -29,14 +31,14 @@ def metric_rows(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
 
 
 def mode_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias(value))
+    return df.groupBy(*keys).agg(exact_mean(value).alias(value))
 
 
 def best_by(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
     """For each group the label with the highest mean value, ties by label."""
-    means = df.groupBy(*keys, label).agg(F.avg(value).alias(value))
-    top = means.withColumn("_v", F.round(value, 9)).groupBy(*keys).agg(F.max("_v").alias("_top"))
-    tied = means.join(top, keys).where(F.round(value, 9) == F.col("_top"))
+    means = df.groupBy(*keys, label).agg(exact_mean(value).alias(value))
+    top = means.groupBy(*keys).agg(F.max(value).alias("_top"))
+    tied = means.join(top, keys).where(F.col(value) == F.col("_top"))
     return tied.groupBy(*keys).agg(F.min(label).alias(label), F.max("_top").alias(value))
 
 

@@ -96,10 +96,13 @@ _GOLD = """gold AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor'
  ev AS (SELECT g.doc_id, gold, predicted, toxic FROM gold g LEFT JOIN guess USING (doc_id))"""
 
 
-def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    gold = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("gold"), "toxic")
-    guess = table(spark, sf, "documents").where("lang <> 'es'").select("doc_id", F.when(F.col("n_chars") % 7 == 0, "odd").when(F.col("n_chars") > 800, "good").otherwise("poor").alias("predicted"))
-    return classification.joined_gold(gold, guess, ["doc_id"])
+def _gold(spark: SparkSession, sf: str, unmatched: str | None = None) -> DataFrame:
+    """Predictions of German documents are known by another key only, and Spanish ones have none."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    gold = table(spark, sf, "labels").select("doc_id", name.alias("doc_name"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("gold"), "toxic")
+    kind = F.when(F.col("n_chars") % 7 == 0, "odd").when(F.col("n_chars") > 800, "good").otherwise("poor")
+    guess = table(spark, sf, "documents").where("lang <> 'es'").select(F.when(F.col("lang") != "de", F.col("doc_id")).alias("doc_id"), F.when(F.col("lang") == "de", name).alias("doc_name"), kind.alias("predicted"))
+    return classification.joined_gold(gold, guess, ["doc_id", "doc_name"], unmatched)
 
 
 @query(f"WITH {_GOLD} SELECT doc_id, gold, predicted FROM ev WHERE gold IS NOT NULL AND predicted IS NOT NULL")
@@ -122,6 +125,22 @@ def gold_class_report(spark: SparkSession, sf: str) -> DataFrame:
     return classification.report(_gold(spark, sf))
 
 
+@query(f"WITH {_GOLD} SELECT gold, coalesce(predicted, 'nan') AS predicted, count(*) AS n FROM ev GROUP BY ALL")
+def gold_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Unmatched gold rows as a class of their own instead of left out."""
+    return _gold(spark, sf, "nan").groupBy("gold", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_GOLD} SELECT CASE WHEN grouping(gold) = 1 THEN 'All' ELSE gold END AS gold, CASE WHEN grouping(predicted) = 1 THEN 'All' ELSE predicted END AS predicted, count(*) AS n FROM ev WHERE predicted IS NOT NULL AND gold <> predicted GROUP BY CUBE (gold, predicted)")
+def error_crosstab(spark: SparkSession, sf: str) -> DataFrame:
+    return classification.crosstab(_gold(spark, sf).where("gold <> predicted"), "gold", "predicted")
+
+
+@query("SELECT segment, count(*) AS n FROM (SELECT c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 13 <> 0 AND o_totalprice >= 20000 AND o_orderkey % 17 <> 0) GROUP BY segment")
+def benchmark_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.type_counts(_built(spark, sf).withColumnRenamed("c_mktsegment", "segment"), "segment")
+
+
 @query(f"WITH {_GOLD}, e AS (SELECT * FROM ev WHERE predicted IS NOT NULL), l AS (SELECT gold AS label FROM e UNION SELECT predicted FROM e) SELECT g.label AS gold, p.label AS predicted, (SELECT count(*) FROM e WHERE gold = g.label AND predicted = p.label) AS n FROM l g, l p")
 def gold_confusion(spark: SparkSession, sf: str) -> DataFrame:
     counts = _gold(spark, sf).where("predicted IS NOT NULL").groupBy("gold", "predicted").agg(F.count(F.lit(1)).alias("n"))
@@ -164,11 +183,12 @@ def benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
     return joins.summary(_built(spark, sf))
 
 
-@query(f"""WITH {LABELS}, last AS (SELECT l_partkey AS row_id, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS flag FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
-SELECT row_id, split, coalesce(flag, 'OTHER') AS flag FROM lab LEFT JOIN last USING (row_id)""")
+@query(f"""WITH {LABELS}, last AS (SELECT l_partkey AS row_id, max({{'at': l_orderkey * 10 + l_linenumber, 'flag': l_returnflag}}).flag AS flag FROM lineitem GROUP BY 1)
+SELECT lab.row_id, split, coalesce(flag, 'OTHER') AS flag FROM lab LEFT JOIN last ON last.row_id = CASE WHEN lab.row_id % 7 = 0 THEN -lab.row_id ELSE lab.row_id END""")
 def enrich_types(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("row_id"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
-    return joins.enrich(proxies.labels(spark, sf).select("row_id", "split"), lines, "row_id", "flag", "at")
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    rows = proxies.labels(spark, sf).withColumn("key", F.when(F.col("row_id") % 7 == 0, -F.col("row_id")).otherwise(F.col("row_id")))  # some keys have no lines
+    return joins.enrich(rows.select("row_id", "split", "key"), lines, "key", "flag", "at").drop("key")
 
 
 @query("SELECT c_custkey, n_name, scenario FROM customer JOIN nation ON n_nationkey = c_nationkey CROSS JOIN (VALUES ('original'), ('ocr_drop'), ('ocr_mask')) t(scenario)")
@@ -178,12 +198,12 @@ def scenario_cross(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(nation, "c_nationkey").select("c_custkey", "n_name", names.alias("scenario"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS k1, l_linenumber AS k2, max(l_partkey) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2), b AS (SELECT l_orderkey AS k1, max(l_partkey) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-SELECT o_orderkey, coalesce(a.v, b.v) AS part FROM orders LEFT JOIN a ON o_orderkey = a.k1 AND a.k2 = 1 LEFT JOIN b ON o_orderkey = b.k1""")
+@query("""WITH l AS (SELECT l_orderkey AS k1, l_linenumber AS k2, {'at': l_shipdate, 'v': l_partkey} AS r FROM lineitem), a AS (SELECT k1, k2, max(r).v AS v FROM l GROUP BY 1, 2), b AS (SELECT k1, max(r).v AS v FROM l GROUP BY 1)
+SELECT o_orderkey, coalesce(a.v, b.v) AS part FROM orders LEFT JOIN a ON o_orderkey = a.k1 AND a.k2 = o_orderkey % 9 + 1 LEFT JOIN b ON o_orderkey = b.k1""")
 def lookup_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
-    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("order"), F.lit(1).alias("line"))
-    return joins.lookup(rows, lines, [["order", "line"], ["order"]], "part").select("o_orderkey", "part")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("at"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("order"), (F.col("o_orderkey") % 9 + 1).alias("line"))  # not every order has so many lines
+    return joins.lookup(rows, lines, [["order", "line"], ["order"]], "part", "at").select("o_orderkey", "part")
 
 
 @query(f"WITH {QA}, m AS (SELECT question, answer, max(conv_id) AS found FROM qa GROUP BY ALL) SELECT qa.conv_id, qa.turn, m.found FROM qa JOIN m USING (question, answer)")

@@ -30,11 +30,11 @@ _SCORED = f"""{PREDICTIONS}, pw AS (SELECT *, {_words('prediction')} AS p, {_wor
    CASE WHEN {_N('prediction')} = {_N('answers[2]')} OR {_N('prediction')} = {_N('gold')} THEN 1.0::DOUBLE ELSE 0.0 END AS best_em, greatest({_f1_sql('p', 'g')}, {_f1_sql('p', 'g2')}) AS best_f1 FROM pw)"""
 _BASE = f"""cnt AS (SELECT scenario, coarse_type, {_N('gold')} AS a, count(*) AS n FROM pred GROUP BY ALL), tot AS (SELECT scenario, coarse_type, sum(n) AS size FROM cnt GROUP BY ALL),
  wd AS (SELECT *, list_filter(string_split(a, ' '), lambda w: w <> '') AS w FROM cnt),
- pr AS (SELECT x.scenario, x.coarse_type, x.a, sum(y.n * {_f1_sql('x.w', 'y.w')}) AS s FROM wd x JOIN wd y ON x.scenario = y.scenario AND x.coarse_type = y.coarse_type AND x.a <> y.a GROUP BY ALL),
+ pr AS (SELECT x.scenario, x.coarse_type, x.a, sum(y.n * CAST(round({_f1_sql('x.w', 'y.w')} * 1000000000) AS BIGINT))::DOUBLE / 1000000000 AS s FROM wd x JOIN wd y ON x.scenario = y.scenario AND x.coarse_type = y.coarse_type AND x.a <> y.a GROUP BY ALL),
  base AS (SELECT cnt.scenario, cnt.coarse_type, cnt.a, CASE WHEN size > 1 THEN (n - 1)::DOUBLE / (size - 1) ELSE 1.0 END AS random_em, CASE WHEN size > 1 THEN (n - 1 + coalesce(s, 0))::DOUBLE / (size - 1) ELSE 1.0 END AS random_f1
    FROM cnt JOIN tot USING (scenario, coarse_type) LEFT JOIN pr ON pr.scenario = cnt.scenario AND pr.coarse_type = cnt.coarse_type AND pr.a = cnt.a)"""
 _FULL = f"{_SCORED}, {_BASE}, full_ AS (SELECT o.*, b.random_em, b.random_f1, exact_match - b.random_em AS corrected_em, token_f1 - b.random_f1 AS corrected_f1 FROM own_score o JOIN base b ON b.scenario = o.scenario AND b.coarse_type = o.coarse_type AND b.a = {_N('o.gold')})"
-_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in metrics.SCORES)
+_MEANS = ", ".join(f"{metrics.exact_mean_sql(c)} AS {c}" for c in metrics.SCORES)
 
 
 def _rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -93,15 +93,16 @@ def predict_oracle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT p_type, p_partkey, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type) AS size FROM part),
-w AS (SELECT *, CAST(concat('0x', substr(md5('7:' || CAST(p_partkey AS VARCHAR)), 1, 12)) AS BIGINT) % size AS pick FROM p)
-SELECT w.p_partkey, p.p_name AS prediction FROM w JOIN p ON p.p_type = w.p_type AND p.place = w.pick""")
+w AS (SELECT *, CAST(concat('0x', substr(md5('7:' || CAST(p_partkey AS VARCHAR)), 1, 12)) AS BIGINT) AS h FROM p),
+o AS (SELECT w.p_partkey, q.p_name, row_number() OVER (PARTITION BY w.p_partkey ORDER BY q.place) - 1 AS k, w.h % count(*) OVER (PARTITION BY w.p_partkey) AS pick FROM w JOIN p q ON q.p_type = w.p_type AND (q.p_partkey <> w.p_partkey OR w.size = 1))
+SELECT p_partkey, p_name AS prediction FROM o WHERE k = pick""")
 def predict_random(spark: SparkSession, sf: str) -> DataFrame:
-    """The control that answers with a seeded pick from the pool of its type."""
+    """The control that answers with a seeded pick from the other rows of its type, or its own if there is no other."""
     p = table(spark, sf, "part").select("p_partkey", "p_type", "p_name")
     placed = p.withColumn("place", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")) - 1)
     sizes = p.groupBy("p_type").agg(F.count(F.lit(1)).alias("size"))
-    pick = F.conv(F.substring(F.md5(F.concat(F.lit("7:"), F.col("p_partkey").cast("string"))), 1, 12), 16, 10).cast("long") % F.col("size")
-    wanted = p.join(sizes, "p_type").select("p_partkey", "p_type", pick.alias("place"))
+    pick = F.conv(F.substring(F.md5(F.concat(F.lit("7:"), F.col("p_partkey").cast("string"))), 1, 12), 16, 10).cast("long") % F.greatest(F.col("size") - 1, F.lit(1))
+    wanted = placed.join(sizes, "p_type").select("p_partkey", "p_type", (pick + ((pick >= F.col("place")) & (F.col("size") > 1)).cast("int")).alias("place"))
     return wanted.join(placed.select("p_type", "place", F.col("p_name").alias("prediction")), ["p_type", "place"]).select("p_partkey", "prediction")
 
 
@@ -112,12 +113,12 @@ def answer_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_FULL} SELECT scenario, count(*) AS n_examples, {_MEANS} FROM full_ GROUP BY scenario")
 def metrics_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.means(_full(spark, sf), "scenario"), *metrics.SCORES)
+    return metrics.means(_full(spark, sf), "scenario")
 
 
 @query(f"WITH {_FULL} SELECT scenario, coarse_type, count(*) AS n_examples, {_MEANS} FROM full_ GROUP BY ALL")
 def metrics_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.means(_full(spark, sf), "scenario", "coarse_type"), *metrics.SCORES)
+    return metrics.means(_full(spark, sf), "scenario", "coarse_type")
 
 
 _TOTALS = f"SELECT split, scenario, CASE WHEN grouping(coarse_type) = 1 THEN 'ALL' ELSE coarse_type END AS coarse_type, count(*) AS n_examples, {_MEANS} FROM full_ GROUP BY GROUPING SETS ((split, scenario, coarse_type), (split, scenario))"
@@ -125,7 +126,7 @@ _TOTALS = f"SELECT split, scenario, CASE WHEN grouping(coarse_type) = 1 THEN 'AL
 
 @query(f"WITH {_FULL} {_TOTALS}")
 def extraction_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.means_with_totals(_full(spark, sf), ["split", "scenario"], "coarse_type"), *metrics.SCORES)
+    return metrics.means_with_totals(_full(spark, sf), ["split", "scenario"], "coarse_type")
 
 
 @query(f"WITH {_FULL}, t AS ({_TOTALS}) SELECT scenario, corrected_em FROM t WHERE split = 'seen' AND coarse_type = 'ALL' AND scenario IN ('original', 'img_black')")
@@ -146,17 +147,19 @@ def sanity_em(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("_rank <= 100").groupBy("split").agg(F.avg("exact_match").alias("exact_match"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SCORES} SELECT event_type AS field_type, round(avg(CASE WHEN s.confidence IS NOT NULL AND NOT isnan(s.confidence) AND NOT isinf(s.confidence) THEN s.confidence END), 6) AS train_loss FROM events JOIN sc s ON s.example_id = event_id GROUP BY 1")
+@query(f"WITH {SCORES} SELECT event_type AS field_type, {metrics.exact_mean_sql('(CASE WHEN s.confidence IS NOT NULL AND NOT isnan(s.confidence) AND NOT isinf(s.confidence) THEN s.confidence END)')} AS train_loss FROM events JOIN sc s ON s.example_id = event_id GROUP BY 1")
 def epoch_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Mean loss of each epoch over finite batches; event types stand for epochs."""
-    return _rounded(proxies.scores(spark, sf).groupBy("field_type").agg(F.avg(membership.finite(F.col("confidence"))).alias("train_loss")), "train_loss")
+    return proxies.scores(spark, sf).groupBy("field_type").agg(metrics.exact_mean(membership.finite(F.col("confidence"))).alias("train_loss"))
 
 
-@query("SELECT vec_id, round(exp(list_avg(list_transform(embedding[1:greatest(coalesce(nullif(list_position([(vec_id + 1) % 7, (vec_id + 2) % 7, (vec_id + 3) % 7, (vec_id + 4) % 7], 2), 0), 4), 1)], lambda x: -abs(x::DOUBLE)))), 6) AS confidence FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:coalesce(nullif(list_position([(vec_id + 1) % 7, (vec_id + 2) % 7, (vec_id + 3) % 7, (vec_id + 4) % 7], 2), 0), 4)], lambda x: CASE WHEN vec_id % 11 = 0 THEN '-Infinity'::DOUBLE ELSE -abs(x::DOUBLE) END) AS logs FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN -100.0::DOUBLE WHEN vec_id % 13 = 0 THEN 0.0 ELSE round(list_avg(logs), 6) END AS confidence FROM v""")
 def seq_confidence(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     tokens = F.array(*((F.col("vec_id") + i) % 7 for i in (1, 2, 3, 4)))
-    logs = F.transform(F.slice("embedding", 1, 4), lambda x: -F.abs(x.cast("double")))
+    every = F.transform(F.slice("embedding", 1, 4), lambda x: F.when(F.col("vec_id") % 11 == 0, float("-inf")).otherwise(-F.abs(x.cast("double"))))
+    logs = F.when((F.col("vec_id") % 13 == 0) & (F.col("vec_id") % 11 != 0), F.array().cast("array<double>")).otherwise(every)
     return _rounded(e.select("vec_id", scoring.sequence_confidence(logs, tokens, 2).alias("confidence")), "confidence")
 
 
@@ -208,18 +211,18 @@ def mia_welch_p(spark: SparkSession, sf: str) -> DataFrame:
 _STATS = ["mean_seen_conf", "std_seen_conf", "mean_unseen_conf", "std_unseen_conf", "mean_seen_loss", "mean_unseen_loss", "auc_confidence", "auc_loss"]
 
 
-@query(f"""WITH {SCORES}, s AS (SELECT model, avg(confidence) FILTER (split = 'seen') AS mean_seen_conf, stddev_samp(confidence) FILTER (split = 'seen') AS std_seen_conf, avg(confidence) FILTER (split <> 'seen') AS mean_unseen_conf, stddev_samp(confidence) FILTER (split <> 'seen') AS std_unseen_conf,
- avg(loss) FILTER (split = 'seen') AS mean_seen_loss, avg(loss) FILTER (split <> 'seen') AS mean_unseen_loss, count(*) FILTER (split = 'seen') AS n_seen, count(*) FILTER (split <> 'seen') AS n_unseen FROM fin GROUP BY model),
+@query(f"""WITH {SCORES}, s AS (SELECT model, {metrics.exact_mean_sql("(CASE WHEN split = 'seen' THEN confidence END)", 5)} AS mean_seen_conf, stddev_samp(confidence) FILTER (split = 'seen') AS std_seen_conf, {metrics.exact_mean_sql("(CASE WHEN split <> 'seen' THEN confidence END)", 5)} AS mean_unseen_conf, stddev_samp(confidence) FILTER (split <> 'seen') AS std_unseen_conf,
+ {metrics.exact_mean_sql("(CASE WHEN split = 'seen' THEN loss END)", 5)} AS mean_seen_loss, {metrics.exact_mean_sql("(CASE WHEN split <> 'seen' THEN loss END)", 5)} AS mean_unseen_loss, count(*) FILTER (split = 'seen') AS n_seen, count(*) FILTER (split <> 'seen') AS n_unseen FROM fin GROUP BY model),
  a AS (SELECT s.*, c.auc AS auc_confidence, l.auc AS auc_loss FROM s JOIN {_auc_sql('confidence', 'model')} c USING (model) JOIN {_auc_sql('-loss', 'model')} l USING (model))
 SELECT model, n_seen, n_unseen, {', '.join(f'round({c}, 5) AS {c}' for c in _STATS)} FROM a""")
 def mia_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(membership.summary(proxies.scores(spark, sf), "model"), *_STATS, places=5)
 
 
-@query(f"WITH {SCORES} SELECT model, split, count(*) AS n, min(confidence) AS lo, max(confidence) AS hi, round(avg(confidence), 5) AS mean, round(coalesce(stddev_samp(confidence), 0), 5) AS std FROM fin GROUP BY ALL")
+@query(f"WITH {SCORES} SELECT model, split, count(*) AS n, min(confidence) AS lo, max(confidence) AS hi, {metrics.exact_mean_sql('confidence', 5)} AS mean, round(coalesce(stddev_samp(confidence), 0), 5) AS std FROM fin GROUP BY ALL")
 def mia_hist_summary(spark: SparkSession, sf: str) -> DataFrame:
     c = "confidence"
-    out = _fin(spark, sf).groupBy("model", "split").agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"))
+    out = _fin(spark, sf).groupBy("model", "split").agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), metrics.exact_mean(c, 5).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"))
     return _rounded(out, "mean", "std", places=5)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..operators import checks, report, scenarios
+from ..operators.metrics import exact_mean, exact_mean_sql
 from ..sources import manifests
 from ..streaming import live
 from .proxies import SCORES
@@ -27,9 +28,9 @@ def audit_scenarios(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.grid(spark).where("ocr_strategy <> 'none' OR image_strategy <> 'none'").select("scenario_id", "ocr_strategy", "image_strategy")
 
 
-@query(f"WITH {_EVENTS} SELECT model, mode, round(avg(value), 6) AS value FROM ev GROUP BY ALL")
+@query(f"WITH {_EVENTS} SELECT model, mode, {exact_mean_sql('value')} AS value FROM ev GROUP BY ALL")
 def mode_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return report.mode_means(_events(spark, sf), ["model", "mode"], "value").withColumn("value", F.round("value", 6))
+    return report.mode_means(_events(spark, sf), ["model", "mode"], "value")
 
 
 @query("SELECT 'small' AS model, user_id, value FROM events WHERE event_type = 'view' UNION ALL SELECT 'large', user_id, NULL FROM events WHERE event_type = 'click'")
@@ -38,10 +39,9 @@ def report_union(spark: SparkSession, sf: str) -> DataFrame:
     return report.tagged_union({"small": e.where("event_type = 'view'").select("user_id", "value"), "large": e.where("event_type = 'click'").select("user_id")}).select("model", "user_id", "value")
 
 
-@query(f"WITH {_EVENTS} SELECT event_type, round(avg(value) FILTER (mode = 'image'), 6) AS image, round(avg(value) FILTER (mode = 'image_ocr'), 6) AS image_ocr FROM ev GROUP BY event_type")
+@query(f"WITH {_EVENTS} SELECT event_type, {exact_mean_sql("(CASE WHEN mode = 'image' THEN value END)")} AS image, {exact_mean_sql("(CASE WHEN mode = 'image_ocr' THEN value END)")} AS image_ocr FROM ev GROUP BY event_type")
 def report_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    out = report.pivot(_events(spark, sf), "event_type", "mode", ["image", "image_ocr"], "value")
-    return out.select("event_type", F.round("image", 6).alias("image"), F.round("image_ocr", 6).alias("image_ocr"))
+    return report.pivot(_events(spark, sf), "event_type", "mode", ["image", "image_ocr"], "value")
 
 
 @query("SELECT p_partkey, 'p_size' AS metric, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
@@ -56,11 +56,11 @@ def report_metric_rows(spark: SparkSession, sf: str) -> DataFrame:
     return report.metric_rows(rows, ["p_brand", "kind"], ["size", "price"])
 
 
-@query(f"WITH {SCORES}, a AS (SELECT model, round(avg(confidence), 5) AS confidence, round(avg(loss), 5) AS loss FROM fin GROUP BY model) SELECT model, 'confidence' AS metric, confidence AS value FROM a UNION ALL SELECT model, 'loss', loss FROM a")
+@query(f"WITH {SCORES}, a AS (SELECT model, {exact_mean_sql('confidence', 5)} AS confidence, {exact_mean_sql('loss', 5)} AS loss FROM fin GROUP BY model) SELECT model, 'confidence' AS metric, confidence AS value FROM a UNION ALL SELECT model, 'loss', loss FROM a")
 def report_mia_bars(spark: SparkSession, sf: str) -> DataFrame:
     from .metric_queries import mia_sanitize
 
-    means = mia_sanitize(spark, sf).groupBy("model").agg(F.round(F.avg("confidence"), 5).alias("confidence"), F.round(F.avg("loss"), 5).alias("loss"))
+    means = mia_sanitize(spark, sf).groupBy("model").agg(exact_mean("confidence", 5).alias("confidence"), exact_mean("loss", 5).alias("loss"))
     return report.melt(means, ["model"], ["confidence", "loss"])
 
 
@@ -78,9 +78,9 @@ def report_scatter(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "nation", "left")
 
 
-@query(f"WITH {_EVENTS}, m AS (SELECT model, event_type, round(avg(value), 9) AS value FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY value DESC, event_type) AS rn FROM m) SELECT model, event_type, round(value, 6) AS value FROM r WHERE rn = 1")
+@query(f"WITH {_EVENTS}, m AS (SELECT model, event_type, {exact_mean_sql('value')} AS value FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY value DESC, event_type) AS rn FROM m) SELECT model, event_type, value FROM r WHERE rn = 1")
 def report_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return report.best_by(_events(spark, sf), ["model"], "event_type", "value").withColumn("value", F.round("value", 6))
+    return report.best_by(_events(spark, sf), ["model"], "event_type", "value")
 
 
 @query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (text IS NULL OR trim(text) = '') AS text_full, count(*) FILTER (lang NOT IN ('en', 'de')) AS lang_known, count(*) FILTER (n_chars <> length(text)) AS length_right, count(*) - count(DISTINCT doc_id) AS ids FROM documents)
@@ -112,7 +112,7 @@ def empty_source(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.read_optional(spark, f"{tempfile.gettempdir()}/there-is-no-such-table", "p_partkey long, total decimal(38,0)")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+@query(f"SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, {exact_mean_sql('value')} AS value FROM events GROUP BY ALL")
 def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly means of a stream of scored rows, run to its end."""
     return live.hourly_metrics(spark, f"{sf}/events.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, geometry, spans
 from ..functions.text import normalize
-from ..operators import containment
+from ..operators import containment, scenarios
 from . import proxies
 from .proxies import OWN, SUB
 from .registry import query, table
@@ -135,6 +135,30 @@ def audit_ocr_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return containment.leak_audit(rows, ["lang"])
 
 
+_BLANK = {"black": "false", "white": "n_chars % 40 = 0", "blur": "n_chars % 60 = 0"}
+_FACTS = f"""{SUB}, rec AS (SELECT own.*, documents.n_chars, [own.answer, toks[1]] AS answers FROM own JOIN documents USING (doc_id) WHERE {proxies.norm_sql('own.answer')} <> ''),
+ grid(scenario_id, ocr, image, k) AS (VALUES {', '.join(f"('ocr_{o}__img_{i}{b}__k_{k}', '{o}', '{i}', {k})" for k in fixed.CONTEXT_WINDOWS for o in fixed.OCR_STRATEGIES for i, b in (("none", ""), ("black", ""), ("white", ""), ("blur", "_10"), ("blur", "_20"), ("blur", "_50")) if (o, i) != ("none", "none"))}),
+ h AS (SELECT DISTINCT doc_id, k, unnest(range(greatest(s - k, 0), least(e + k, len(toks) - 1) + 1)) AS i FROM span JOIN own USING (doc_id), (VALUES (0), (20)) w(k)),
+ tn AS (SELECT doc_id, token, {proxies.norm_sql('t')} AS n FROM tok),
+ j AS (SELECT o.ocr, w.k, tn.doc_id, ' ' || coalesce(string_agg(CASE WHEN h.i IS NULL AND n <> '' THEN n WHEN h.i IS NOT NULL AND o.ocr = 'mask' THEN 'redacted' END, ' ' ORDER BY token), '') || ' ' AS txt
+   FROM tn CROSS JOIN (VALUES (0), (20)) w(k) CROSS JOIN (VALUES ('drop'), ('mask')) o(ocr) LEFT JOIN h ON h.doc_id = tn.doc_id AND h.i = tn.token AND h.k = w.k GROUP BY ALL),
+ leak AS (SELECT j.ocr, j.k, j.doc_id FROM j JOIN rec USING (doc_id) WHERE contains(txt, ' ' || {proxies.norm_sql('answers[1]')} || ' ') OR ({proxies.norm_sql('answers[2]')} <> '' AND contains(txt, ' ' || {proxies.norm_sql('answers[2]')} || ' '))),
+ still AS (SELECT doc_id, image FROM rec, LATERAL (VALUES {', '.join(f"('{i}', {c})" for i, c in _BLANK.items())}) t(image, same) WHERE same),
+ fail AS (SELECT scenario_id, doc_id FROM grid JOIN leak USING (ocr, k) UNION SELECT scenario_id, doc_id FROM grid JOIN still USING (image)),
+ res AS (SELECT scenario_id, ocr AS ocr_strategy, image AS image_strategy, k AS context_window, CASE WHEN ocr <> 'none' THEN (SELECT count(*) FROM rec) ELSE 0 END AS ocr_checked, (SELECT count(*) FROM leak WHERE leak.ocr = grid.ocr AND leak.k = grid.k) AS ocr_leaks,
+   CASE WHEN image <> 'none' THEN (SELECT count(*) FROM rec) ELSE 0 END AS image_checked, (SELECT count(*) FROM still WHERE still.image = grid.image) AS image_unchanged,
+   coalesce((SELECT list(doc_id ORDER BY doc_id) FROM fail WHERE fail.scenario_id = grid.scenario_id), [])[1:20] AS example_failures FROM grid)"""
+
+
+@query(f"WITH {_FACTS} SELECT *, ocr_leaks = 0 AND image_unchanged = 0 AS passed, (SELECT sum(ocr_leaks + image_unchanged) = 0 FROM res) AS all_passed FROM res")
+def audit_scenarios_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scenario over every document: its answer and its first token may not be found again; pictures of some
+    lengths are blank, so that white or blurred boxes look as before."""
+    chars = table(spark, sf, "documents").select("doc_id", "n_chars")
+    rows = _with_spans(spark, sf).where(normalize(F.col("answer")) != "").join(chars, "doc_id").withColumn("answers", F.array("answer", F.get("tokens", F.lit(0))))
+    return containment.scenario_audit(rows, scenarios.grid(spark), "doc_id", {image: F.expr(same) for image, same in _BLANK.items()})
+
+
 @query(r"""WITH b AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [p_size + 0.5, p_size + 1.5, p_size + 10.5, p_size + 12.25] WHEN 1 THEN [p_size, 1.0, p_size + 9.0, 1.0, p_size + 9.0, 7.5, p_size, 7.5] WHEN 2 THEN [0.25, 0.5, 0.75, 1.0] ELSE [1.0, 2.0, 3.0] END::DOUBLE[] AS box FROM part),
 c AS (SELECT p_partkey, CASE WHEN len(box) = 4 THEN box WHEN len(box) = 8 THEN [list_min([box[1], box[3], box[5], box[7]]), list_min([box[2], box[4], box[6], box[8]]), list_max([box[1], box[3], box[5], box[7]]), list_max([box[2], box[4], box[6], box[8]])] END AS c FROM b),
 d AS (SELECT p_partkey, CASE WHEN list_max(c) <= 1 THEN [c[1] * 200, c[2] * 100, c[3] * 200, c[4] * 100] ELSE c END AS c FROM c)

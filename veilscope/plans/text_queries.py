@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -56,14 +56,12 @@ def blur_sigma(spark: SparkSession, sf: str) -> DataFrame:
 _PARSE_INPUTS = ["original", " img_black ", "ocr_mask_k20", "img_black+ocr_drop_k0", "img_white+ocr_mask_k0+img_blur_50", "ocr_mask__img_blur_20__k_20", "ocr_none__img_black__k_0", "ocr_drop__img_none__k_7", "img_black+what", "nonsense"]
 
 
-@query("""SELECT * FROM (VALUES ('original', 'original', 'original', 0, NULL), (' img_black ', 'img_black', 'original', 0, NULL), ('ocr_mask_k20', 'original', 'ocr_mask_k20', 20, NULL),
- ('img_black+ocr_drop_k0', 'img_black', 'ocr_drop_k0', 0, NULL), ('img_white+ocr_mask_k0+img_blur_50', 'img_blur_50', 'ocr_mask_k0', 0, NULL), ('ocr_mask__img_blur_20__k_20', 'img_blur_20', 'ocr_mask_k20', 20, NULL),
- ('ocr_none__img_black__k_0', 'img_black', 'ocr_none', 0, NULL), ('ocr_drop__img_none__k_7', 'original', 'ocr_drop_k7', 7, NULL), ('img_black+what', NULL, NULL, NULL, 'unsupported'), ('nonsense', NULL, NULL, NULL, 'unsupported'))
- t(scenario_id, image_id, ocr_id, context_window, error)""")
+@query("""SELECT p_partkey, scenario_id, image_id, ocr_id, context_window, error FROM part JOIN (VALUES (0, 'original', 'original', 'original', 0, NULL), (1, ' img_black ', 'img_black', 'original', 0, NULL), (2, 'ocr_mask_k20', 'original', 'ocr_mask_k20', 20, NULL), (3, 'img_black+ocr_drop_k0', 'img_black', 'ocr_drop_k0', 0, NULL), (4, 'img_white+ocr_mask_k0+img_blur_50', 'img_blur_50', 'ocr_mask_k0', 0, NULL), (5, 'ocr_mask__img_blur_20__k_20', 'img_blur_20', 'ocr_mask_k20', 20, NULL), (6, 'ocr_none__img_black__k_0', 'img_black', 'ocr_none', 0, NULL), (7, 'ocr_drop__img_none__k_7', 'original', 'ocr_drop_k7', 7, NULL), (8, 'img_black+what', NULL, NULL, NULL, 'unsupported'), (9, 'nonsense', NULL, NULL, NULL, 'unsupported'))
+ t(i, scenario_id, image_id, ocr_id, context_window, error) ON i = p_partkey % 10""")
 def scenario_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in _PARSE_INPUTS], "scenario_id string")
     parsed = scenarios.parse(F.col("scenario_id"))
-    return rows.select("scenario_id", parsed["image_id"].alias("image_id"), parsed["ocr_id"].alias("ocr_id"), parsed["context_window"].alias("context_window"), parsed["error"].alias("error"))
+    rows = table(spark, sf, "part").select("p_partkey", _pick(_PARSE_INPUTS).alias("scenario_id"))
+    return rows.select("p_partkey", "scenario_id", parsed["image_id"].alias("image_id"), parsed["ocr_id"].alias("ocr_id"), parsed["context_window"].alias("context_window"), parsed["error"].alias("error"))
 
 
 @query(f"SELECT doc_id, md5({proxies.norm_sql('text')}) AS norm FROM documents")
@@ -111,35 +109,49 @@ def example_id_md5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RAW_LABELS = [*fixed.LABEL_ALIASES, *fixed.TAXONOMY, " date ", "'money'.", "person_name!", "unknown thing", "", "Org"]
-_RAW_VALUES = ", ".join(f"('{x.replace(chr(39), chr(39) * 2)}')" for x in _RAW_LABELS)
+_RAW_SQL = "raw AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '  ' || r || '. ' WHEN 1 THEN r ELSE lower(r) END AS raw FROM (SELECT p_partkey, p_size, [" + ", ".join(f"'{x.replace(chr(39), chr(39) * 2)}'" for x in _RAW_LABELS) + f"][p_partkey % {len(_RAW_LABELS)} + 1] AS r FROM part))"
 _ALIAS_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in fixed.LABEL_ALIASES.items())
 _TYPE_LIST = ", ".join(f"'{t}'" for t in fixed.TAXONOMY)
 
 
-@query(f"""WITH raw(raw) AS (VALUES {_RAW_VALUES}), al(a, b) AS (VALUES {_ALIAS_VALUES}), v AS (SELECT raw, upper(trim(regexp_replace(trim(raw), '[`"''.,:;!?]+', '', 'g'))) AS v FROM raw)
-SELECT raw, CASE WHEN v IN ({_TYPE_LIST}) THEN v ELSE coalesce(b, 'OTHER') END AS label FROM v LEFT JOIN al ON a = v""")
+def _pick(values: list, key: str = "p_partkey") -> Column:
+    """The value that a key falls on, in turn."""
+    return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def _raw_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of parts as models write them: padded, as they are, or in lower case."""
+    r, kind = _pick(_RAW_LABELS), F.col("p_size") % 3
+    return table(spark, sf, "part").select("p_partkey", F.when(kind == 0, F.concat(F.lit("  "), r, F.lit(". "))).when(kind == 1, r).otherwise(F.lower(r)).alias("raw"))
+
+
+@query(f"""WITH {_RAW_SQL}, al(a, b) AS (VALUES {_ALIAS_VALUES}), v AS (SELECT p_partkey, raw, upper(trim(regexp_replace(trim(raw), '[`"''.,:;!?]+', '', 'g'))) AS v FROM raw)
+SELECT p_partkey, raw, CASE WHEN v IN ({_TYPE_LIST}) THEN v ELSE coalesce(b, 'OTHER') END AS label FROM v LEFT JOIN al ON a = v""")
 def label_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in _RAW_LABELS], "raw string").select("raw", text.normalize_label(F.col("raw")).alias("label"))
+    return _raw_labels(spark, sf).select("p_partkey", "raw", text.normalize_label(F.col("raw")).alias("label"))
 
 
-@query(f"""WITH raw(raw) AS (VALUES {_RAW_VALUES}), v AS (SELECT raw, regexp_replace(trim(raw), '[`"''.,:;!?\\s]+', '', 'g') AS v FROM raw)
-SELECT raw, CASE WHEN upper(v) IN ({_TYPE_LIST}) THEN upper(v) WHEN regexp_matches(lower(v), '^[a-z][a-z0-9_]*$') THEN lower(v) ELSE 'OTHER' END AS label,
+@query(f"""WITH {_RAW_SQL}, v AS (SELECT p_partkey, raw, regexp_replace(trim(raw), '[`"''.,:;!?\\s]+', '', 'g') AS v FROM raw)
+SELECT p_partkey, raw, CASE WHEN upper(v) IN ({_TYPE_LIST}) THEN upper(v) WHEN regexp_matches(lower(v), '^[a-z][a-z0-9_]*$') THEN lower(v) ELSE 'OTHER' END AS label,
        upper(v) NOT IN ({_TYPE_LIST}) AND regexp_matches(lower(v), '^[a-z][a-z0-9_]*$') AS is_new FROM v""")
 def label_normalize_pilot(spark: SparkSession, sf: str) -> DataFrame:
     label = text.normalize_label_pilot(F.col("raw"))
-    return spark.createDataFrame([(x,) for x in _RAW_LABELS], "raw string").select("raw", label["label"].alias("label"), label["is_new"].alias("is_new"))
+    return _raw_labels(spark, sf).select("p_partkey", "raw", label["label"].alias("label"), label["is_new"].alias("is_new"))
 
 
+#: Answers of a model, the label that each must give, and whether it is a new one; ``@`` stands for the part's size.
 _MODEL_ANSWERS = [
-    ('{"field_type": "DATE"}', "DATE", False), ('Sure: {"field_type": "OTHER", "new_type": "box_code"} done', "OTHER", False), ('{"field_type": "box_code"}', "box_code", True),
-    ('{"field_type": "", "new_type": "tax_rate"}', "tax_rate", True), ("it is an amount, I think", "AMOUNT", False), ("no idea", "OTHER", False), ("", "OTHER", False), ('{"field_type": "Not Good", "new_type": "Bad"}', "OTHER", False), ("{broken json DATE", "DATE", False),
+    ('{"field_type": "DATE"}', "DATE", False), ('Sure: {"field_type": "OTHER", "new_type": "box_code"} done @', "OTHER", False), ('{"field_type": "code_@"}', "code_@", True),
+    ('{"field_type": "", "new_type": "rate_@"}', "rate_@", True), ("it is an amount of @, I think", "AMOUNT", False), ("no idea about @", "OTHER", False), ("", "OTHER", False), ('{"field_type": "Not Good", "new_type": "Bad"}', "OTHER", False),
+    ("{broken json DATE @", "DATE", False), ('{"other": "DATE"}', "OTHER", False), ("{} or PHONE", "PHONE", False), ('{"field_type": null, "new_type": "tax_@"}', "tax_@", True), ('{"field_type": "ORG", "why": {"a": [1, 2]}}', "ORG", False),
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in _MODEL_ANSWERS) + ") t(raw, label, is_new)")
+@query("SELECT p_partkey, replace(raw, '@', CAST(p_size AS VARCHAR)) AS raw, replace(label, '@', CAST(p_size AS VARCHAR)) AS label, is_new FROM part JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {str(c).lower()})" for i, (a, b, c) in enumerate(_MODEL_ANSWERS)) + f") t(i, raw, label, is_new) ON i = p_partkey % {len(_MODEL_ANSWERS)}")
 def parse_llm_json(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.replace(_pick([a for a, _, _ in _MODEL_ANSWERS]), F.lit("@"), F.col("p_size").cast("string"))
     label = text.parse_model_answer(F.col("raw"))
-    return spark.createDataFrame([(a,) for a, _, _ in _MODEL_ANSWERS], "raw string").select("raw", label["label"].alias("label"), label["is_new"].alias("is_new"))
+    return table(spark, sf, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", "raw", label["label"].alias("label"), label["is_new"].alias("is_new"))
 
 
 @query(f"""WITH {proxies.QA} SELECT conv_id, turn, CASE WHEN conv_id % 3 <> 2 THEN {proxies.squeeze_sql('question')}

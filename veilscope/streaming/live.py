@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import exact_mean
 from ..sources.manifests import scratch
 
 
@@ -43,7 +44,7 @@ def to_end(stream: DataFrame, mode: str) -> DataFrame:
 
 def hourly_metrics(spark: SparkSession, path: str) -> DataFrame:
     rows = timed(source(spark, path)).withWatermark("ts", "2 hours")
-    counted = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("value"))
+    counted = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), exact_mean("value").alias("value"))
     return to_end(counted.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "value"), "complete")
 
 
