@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilscope.functions import geometry, pixels, rules, scoring, spans, text
-from veilscope.operators import checks, membership, plugins, report, sampling, scenarios
+from veilscope.operators import checks, joins, membership, metrics, plugins, report, sampling, scenarios
+from veilscope.sources import manifests
 
 
 def one(spark, **columns):
@@ -116,6 +117,95 @@ def test_scenarios(spark):
     assert row["a"]["error"] == "unsupported" and row["b"]["error"] == "unsupported"
 
 
+def test_reasons_and_answers_have_fixed_values(spark):
+    label = lambda q, a: one(spark, x=rules.label(F.lit(q), F.lit(a)))["x"]["rule_reason"]
+    assert [label("What?", a) for a in ("", "a@b.org", "5 %", "none", "12", "one two three four five")] == ["empty_answer", "email_or_url_regex", "percentage_regex", "generic_short_label", "plain_numeric", "long_text_span"]
+    parsed = lambda x: tuple(one(spark, x=text.parse_model_answer(F.lit(x)))["x"])
+    assert parsed('{"other": "DATE"}') == ("OTHER", False) and parsed("{} DATE") == ("DATE", False) and parsed('{"field_type": "tax_id"}') == ("tax_id", True)
+    assert one(spark, n=text.char_code_sum(F.lit("aé")), e=text.char_code_sum(F.lit(""))) == (97 + 233, 0)
+
+
+def test_confidence_is_a_mean_log_probability(spark):
+    logs = lambda *x: F.array(*map(F.lit, x)).cast("array<double>")
+    tokens = F.array(F.lit(5), F.lit(2), F.lit(7))
+    row = one(spark, a=scoring.sequence_confidence(logs(-1.0, -3.0, -9.0), tokens, 2), b=scoring.sequence_confidence(logs(-1.0, -2.0, -3.0), tokens, 4), c=scoring.sequence_confidence(logs(), tokens, 2), d=scoring.sequence_confidence(logs(float("-inf")), tokens, 4))
+    assert tuple(row) == (-2.0, -2.0, 0.0, -100.0)
+
+
+def test_small_samples_have_fixed_statistics(spark):
+    rows = spark.createDataFrame([("m", "seen", float(i), 1.0) for i in range(9)], "model string, split string, confidence double, loss double")
+    out = membership.summary(rows, "model").first()
+    assert (out["n_seen"], out["auc_confidence"], out["auc_loss"], out["mean_seen_conf"], out["std_unseen_conf"]) == (9, 0.5, 0.5, 0.0, 0.0)
+
+
+def test_exact_means_do_not_depend_on_order(spark):
+    values = [0.1, 0.2, 0.3, -0.25, 1 / 3, 0.7] * 50 + [0.0000005]
+    out = {spark.createDataFrame([(v,) for v in (values if i % 2 else values[::-1])], "v double").repartition(i + 1).agg(metrics.exact_mean("v").alias("m")).first()["m"] for i in range(6)}
+    assert len(out) == 1 and out.pop() == pytest.approx(sum(values) / len(values), abs=1e-6)
+    assert spark.range(0).agg(metrics.exact_mean("id").alias("m")).first()["m"] is None
+
+
+def test_lookup_takes_the_last_row(spark):
+    source = spark.createDataFrame([("a", 9, 1), ("a", 3, 2)], "k string, v int, at int")
+    assert joins.lookup(spark.createDataFrame([("a",), ("b",)], "k string"), source, [["k"]], "v", "at").orderBy("k").collect() == [("a", 3), ("b", None)]
+
+
+def test_redaction_of_any_spans(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        n = int(rng.integers(0, 9))
+        words, found = [f"t{i}" for i in range(n)], [(int(a), int(b)) for a, b in rng.integers(0, 10, (int(rng.integers(0, 4)), 2))]
+        inside = lambda i: any(a <= i <= b for a, b in found)  # noqa: B023, E731
+        array = lambda xs, kind: F.array(*xs).cast(kind) if xs else F.array().cast(kind)
+        t, s = array([*map(F.lit, words)], "array<string>"), array([F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in found], "array<struct<start:int,end:int>>")
+        row = one(spark, d=spans.redact(t, s, "drop"), m=spans.redact(t, s, "mask"))
+        assert row["d"] == [w for i, w in enumerate(words) if not inside(i)] and row["m"] == ["[REDACTED]" if inside(i) else w for i, w in enumerate(words)]
+
+
+def test_tokens_are_normalised_one_by_one(spark):
+    words = ["Ab-c", "--", "", "É\x01x", "ΑΣ", "ΑΣ,Β", "İ", "a\u2028b", " z "]
+    each = [one(spark, x=text.normalize(F.translate(F.lit(w), "\x01", " ")))["x"] for w in words]
+    assert one(spark, x=spans.normalized_tokens(F.array(*map(F.lit, words))))["x"] == each
+    assert one(spark, x=spans.normalized_tokens(F.array().cast("array<string>")))["x"] == []
+
+
+def test_files_of_pictures_are_decoded(spark, tmp_path):
+    import struct
+
+    import numpy as np
+
+    rgb = np.random.default_rng(2).integers(0, 255, (5, 7, 3), np.uint8)
+    ppm = b"P6\n# note\n7 5\n255\n" + rgb.tobytes()
+    line = np.pad(rgb[::-1, :, ::-1].reshape(5, 21), ((0, 0), (0, 3))).tobytes()
+    bmp = b"BM" + struct.pack("<IHHI", 54 + len(line), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 7, 5, 1, 24, 0, len(line), 0, 0, 0, 0) + line
+    for name, data in (("a.ppm", ppm), ("b.bmp", bmp), ("c.png", b"\x89PNG"), ("d.ppm", ppm[:-1])):
+        (tmp_path / name).write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", pixels.decoded(F.col("content")).alias("p"))
+    out = {r["path"][-5:]: r["p"] for r in files.collect()}
+    for name in ("a.ppm", "b.bmp"):
+        assert (out[name]["width"], out[name]["height"], bytes(out[name]["picture"])) == (7, 5, rgb.tobytes())
+    assert out["c.png"]["picture"] is None and out["d.ppm"]["width"] is None
+    wide = np.repeat(np.repeat(rgb, 4, 0), 4, 1)
+    assert pixels.downscaled(wide.tobytes(), 28, 20, 7) == (7, 5, rgb.tobytes())
+
+
+def test_exports_and_snapshots(spark, tmp_path):
+    table = report.to_latex(spark.createDataFrame([("a_b & 5%", 0.5), (None, None)], "k string, v double"), "Some #1", "tab:x")
+    assert r"a\_b \& 5\% & 0.5000 \\" in table and r"\caption{Some \#1}" in table
+    import os
+
+    for i, name in enumerate(("old", "new", "older")):
+        spark.range(3).write.parquet(str(tmp_path / name))
+        os.utime(tmp_path / name, (1000 + (50 if name == "new" else i), 1000 + (50 if name == "new" else i)))
+    newest = manifests.newest_snapshot(spark, str(tmp_path))
+    assert newest.endswith("/new") and manifests.read_shards(spark, newest).count() == 3
+    assert manifests.newest_snapshot(spark, str(tmp_path / "none")) is None
+    assert manifests.read_optional(spark, str(tmp_path / "none"), "a int", "csv").count() == 0
+    assert manifests.first_existing(spark, str(tmp_path / "none"), str(tmp_path / "old")).endswith("/old")
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1, "x"), (2, " "), (3, None)], "id int, t string")
     out = {r["check"]: (r["passed"], r["failures"]) for r in checks.run_checks(df, {"t_full": checks.full("t")}).collect()}

@@ -39,3 +39,8 @@ def per_mille(box: Column, width: Column, height: Column) -> Column:
     scale = F.array(width, height, width, height)
     scaled = F.zip_with(box, scale, lambda a, b: F.greatest(F.lit(0), F.least(F.lit(1000), _rounded(1000 * a / F.greatest(b, F.lit(1))))).cast("long"))
     return F.coalesce(scaled, F.array(*[F.lit(0)] * 4).cast(_BOX))
+
+
+def span_boxes(boxes: Column, spans: Column) -> Column:
+    """The box of each span that has one, in order."""
+    return F.filter(F.transform(spans, lambda s: span_box(boxes, s["start"], s["end"])), lambda b: b.isNotNull())

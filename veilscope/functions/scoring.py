@@ -16,6 +16,11 @@ def exact_match(prediction: Column, gold: Column) -> Column:
     return (normalize(prediction) == normalize(gold)).cast("double")
 
 
+def plain_match(prediction: Column, gold: Column) -> Column:
+    """Equal but for case, without any other normalisation."""
+    return (F.lower(F.coalesce(prediction, F.lit(""))) == F.lower(F.coalesce(gold, F.lit("")))).cast("double")
+
+
 def token_f1(prediction: Column, gold: Column) -> Column:
     """Harmonic mean of precision and recall over words as multisets; both empty: 1, one of them: 0.
 

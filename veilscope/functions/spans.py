@@ -86,7 +86,7 @@ def replaced(tokens: Column, spans: Column, mask: str | None) -> Column:
 
     def body(v: Column) -> Column:
         n = F.size(v["tokens"])
-        covered = F.array_distinct(F.flatten(F.transform(v["spans"], lambda s: F.sequence(s["start"], F.least(s["end"], n - 1)))))
+        covered = F.array_distinct(F.flatten(F.transform(F.filter(v["spans"], lambda s: s["start"] <= F.least(s["end"], n - 1)), lambda s: F.sequence(s["start"], F.least(s["end"], n - 1)))))
         kept = F.array_except(F.sequence(F.lit(0), n - 1), covered)
         token = lambda i: F.get(v["tokens"], i)
         if mask is None:

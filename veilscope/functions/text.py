@@ -104,3 +104,8 @@ def thumb_size(width: Column, height: Column, most: int = 1024) -> Column:
     scale = F.least(F.lit(1.0), most / F.greatest(width, height))
     side = lambda x: F.greatest(F.lit(1), F.bround(x * scale)).cast("long")
     return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def char_code_sum(c: Column) -> Column:
+    """The sum of the characters' code points, from which seeds are made."""
+    return F.aggregate(F.split(F.coalesce(c, F.lit("")), ""), F.lit(0).cast("long"), lambda s, x: s + F.ascii(x))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import token_f1
+from ..functions.scoring import exact_match, token_f1
 from ..functions.text import normalize
 
 SCORES = ("exact_match", "token_f1", "random_em", "random_f1", "corrected_em", "corrected_f1")
@@ -68,3 +68,24 @@ def random_baseline(df: DataFrame, pool: list[str], answer: str = "gold") -> Dat
         .select(*pool, "_answer", "random_em", "random_f1")
     )
     return rows.join(per_answer, [*pool, "_answer"]).drop("_answer")
+
+
+def sampled_baseline(df: DataFrame, pool: str, key: str, answer: str, draws: int = 20, seed: int = 42) -> DataFrame:
+    """``df`` with ``random_em`` and ``random_f1`` over ``draws`` seeded draws, with replacement, from the other rows of
+    its pool (from its own row if there is no other).
+
+    A draw is a place in the pool, so rows meet the rows that they have drawn and no others."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("_draw").cast("string"))), 1, 12), 16, 10).cast("long")
+    placed = df.select(pool, key, F.col(answer).alias("_gold")).withColumn("_place", F.row_number().over(Window.partitionBy(pool).orderBy(key)) - 1)
+    sizes = df.groupBy(pool).agg(F.count(F.lit(1)).alias("_size"))
+    drawn = placed.join(sizes, pool).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_pick", hashed % F.greatest(F.col("_size") - 1, F.lit(1)))
+    drawn = drawn.withColumn("_pick", F.col("_pick") + ((F.col("_pick") >= F.col("_place")) & (F.col("_size") > 1)).cast("int"))
+    met = drawn.select(pool, key, "_gold", "_pick").join(placed.select(pool, F.col("_place").alias("_pick"), F.col("_gold").alias("_other")), [pool, "_pick"])
+    means = met.groupBy(key).agg(exact_mean(exact_match(F.col("_other"), F.col("_gold"))).alias("random_em"), exact_mean(token_f1(F.col("_other"), F.col("_gold"))).alias("random_f1"))
+    return df.join(means, key)
+
+
+def answer_pool(df: DataFrame, pool: str, key: str, answer: str) -> DataFrame:
+    """The records to draw answers from: each with its pool, its place there and the pool's size."""
+    sizes = df.groupBy(pool).agg(F.count(F.lit(1)).alias("pool_size"))
+    return df.select(pool, key, F.col(answer).alias("answer"), (F.row_number().over(Window.partitionBy(pool).orderBy(key)) - 1).alias("place")).join(sizes, pool)

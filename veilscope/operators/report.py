@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,3 +62,12 @@ def replace_section(document: str, name: str, body: str) -> str:
     if not found:
         return f"{document.rstrip()}\n\n{section}\n" if document.strip() else section + "\n"
     return head + section + rest.partition(end)[2]
+
+
+def to_latex(df: DataFrame, caption: str, label: str, limit: int = 200) -> str:
+    """A LaTeX table of a report's first rows; reports are small by nature, and ``limit`` bounds them."""
+    escaped = lambda x: re.sub(r"([&%$#_{}])", r"\\\1", x.replace("\\", r"\textbackslash ")).replace("~", r"\textasciitilde ").replace("^", r"\textasciicircum ")
+    shown = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else escaped(str(v))
+    lines = [" & ".join(map(escaped, df.columns)) + r" \\", r"\hline", *(" & ".join(map(shown, row)) + r" \\" for row in df.limit(limit).collect())]
+    body = "\n".join(lines)
+    return f"\\begin{{table}}\n\\caption{{{escaped(caption)}}}\n\\label{{{label}}}\n\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{body}\n\\end{{tabular}}\n\\end{{table}}\n"

@@ -238,3 +238,22 @@ def confidence_gap_topk(spark: SparkSession, sf: str) -> DataFrame:
     unseen = rows.where("split = 'unseen'").groupBy("model").agg(F.avg("confidence").alias("m"))
     gaps = rows.where("split = 'seen'").join(unseen, "model").select("model", "example_id", F.round(F.col("confidence") - F.col("m"), 5).alias("gap"))
     return gaps.orderBy(F.desc("gap"), "example_id").limit(5)
+
+
+@query("SELECT p_type, p_partkey, p_name AS answer, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type) AS pool_size FROM part")
+def answer_pool_records(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.answer_pool(table(spark, sf, "part"), "p_type", "p_partkey", "p_name")
+
+
+@query(f"""WITH p AS (SELECT p_type, p_partkey, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type) AS size FROM part),
+d AS (SELECT p.*, CAST(concat('0x', substr(md5('42:' || CAST(p_partkey AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 12)) AS BIGINT) % greatest(size - 1, 1) AS pick FROM p, (SELECT unnest(range(20)) AS draw)),
+m AS (SELECT d.p_partkey, d.p_name AS gold, q.p_name AS other FROM d JOIN p q ON q.p_type = d.p_type AND q.place = d.pick + CASE WHEN d.pick >= d.place AND d.size > 1 THEN 1 ELSE 0 END),
+w AS (SELECT *, {_words('gold')} AS g, {_words('other')} AS o FROM m)
+SELECT p_partkey, {metrics.exact_mean_sql(f"(CASE WHEN {_N('gold')} = {_N('other')} THEN 1.0::DOUBLE ELSE 0.0 END)")} AS random_em, {metrics.exact_mean_sql('(' + _f1_sql('o', 'g') + ')')} AS random_f1 FROM w GROUP BY p_partkey""")
+def random_baseline_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.sampled_baseline(table(spark, sf, "part"), "p_type", "p_partkey", "p_name").select("p_partkey", "random_em", "random_f1")
+
+
+@query(f"WITH {_SCORED} SELECT example_id, scenario, CASE WHEN lower(prediction) = lower(gold) THEN 1.0::DOUBLE ELSE 0.0 END AS plain_em FROM own_score")
+def score_plain(spark: SparkSession, sf: str) -> DataFrame:
+    return proxies.predictions(spark, sf).select("example_id", "scenario", scoring.plain_match(F.col("prediction"), F.col("gold")).alias("plain_em"))

@@ -135,3 +135,37 @@ def pixel_masks(spark: SparkSession, sf: str) -> DataFrame:
     return masked.select("vec_id", "strategy", F.length("masked").cast("long").alias("bytes"), inside.alias("inside"), pixels.differs("picture", "masked", F.lit(32), F.lit(24), F.array(*map(F.lit, (22, 0, 32, 24)))).alias("outside"))
 
 
+def _manifest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A manifest of parts with some faults, its lines, and the pictures that exist."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    word = lambda w, i: F.struct(w.alias("text"), F.array((10 * i).cast("double"), F.lit(0.0), (10 * i + 8).cast("double"), F.lit(6.0)).alias("bbox"))
+    every = lambda n, value, other: F.when(key % n == 0, value).otherwise(other)
+    text = lambda c: F.lit(c)
+    words = F.split("p_name", " ")
+    records = p.select(
+        text("parts").alias("dataset_name"), text("train").alias("split"), key.alias("local_row_id"), key.cast("string").alias("example_id"), every(89, text(" "), text("What is it?")).alias("question"), F.get(words, F.lit(0)).alias("answer"), F.array("p_name").alias("answers"),
+        text("ORG_NAME").alias("field_type"), every(53, F.lit(None).cast("string"), text("ORG")).alias("coarse_field_type"), text("names").alias("field_group"), text("low").alias("sensitivity"), F.lit(0).alias("answer_start_idx"), every(61, F.lit(-1), F.lit(0)).alias("answer_end_idx"),
+        F.array(*map(F.lit, (0, 0, 8, 6))).alias("answer_bbox"), F.transform(words, word).alias("ocr_tokens"), F.concat(text("/pictures/"), every(50, F.lit(0), key).cast("string")).alias("image_path"), F.array(every(97, F.lit(0), F.col("p_size").cast("int")), F.lit(24)).alias("image_size"),
+    )
+    lines = p.select(every(71, text(" "), F.to_json(F.struct("p_partkey", "p_name"))).alias("value"))
+    images = p.where("p_partkey % 43 <> 0").select(F.concat(text("/pictures/"), key.cast("string")).alias("path"), (key % 37 != 0).alias("readable"))
+    return records, lines, images
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE p_partkey END AS img, p_size FROM part), p AS (SELECT img, count(*) AS n FROM r GROUP BY img), j AS (SELECT p.*, f.p_partkey AS there FROM p LEFT JOIN part f ON f.p_partkey = p.img AND f.p_partkey % 43 <> 0),
+c AS (SELECT 'manifest_not_empty' AS "check", CASE WHEN count(*) > 0 THEN 0 ELSE 1 END AS failures FROM r UNION ALL SELECT 'manifest_required_fields_non_empty', count(*) FROM r WHERE k % 89 = 0 OR k % 53 = 0 UNION ALL SELECT 'manifest_image_sizes_valid', count(*) FROM r WHERE k % 97 = 0 OR p_size <= 0
+ UNION ALL SELECT 'ocr_drop_removes_answer_span', 0 UNION ALL SELECT 'ocr_mask_replaces_with_redacted', count(*) FROM r WHERE k % 61 = 0 UNION ALL SELECT 'original_images_exist', count(*) FROM j WHERE there IS NULL
+ UNION ALL SELECT 'manifest_matches_real_original_files', CAST(sum(n - 1) + count(*) FILTER (there IS NULL) AS BIGINT) FROM j UNION ALL SELECT 'original_images_readable', count(*) FROM j WHERE there % 37 = 0 UNION ALL SELECT 'summary_matches_manifest_count', 0
+ UNION ALL SELECT 'manifest_no_blank_lines', count(*) FROM r WHERE k % 71 = 0 UNION ALL SELECT 'manifest_expected_columns', 0)
+SELECT "check", failures = 0 AS passed, failures FROM c""")
+def manifest_checks_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks of a manifest over one of that shape."""
+    records, lines, images = _manifest(spark, sf)
+    return checks.manifest_checks(records, lines, images, records.count())
+
+
+@query("SELECT count(*) AS total_seen, CAST(sum(p_size) AS BIGINT) AS sizes FROM part")
+def json_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary written as a JSON object and read again."""
+    total = table(spark, sf, "part").agg(F.count(F.lit(1)).alias("total_seen"), F.sum("p_size").alias("sizes"))
+    return spark.read.schema(total.schema).json(manifests.write_summary(total, manifests.scratch(spark, "summary")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, geometry, spans
 from ..functions.text import normalize
-from ..operators import containment, scenarios
+from ..operators import containment, render, scenarios
 from . import proxies
 from .proxies import OWN, SUB
 from .registry import query, table
@@ -203,3 +203,37 @@ def match_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 assert fixed.MASK_TEXT == "[REDACTED]"  # as in the SQL above
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, arr.doc_id IS NOT NULL AS found, coalesce(spans[1].s, -1) AS start, coalesce(spans[1].e, -1) AS end_ FROM own LEFT JOIN arr USING (doc_id) ORDER BY doc_id LIMIT 20")
+def match_rate_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first twenty records of a match rate, with their first spans."""
+    first = F.get(spans.find_spans(F.col("flat"), F.col("answer")), F.lit(0))
+    some = proxies.own_flat(spark, sf).orderBy("doc_id").limit(20).select("doc_id", first.alias("f"))
+    place = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(-1)).cast("long")
+    return some.select("doc_id", F.col("f").isNotNull().alias("found"), place("start").alias("start"), place("end").alias("end_"))
+
+
+# Twelve tokens in three lines of four; a token's box is 8 wide and 6 high.
+_PAGE = "tok AS (SELECT i, 10 * (i % 4) AS x, 8 * (i // 4) AS y FROM (SELECT unnest(range(12)) AS i)), rec AS (SELECT p_partkey, p_size % 12 AS s, least(p_size % 12 + p_size % 2, 11) AS e, p_partkey % 3 AS k FROM part)"
+
+
+def _page(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size").cast("int")
+    boxes = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.array(*(v.cast("double") for v in (10 * (i % 4), 8 * F.floor(i / 4), 10 * (i % 4) + 8, 8 * F.floor(i / 4) + 6))))
+    span = F.struct((size % 12).alias("start"), F.least(size % 12 + size % 2, F.lit(11)).alias("end"))
+    return table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 3).cast("int").alias("k"), boxes.alias("boxes"), F.array(span).alias("spans"), F.unhex(F.repeat(F.lit("646464"), 40 * 24)).alias("picture"), F.lit(40).alias("width"), F.lit(24).alias("height"))
+
+
+@query(f"WITH {_PAGE} SELECT p_partkey, [[min(x), min(y), max(x) + 8, max(y) + 6]]::BIGINT[][] AS boxes FROM rec JOIN tok ON i BETWEEN s AND e GROUP BY p_partkey")
+def span_bboxes(spark: SparkSession, sf: str) -> DataFrame:
+    return _page(spark, sf).select("p_partkey", geometry.span_boxes(F.col("boxes"), F.col("spans")).alias("boxes"))
+
+
+@query(f"""WITH {_PAGE}, b AS (SELECT p_partkey, (max(x) + 8 - min(x)) * (max(y) + 6 - min(y)) AS area FROM rec JOIN tok ON i BETWEEN greatest(s - k, 0) AND least(e + k, 11) GROUP BY p_partkey)
+SELECT p_partkey, strategy, CAST(CASE WHEN strategy IN ('black', 'white') THEN area ELSE 0 END AS BIGINT) AS changed FROM b CROSS JOIN (VALUES ('none'), ('black'), ('white'), ('blur')) t(strategy)""")
+def render_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """Grey pages with an answer masked in its context; how many pixels have changed."""
+    pages = _page(spark, sf).withColumn("strategy", F.explode(F.array(*map(F.lit, ("none", "black", "white", "blur")))))
+    grey = F.length(F.hex("rendered")) - F.length(F.replace(F.hex("rendered"), F.lit("64"), F.lit("")))
+    return render.rendered(pages, F.col("strategy"), F.col("k")).select("p_partkey", "strategy", (F.lit(40 * 24) - grey / 6).cast("long").alias("changed"))

@@ -185,3 +185,8 @@ def thumb_size(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row_index FROM customer")
 def row_index(spark: SparkSession, sf: str) -> DataFrame:
     return scenarios.row_index(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+
+
+@query("SELECT p_partkey, CAST(list_sum(list_transform(string_split(p_name, ''), lambda c: unicode(c))) AS BIGINT) AS code_sum FROM part")
+def char_code_sum(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", text.char_code_sum(F.col("p_name")).alias("code_sum"))

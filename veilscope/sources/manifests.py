@@ -12,8 +12,13 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a local one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilscope-")
+    """A fresh path in the folder that the cluster shares; a temporary one on a local master where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="veilscope-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -45,10 +50,10 @@ def read_scenarios(spark: SparkSession, path: str | None) -> DataFrame:
     return grid(spark) if path is None else spark.read.schema(GRID).option("multiLine", True).json(path)
 
 
-def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A Parquet table, or an empty one with its schema if there is none."""
+def read_optional(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet") -> DataFrame:
+    """A Parquet or CSV table, or an empty one with its schema if there is none."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return read_csv(spark, path, schema) if kind == "csv" else spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -78,3 +83,24 @@ def align(df: DataFrame, schema: T.StructType, aliases: dict[str, list[str]] | N
 def append_results(df: DataFrame, path: str) -> None:
     """Add a batch of results; a batch is there as a whole or not at all."""
     df.write.mode("append").parquet(path)
+
+
+def newest_snapshot(spark: SparkSession, root: str) -> str | None:
+    """The folder below ``root`` that was changed last (ties: the last by name), on any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return None
+    folders = [(x.getModificationTime(), x.getPath().toString()) for x in store.listStatus(at) if x.isDirectory()]
+    return max(folders)[1] if folders else None
+
+
+def read_shards(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """All shards of a snapshot, as one table."""
+    return spark.read.option("pathGlobFilter", pattern).parquet(folder)
+
+
+def write_summary(summary: DataFrame, path: str) -> str:
+    """A summary of one row as a JSON object in one file below ``path``."""
+    summary.coalesce(1).write.json(path)  # one row
+    return path
