@@ -31,17 +31,21 @@ def flatten_tokens(lines: Column) -> Column:
 def normalized_tokens(tokens: Column) -> Column:
     """Each token normalised; all at once, as one text with marks between the tokens."""
     marked = F.array_join(F.transform(tokens, lambda t: F.translate(F.coalesce(t, F.lit("")), _MARK, " ")), _MARK)
-    plain = F.regexp_replace(F.lower(marked), rf"(?U)[^\p{{L}}\p{{N}}_\s{_MARK}]", " ")
-    each = F.transform(F.split(F.regexp_replace(plain, r"(?U)\s+", " "), _MARK), lambda t: F.trim(t))
+    each = F.transform(F.split(F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}_{_MARK}]+", " "), _MARK), lambda t: F.trim(t))
     return F.when(F.size(tokens) > 0, each).otherwise(F.array().cast("array<string>"))
 
 
 def subtokens(tokens: Column) -> Column:
     """(part, token): the words of each normalised token with the token's index."""
+    return words_of(normalized_tokens(tokens))
+
+
+def words_of(normalized: Column) -> Column:
+    """(part, token) of tokens that are normalised already."""
     part = lambda p, i: F.struct(p.alias("part"), i.cast("int").alias("token"))
     none = F.array().cast("array<struct<part:string,token:int>>")
     words = lambda t, i: F.when(t == "", none).when(F.instr(t, " ") == 0, F.array(part(t, i))).otherwise(F.transform(F.split(t, " "), lambda p: part(p, i)))
-    return F.flatten(F.transform(normalized_tokens(tokens), words))
+    return F.flatten(F.transform(normalized, words))
 
 
 def find_spans(flat: Column, answer: Column) -> Column:

@@ -15,8 +15,7 @@ def strip(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case; anything but letters, digits and ``_`` becomes a blank; single blanks, none at the ends."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\p{L}\p{N}_\s]", " ")
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
 def squeeze(c: Column) -> Column:

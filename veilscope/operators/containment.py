@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import expand, let, normalized_tokens, redact
+from ..functions.spans import expand, find_spans, let, normalized_tokens, redact, words_of
 from ..functions.text import normalize
 
 ANCHOR = 4
@@ -47,9 +47,9 @@ def _needle(answer: Column) -> Column:
 def leak_audit(rows: DataFrame, keys: list[str], strategies: tuple[str, ...] = ("none", "drop", "mask")) -> DataFrame:
     """For each strategy and group: answers checked, those found again after redaction, and whether none was.
 
-    ``rows`` have ``tokens``, ``answer`` and ``spans``. Tokens are normalised once for all strategies, and an answer is
-    found again if its words stand in a row in what is left."""
-    parts = F.struct(normalized_tokens(F.col("tokens")).alias("tokens"), F.col("spans"), _needle(F.col("answer")).alias("needle"))
+    ``rows`` have ``tokens`` and ``answer``. Tokens are normalised once, for the search of the answer's spans and for all
+    strategies, and an answer is found again if its words stand in a row in what is left."""
+    parts = let(normalized_tokens(F.col("tokens")), lambda t: F.struct(t.alias("tokens"), find_spans(words_of(t), F.col("answer")).alias("spans"), _needle(F.col("answer")).alias("needle")))
     found = lambda v, s: (F.trim(v["needle"]) != "") & F.contains(_redacted_text(v["tokens"], v["spans"], s), v["needle"])
     leaks = let(parts, lambda v: F.array(*(F.struct(F.lit(s).alias("scenario"), found(v, s).alias("leak")) for s in strategies)))
     each = rows.select(*keys, F.explode(leaks).alias("x"))
@@ -67,11 +67,12 @@ def scenario_audit(rows: DataFrame, grid: DataFrame, key: str, image_unchanged:
     """A row for each scenario of ``grid`` that redacts anything: records checked and failed, the first failures, and
     whether it, and all of them, passed.
 
-    ``rows`` have ``tokens``, ``spans`` and ``answers``; a record leaks if any answer stands in what is left of its
-    tokens. ``image_unchanged`` says for each picture strategy whether a record's boxes look as before. What a record
+    ``rows`` have ``tokens``, the ``answer`` whose spans are redacted, and ``answers``; a record leaks if any of these
+    stands in what is left of its tokens. ``image_unchanged`` says for each picture strategy whether a record's boxes look as before. What a record
     leaks depends on the redaction of words and the context only, so it is computed once for each pair of these."""
     pairs = [(r["ocr_strategy"], r["context_window"]) for r in grid.where("ocr_strategy <> 'none'").select("ocr_strategy", "context_window").distinct().collect()]  # a few
-    parts = F.struct(normalized_tokens(F.col("tokens")).alias("tokens"), F.col("spans"), F.filter(F.transform("answers", _needle), lambda a: F.trim(a) != "").alias("needles"))
+    needles = F.filter(F.transform("answers", _needle), lambda a: F.trim(a) != "")
+    parts = let(normalized_tokens(F.col("tokens")), lambda t: F.struct(t.alias("tokens"), find_spans(words_of(t), F.col("answer")).alias("spans"), needles.alias("needles")))
 
     def leaks(v: Column, strategy: str, k: int) -> Column:
         left = _redacted_text(v["tokens"], expand(v["spans"], k, F.size(v["tokens"])), strategy)

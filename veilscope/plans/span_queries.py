@@ -131,8 +131,7 @@ FROM own o JOIN ans USING (doc_id) CROSS JOIN scen LEFT JOIN ok ON ok.doc_id = o
 @query(_LEAK_SQL)
 def audit_ocr_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Redact every answer, look for it again, and count leaks by scenario and language."""
-    rows = _with_spans(spark, sf).where(normalize(F.col("answer")) != "")
-    return containment.leak_audit(rows, ["lang"])
+    return containment.leak_audit(proxies.own(spark, sf).where(normalize(F.col("answer")) != ""), ["lang"])
 
 
 _BLANK = {"black": "false", "white": "n_chars % 40 = 0", "blur": "n_chars % 60 = 0"}
@@ -155,7 +154,7 @@ def audit_scenarios_full(spark: SparkSession, sf: str) -> DataFrame:
     """Every scenario over every document: its answer and its first token may not be found again; pictures of some
     lengths are blank, so that white or blurred boxes look as before."""
     chars = table(spark, sf, "documents").select("doc_id", "n_chars")
-    rows = _with_spans(spark, sf).where(normalize(F.col("answer")) != "").join(chars, "doc_id").withColumn("answers", F.array("answer", F.get("tokens", F.lit(0))))
+    rows = proxies.own(spark, sf).where(normalize(F.col("answer")) != "").join(chars, "doc_id").withColumn("answers", F.array("answer", F.get("tokens", F.lit(0))))
     return containment.scenario_audit(rows, scenarios.grid(spark), "doc_id", {image: F.expr(same) for image, same in _BLANK.items()})
 
 
