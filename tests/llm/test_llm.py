@@ -244,6 +244,21 @@ def test_apportionment_equals_highest_quotients(spark, votes, seats):
     assert [out[i] for i in range(len(votes))] == webster(votes, seats)
 
 
+def test_seats_beyond_a_limit_go_to_others(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(8):
+        votes, seats = rng.integers(1, 200, 12).tolist(), int(rng.integers(20, 90))
+        share = [v * seats / sum(votes) for v in votes]
+        most = [max(0, int(np.ceil(x - rng.random()))) if rng.random() < 0.4 else int(x) + 2 for x in share]
+        won = [0] * 12
+        for _ in range(min(seats, sum(most))):
+            best = max((i for i in range(12) if won[i] < most[i]), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+            won[best] += 1
+        df = spark.createDataFrame([(1, i, float(v), seats, m) for i, (v, m) in enumerate(zip(votes, most, strict=True))], "g int, i int, v double, seats long, m long")
+        out = {r["i"]: r["quota"] for r in mixing.apportion(df, ["g"], ["i"], "v", "seats", F.col("m")).collect()}
+        assert [out[i] for i in range(12)] == won
+
+
 def test_mix_equals_sql(spark):
     from oracle import compare
 
@@ -831,3 +846,33 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     assert words == {i: n for i, n in taken.items() if n}
     out = stage["packing"](spark, current, SMALL).collect()
     assert sum(r["length"] for r in out if r["piece"] >= 0) == sum(len(x) // 4 + 1 for x in tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False).encode([t for _, t in kept["mixing"]]))
+
+
+def test_pipeline_keeps_what_its_parts_say(spark, tmp_path):
+    """The quality stage against the classifier's own verdicts, the packing stage against plain best-fit."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs, labels, stage = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"), dict(corpus_pipeline.STAGES)
+    good = {r["doc_id"] for r in quality.classify(docs, labels).where("kept").collect()}
+    kept = stage["quality"](spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(good) and kept.columns == docs.columns
+    plain = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    ids = {r["doc_id"]: np.array(plain.encode(r["text"] or "", add_special_tokens=False).ids + [0]) for r in docs.collect()}
+    sequences, lengths = check_packing(stage["packing"](spark, docs, SMALL).collect(), ids)
+    assert lengths == {k: len(v) for k, v in ids.items()}
+    pieces = [min(2048, len(v) - at) for v in ids.values() for at in range(0, len(v), 2048)]
+    assert sequences == len(packing.best_fit(pieces, 2048)[2])
+
+
+def test_pipeline_of_odd_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("none", empty)):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(3, 1), (5, 1), (None, 0)] if name == "odd" else [], "doc_id long, quality int").write.parquet(str(folder / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert (name == "none") == (not out) and all(r["length"] <= 2048 for r in out)
+    for name, f in corpus_pipeline.STAGES[:4]:
+        assert f(spark, odd, str(tmp_path / "odd")).columns == odd.columns, name

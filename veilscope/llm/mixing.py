@@ -4,7 +4,7 @@ Sizes are words. Targets share ``share`` of all words out by weight; a source ta
 and what lies above is shared anew among the others. The mix is then a number of equal blocks: each block goes to the
 source with the highest quotient ``target / (2k + 1)``, k being the blocks it has. A source's documents are dealt out
 to shards by a seeded hash, so that no shard grows with a hot source, and its blocks are apportioned to its shards in
-the same way, by shard size. Within a shard the documents lie end to end in seeded order; the quota takes whole passes
+the same way, by shard size; a shard takes all its blocks twice at most, and what it can't take goes to others. Within a shard the documents lie end to end in seeded order; the quota takes whole passes
 and then a run of blocks from a seeded first block on, around the end. So all but two documents of a shard are taken
 whole or left, and the result depends on the rows alone.
 
@@ -42,9 +42,12 @@ def _seeded(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
 
 
-def apportion(df: DataFrame, group: list[str], order: list[str], votes: str, seats: str) -> DataFrame:
+def apportion(df: DataFrame, group: list[str], order: list[str], votes: str, seats: str, most: Column | None = None) -> DataFrame:
     """Sainte-Laguë: ``quota`` of each row, the highest quotients first, ties by ``order``; quotas sum to ``seats``.
 
+    ``most``: a row has no quotients beyond so many seats, so what it can't take goes to the next highest of others; it
+    must lie less than two seats below the row's share.
+
     With n rows and N seats the divisor that is right differs from votes / N by a factor within n / 2N of one, so all
     but a few seats of a row are certain and only the candidates near its share are ranked, about four for each row."""
     w = Window.partitionBy(*group)
@@ -52,14 +55,16 @@ def apportion(df: DataFrame, group: list[str], order: list[str], votes: str, sea
     spread = F.when(F.col(seats) > 0, F.col("_share") * F.col("_n") / (2 * F.col(seats))).otherwise(F.lit(0.0)) + 1
     near = (
         df.withColumn("_all", F.sum(votes).over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_share", share)
-        .withColumn("_base", F.greatest(F.lit(0), F.floor(F.col("_share") - spread)).cast("long")).withColumn("_top", F.ceil(F.col("_share") + spread).cast("long"))
+        .withColumn("_most", F.lit(2**62) if most is None else most)
+        .withColumn("_base", F.least(F.greatest(F.lit(0), F.floor(F.col("_share") - spread)), F.col("_most")).cast("long")).withColumn("_top", F.least(F.ceil(F.col("_share") + spread) + 2, F.col("_most") - 1).cast("long"))
         .withColumn("_left", F.col(seats) - F.sum("_base").over(w))
     )
-    ranked = near.withColumn("_k", F.explode(F.sequence("_base", "_top"))).withColumn(
+    seat = F.when(F.col("_top") >= F.col("_base"), F.sequence("_base", "_top")).otherwise(F.array(F.lit(None).cast("long")))
+    ranked = near.withColumn("_k", F.explode(seat)).withColumn(
         "_rank", F.row_number().over(w.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), *order, "_k"))
     )
-    won = ranked.groupBy(*group, *order).agg(F.sum(F.when((F.col("_rank") <= F.col("_left")) & (F.col("_all") > 0), 1).otherwise(0)).alias("_won"))
-    return near.join(won, [*group, *order]).withColumn("quota", F.col("_base") + F.col("_won")).drop("_all", "_n", "_share", "_base", "_top", "_left", "_won")
+    won = ranked.groupBy(*group, *order).agg(F.sum(F.when((F.col("_rank") <= F.col("_left")) & (F.col("_all") > 0) & F.col("_k").isNotNull(), 1).otherwise(0)).alias("_won"))
+    return near.join(won, [*group, *order]).withColumn("quota", F.col("_base") + F.col("_won")).drop("_all", "_n", "_share", "_most", "_base", "_top", "_left", "_won")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -92,11 +97,10 @@ def plan_mix(rows: DataFrame, seed: int = 7) -> DataFrame:
     aims = stored(aims.select("source_key", "number", "source_size", "target", "block", "shards", "quota"), "targets")
     dealt = rows.join(aims.select("source_key", "number", "shards"), "source_key").withColumn("shard", F.expr("pmod(hash, shards)"))
     shard_sizes = dealt.groupBy("source_key", "number", "shard").agg(F.sum("size").alias("shard_size"))
-    quotas = apportion(shard_sizes.join(aims.select("source_key", F.col("quota").alias("source_quota")), "source_key"), ["number"], ["shard"], "shard_size", "source_quota")
     whole = F.ceil(F.col("shard_size") / F.col("block")).cast("long")
+    sized_shards = shard_sizes.join(aims.select("source_key", F.col("quota").alias("source_quota"), "block", "source_size", "target"), "source_key")
     quotas = (
-        quotas.join(aims.select("source_key", "block", "source_size", "target"), "source_key").withColumn("_whole", whole)
-        .withColumn("quota", F.least(F.col("quota"), MOST * F.col("_whole")))
+        apportion(sized_shards, ["number"], ["shard"], "shard_size", "source_quota", MOST * whole).withColumn("_whole", whole)
         .withColumn("passes", F.when(F.col("_whole") > 0, F.expr("quota div _whole")).otherwise(F.lit(0)))
         .withColumn("_run", F.col("quota") - F.col("passes") * F.col("_whole"))
         .withColumn("_first", F.when(F.col("_whole") > 0, F.pmod(_seeded(seed, F.lit("run"), "number", "shard"), F.col("_whole"))).otherwise(F.lit(0)))
@@ -192,13 +196,13 @@ WITH d AS (
   SELECT *, sum(shard_size) OVER (PARTITION BY number) AS votes, count(*) OVER (PARTITION BY number) AS n FROM p
 ), pc AS (
   SELECT number, shard, seats, row_number() OVER (PARTITION BY number ORDER BY shard_size::DOUBLE / (2 * k.k + 1) DESC, shard, k.k) AS r
-  FROM p2, LATERAL (SELECT unnest(range(CAST(ceil(shard_size::DOUBLE * seats / votes * (1 + n / (2.0 * greatest(seats, 1)))) AS BIGINT) + 3)) AS k) k
-  WHERE votes > 0
+  FROM p2, LATERAL (SELECT unnest(range(CAST(ceil(shard_size::DOUBLE * seats / votes * (1 + n / (1.0 * greatest(seats, 1)))) AS BIGINT) + 5)) AS k) k
+  WHERE votes > 0 AND k.k < 2 * ceil(shard_size::DOUBLE / block)
 ), pq AS (
   SELECT p2.*, CAST(ceil(shard_size::DOUBLE / block) AS BIGINT) AS whole, coalesce(a.quota, 0) AS won
   FROM p2 LEFT JOIN (SELECT number, shard, count(*) AS quota FROM pc WHERE r <= seats GROUP BY number, shard) a USING (number, shard)
 ), pr AS (
-  SELECT *, least(won, 2 * whole) AS quota, CASE WHEN whole > 0 THEN {_SEEDED.format("concat('7:run:', number, ':', shard)")} % whole ELSE 0 END AS first FROM pq
+  SELECT *, won AS quota, CASE WHEN whole > 0 THEN {_SEEDED.format("concat('7:run:', number, ':', shard)")} % whole ELSE 0 END AS first FROM pq
 ), ps AS (
   SELECT *, CASE WHEN whole > 0 THEN quota // whole ELSE 0 END AS passes, CASE WHEN whole > 0 THEN quota % whole ELSE 0 END AS run FROM pr
 ), y AS (
