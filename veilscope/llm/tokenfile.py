@@ -230,8 +230,8 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 with store.open_input_file(row["path"]) as f:
                     file = TokenFile(f.read())
-                n = len(file.keys)
-                crcs = [zlib.crc32(file.document(i).astype("<u4").tobytes()) for i in range(n)]
+                ids, ends = file.codes.span(0, file.n_ids).astype("<u4"), file.starts + file.lengths
+                crcs = [zlib.crc32(ids[begin:end].data) for begin, end in zip(file.starts.tolist(), ends.tolist(), strict=True)]
                 columns = [file.keys, file.starts + row["file_start"], file.lengths, crcs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY, strict=True)], schema=ENTRY)
 
