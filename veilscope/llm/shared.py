@@ -60,9 +60,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage, also that of estimates.
+
+    ``checkpoint()`` keeps the estimated size of the plan behind it, and a join's estimate is the product of both sides;
+    so a loop that joins its own results squares the estimate in every round, until the planner multiplies numbers of
+    millions of digits. A table that was written has the size of its files."""
+    return stored(df, "step")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
