@@ -2,6 +2,12 @@
 
 Quality classifier, exact dedup, near dedup, mixing to target weights, packing. Every stage takes (spark, docs, sf_dir);
 all but the last return the columns of ``documents``.
+
+Cases: documents with a null or blank text are rejected by the first stage; a null language is judged by the threshold
+of all, a null source is a source of its own, null keys are kept; texts of any length are read whole; of equal texts
+the longest original stays, then the smallest key, and of near copies the one with the smallest key; repeated rows are
+copies like any others; further columns of any name come along untouched; an empty table gives an empty result at every
+stage.
 """
 
 from __future__ import annotations
