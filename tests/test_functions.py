@@ -1,6 +1,9 @@
 """Expressions against plain Python and against values worked out by hand."""
 
+import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilscope.functions import geometry, pixels, rules, scoring, spans, text
-from veilscope.operators import checks, joins, membership, metrics, plugins, report, sampling, scenarios
+from veilscope.operators import checks, containment, joins, membership, metrics, plugins, ranges, report, sampling, scenarios
 from veilscope.sources import manifests
 
 
@@ -233,3 +236,64 @@ def test_plugins(spark):
     with pytest.raises(OSError):
         plugins.with_retries(lambda: open("/there/is/nothing"), 3, pause=pauses.append)
     assert pauses == [1.0, 2.0]
+
+
+def test_auc_of_continuous_scores_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "SAMPLE", 50)
+    draw = random.Random(5)
+    rows = [("k" if i % 4 else None, draw.choice([draw.random(), draw.random() ** 9, 0.5]), i % 3 == 0) for i in range(900)]
+    out = membership.auc(spark.createDataFrame(rows, "k string, s double, y boolean"), "s", F.col("y"), "k").collect()
+    for r in out:
+        high, low = ([s for k, s, y in rows if k == r["k"] and y == side] for side in (True, False))
+        assert r["auc"] == pytest.approx(sum((a > b) + (a == b) / 2 for a in high for b in low) / (len(high) * len(low)), abs=1e-12)
+    assert len(out) == 2
+
+
+def test_positions_over_uneven_numbers(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "SAMPLE", 100)
+    values = [i**5 - 40**5 for i in range(500)] + [2**40]
+    out = scenarios.row_index(spark.createDataFrame([(v,) for v in values[::-1]], "v long").repartition(5), "v").collect()
+    assert {r["v"]: r["row_index"] for r in out} == {v: i for i, v in enumerate(sorted(values))}
+    spread = ranges.ranged(spark.createDataFrame([(v,) for v in values], "v long"), "v").groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert spread < 60  # equal widths would put most of them in one
+    assert scenarios.row_index(spark.createDataFrame([], "v long"), "v").count() == 0
+
+
+def test_random_baseline_equals_brute_force(spark):
+    draw = random.Random(3)
+    answers = ["", "?!", "the the", "the", *(" ".join(draw.choices(["the", "of", "red", "box", "tea"], k=draw.randint(1, 6))) for _ in range(60))]
+    rows = [(i, "ab"[i % 2], a) for i, a in enumerate(answers)] + [(-1, "alone", "the box")]
+    out = {r["i"]: (r["random_em"], r["random_f1"]) for r in metrics.random_baseline(spark.createDataFrame(rows, "i long, p string, gold string"), ["p"]).collect()}
+
+    def f1(a, b):
+        a, b = Counter(normalized(a).split()), Counter(normalized(b).split())
+        both = a.total() + b.total()
+        return 1.0 if not both else 2 * (a & b).total() / both
+
+    assert out.pop(-1) == (1.0, 1.0) and len(out) == len(answers)
+    for i, pool, answer in rows[:-1]:
+        others = [a for j, p, a in rows if p == pool and j != i]
+        assert out[i][0] == pytest.approx(sum(normalized(a) == normalized(answer) for a in others) / len(others), abs=1e-8)
+        assert out[i][1] == pytest.approx(sum(f1(a, answer) for a in others) / len(others), abs=1e-8)
+
+
+def test_samples_equal_a_plain_ranking(spark):
+    rows = [(i, "abc"[min(i % 5, 2)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, k string")
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"42:{r[0]}".encode()).hexdigest(), r[0]))
+    strata = {k: [r for r in order if r[1] == k] for k in "abc"}
+    first = [r for n, k in enumerate("abc") for r in strata[k][: 700 + (n < 1)]]  # 2,101 rows, of which a and b have 600 each
+    spare = [r for r in order if r not in set(first)][: 2101 - len(first)]
+    assert {r["i"] for r in sampling.quota(df, "k", "i", 2101).collect()} == {i for i, _ in first}
+    assert {r["i"] for r in sampling.backfilled(df, "k", "i", 2101).collect()} == {i for i, _ in first + spare}
+    assert {r["i"] for r in sampling.at_most(df, "k", "i", 11).collect()} == {i for k in "abc" for i, _ in strata[k][:11]}
+
+
+def test_passages_of_any_length_are_found(spark):
+    texts = ["the cat sat on the mat", "The", "a cat; sat on", "", None, "on the mat the cat", "sat on the mat again"]
+    passages = ["the", "the cat", "cat sat on", "sat on the mat", "sat on the mat again and again", "", None, "mat"]
+    one_by_one = lambda x, name: spark.createDataFrame(list(enumerate(x)), f"{name} int, text string")
+    found = {tuple(r) for r in containment.contained(one_by_one(texts, "t"), one_by_one(passages, "p"), "t", "p").select("t", "p").collect()}
+    plain = lambda x: f" {normalized(x or '')} "
+    assert found == {(i, j) for i, x in enumerate(texts) for j, y in enumerate(passages) if normalized(y or "") and plain(y) in plain(x)}
+    assert containment.contained(one_by_one(texts, "t"), one_by_one([], "p"), "t", "p").count() == 0

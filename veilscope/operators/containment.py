@@ -15,15 +15,17 @@ ANCHOR = 4
 def contained(texts: DataFrame, passages: DataFrame, text_key: str, passage_key: str, text: str = "text", passage: str = "text") -> DataFrame:
     """(text, passage) keys where the passage's words occur in a row in the text, both normalised.
 
-    Each passage is anchored by the hash of its first ANCHOR words; texts emit the hashes of all their runs of so many
-    words, each once, and only matches are checked in full. Shorter passages are anchored by their first word."""
+    Each passage is anchored by the hash of its first ANCHOR words, a shorter one by that of all its words; texts emit the
+    hashes of all their runs of as many words as anchors have, each once, and only matches are checked in full."""
     words = lambda c: F.filter(F.split(normalize(c), " "), lambda w: w != "")
-    runs = lambda v, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(v, i + j) for j in range(n))))
+    run = lambda v, i, n: F.xxhash64(*(F.get(v, i + j) for j in range(n)))
+    runs = lambda v, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - n, F.lit(0))), lambda i: run(v, i, n))
     known = passages.select(F.col(passage_key).alias("_p"), words(F.col(passage)).alias("_words")).where(F.size("_words") > 0)
-    first = lambda n: F.xxhash64(*(F.get("_words", F.lit(j)) for j in range(n)))
-    anchors = known.select("_p", F.array_join("_words", " ").alias("_passage"), F.when(F.size("_words") >= ANCHOR, first(ANCHOR)).otherwise(first(1)).alias("_anchor"))
+    length = F.least(F.size("_words"), F.lit(ANCHOR))
+    lengths = sorted(r["n"] for r in known.select(length.alias("n")).distinct().collect()) or [ANCHOR]  # ANCHOR at most
+    anchors = known.select("_p", F.array_join("_words", " ").alias("_passage"), F.coalesce(*(F.when(length == n, run(F.col("_words"), F.lit(0), n)) for n in lengths)).alias("_anchor"))
     long = texts.select(F.col(text_key).alias("_t"), words(F.col(text)).alias("_words"))
-    hashes = long.select("_t", F.explode(let(F.col("_words"), lambda v: F.array_distinct(F.concat(runs(v, ANCHOR), runs(v, 1))))).alias("_anchor"))
+    hashes = long.select("_t", F.explode(let(F.col("_words"), lambda v: F.array_distinct(F.concat(*(runs(v, n) for n in lengths))))).alias("_anchor"))
     hits = hashes.join(anchors, "_anchor").select("_t", "_p", "_passage").distinct()
     full = texts.select(F.col(text_key).alias("_t"), F.concat(F.lit(" "), normalize(F.col(text)), F.lit(" ")).alias("_full"))
     found = hits.join(full, "_t").where(F.contains("_full", F.concat(F.lit(" "), F.col("_passage"), F.lit(" "))))

@@ -1,6 +1,7 @@
 """Membership-inference statistics: tie-aware AUC, Welch's t, summaries and histograms.
 
-Scores are counted by value before they are ranked, so windows run over distinct scores, and by group.
+Scores are counted by value before they are ranked, and ranked within ranges of them, so no window holds all scores of a
+group even where every row has its own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .metrics import exact_mean
+from .ranges import ranged
 
 LEAST = 10
 
@@ -29,9 +31,10 @@ def finite(c: Column) -> Column:
 def auc(df: DataFrame, score: str, positive: Column, *keys: str) -> DataFrame:
     """Probability that a positive row scores above a negative one, ties counting half; null with one class only."""
     counted = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = counted.withColumn("_won", F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2))
-    total = won.groupBy(*keys).agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
+    before = lambda order, *group: F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = ranged(counted, score, *keys).withColumn("_won", F.col("_p") * (before(score, *keys, "_range") + F.col("_n") / 2))
+    parts = won.groupBy(*keys, "_range").agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    total = parts.withColumn("_won", F.col("_won") + F.col("_p") * before("_range", *keys)).groupBy(*keys).agg(F.sum("_won").alias("_won"), F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
     return total.select(*keys, F.when((F.col("_ps") > 0) & (F.col("_ns") > 0), F.col("_won") / (F.col("_ps") * F.col("_ns"))).alias("auc"))
 
 

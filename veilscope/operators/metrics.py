@@ -51,15 +51,23 @@ def random_baseline(df: DataFrame, pool: list[str], answer: str = "gold") -> Dat
     """``df`` with ``random_em`` and ``random_f1``: the mean scores of the answers of all other rows of its pool (of its
     own answer if there is no other).
 
-    Rows are counted by normalised answer first; only answers that share a word are paired, as all others score 0."""
+    Rows are counted by normalised answer first. F1 is twice the shared words over the lengths of both answers, so the
+    sum over all others splits into sums by word: of the answers that have a word, only how often, how long they are and
+    how many there are matters. Answers are never paired, however common their words are."""
     rows = df.withColumn("_answer", normalize(F.col(answer)))
     counted = rows.groupBy(*pool, "_answer").agg(F.count(F.lit(1)).alias("_n"))
     sizes = counted.groupBy(*pool).agg(F.sum("_n").alias("_size"))
-    words = counted.select(*pool, "_answer", "_n", F.explode(F.array_distinct(F.split("_answer", " "))).alias("_word"))
-    left, right = words.select(*pool, F.col("_answer").alias("_own"), "_word"), words.select(*pool, "_answer", "_n", "_word")
-    pairs = left.join(right, [*pool, "_word"]).select(*pool, "_own", "_answer", "_n").distinct()
+    bags = counted.withColumn("_bag", F.filter(F.split("_answer", " "), lambda w: w != ""))
+    each = F.transform(F.array_distinct("_bag"), lambda w: F.struct(w.alias("_word"), F.size(F.filter("_bag", lambda x: x == w)).alias("_times")))
+    words = bags.select(*pool, "_answer", "_n", F.size("_bag").alias("_length"), F.explode(each).alias("_w")).select(*pool, "_answer", "_n", "_length", "_w.*")
+    kinds = words.groupBy(*pool, "_word", "_times", "_length").agg(F.sum("_n").alias("_n"))
+    other = kinds.select(*pool, "_word", F.col("_times").alias("_other_times"), F.col("_length").alias("_other_length"), F.col("_n").alias("_others"))
+    shared = F.sum(2 * F.col("_others") * F.least("_times", "_other_times")).alias("_shared")
+    met = kinds.drop("_n").join(other, [*pool, "_word"]).groupBy(*pool, "_word", "_times", "_length", (F.col("_length") + F.col("_other_length")).alias("_both")).agg(shared)
+    by_length = words.join(met, [*pool, "_word", "_times", "_length"]).groupBy(*pool, "_answer", "_n", "_length", "_both").agg(F.sum("_shared").alias("_shared"))
     # Equal answers are taken apart, as each row leaves out itself.
-    unequal = pairs.where("_own <> _answer").groupBy(*pool, F.col("_own").alias("_answer")).agg((F.sum(F.col("_n") * nanos(token_f1(F.col("_own"), F.col("_answer")))).cast("double") / 1_000_000_000).alias("_others"))
+    unequal = F.col("_shared") - F.when(F.col("_both") == 2 * F.col("_length"), 2 * F.col("_n") * F.col("_length")).otherwise(0)
+    unequal = by_length.groupBy(*pool, "_answer").agg((F.sum(nanos(unequal / F.col("_both"))).cast("double") / 1_000_000_000).alias("_others"))
     others = F.col("_size") - 1
     per_answer = (
         counted.join(sizes, pool).join(unequal, [*pool, "_answer"], "left")

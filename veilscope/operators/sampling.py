@@ -1,7 +1,8 @@
 """Stratified samples with a deterministic order: MD5 of seed and key in place of a shuffle.
 
-All forms rank within strata by window functions, so a stratum is sorted where it is and nothing is collected. The
-number of strata is small by nature (field types); quotas come from it.
+All forms rank within strata by window functions, in parts of a stratum first, of each of which no more rows than the
+sample has go on; so a large stratum is never sorted in one task, and nothing is collected. The number of strata is small
+by nature (field types); quotas come from it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts in which a stratum is ranked first.
+PARTS = 64
+
+
 def shuffle_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
@@ -22,10 +27,17 @@ def _quotas(df: DataFrame, stratum: str, n: int, remainder: bool) -> DataFrame:
     return ranked.withColumn("_quota", F.floor(F.lit(n) / F.col("_strata")) + extra).select(stratum, "_quota")
 
 
+def _leading(df: DataFrame, stratum: str, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each stratum with their ``_rank``."""
+    rank = lambda *group: F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    some = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).withColumn("_rank", rank(stratum, "_part")).where(F.col("_rank") <= n).drop("_part")
+    return some.withColumn("_rank", rank(stratum)).where(F.col("_rank") <= n)
+
+
 def quota(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows, an equal share for each stratum; a short stratum is not made up for."""
-    w = Window.partitionBy(stratum).orderBy(shuffle_key(F.col(key), seed), key)
-    return df.join(_quotas(df, stratum, n, True), stratum).withColumn("_rank", F.row_number().over(w)).where("_rank <= _quota").drop("_rank", "_quota")
+    first = _leading(df, stratum, key, [shuffle_key(F.col(key), seed), F.col(key)], n)
+    return first.join(_quotas(df, stratum, n, True), stratum).where("_rank <= _quota").drop("_rank", "_quota")
 
 
 def backfilled(df: DataFrame, stratum: str, key: str, n: int, seed: int | None = 42, remainder: bool = True) -> DataFrame:
@@ -33,7 +45,8 @@ def backfilled(df: DataFrame, stratum: str, key: str, n: int, seed: int | None =
 
     Without a seed the order is that of the key itself; without ``remainder`` every stratum has the same quota."""
     order = [shuffle_key(F.col(key), seed), F.col(key)] if seed is not None else [F.col(key)]
-    ranked = df.join(_quotas(df, stratum, n, remainder), stratum).withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    # A stratum's quota is n at most, and n rows at most fill up for others.
+    ranked = _leading(df, stratum, key, order, 2 * n).join(_quotas(df, stratum, n, remainder), stratum)
     first = ranked.where("_rank <= _quota").drop("_rank", "_quota")
     spare = ranked.where("_rank > _quota").drop("_quota", "_rank").orderBy(*order).limit(n).withColumn("_place", F.row_number().over(Window.orderBy(*order)))  # n rows at most
     taken = first.agg(F.count(F.lit(1)).alias("_taken"))
@@ -47,5 +60,4 @@ def random_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def at_most(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows at most of each stratum."""
-    w = Window.partitionBy(stratum).orderBy(shuffle_key(F.col(key), seed), key)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    return _leading(df, stratum, key, [shuffle_key(F.col(key), seed), F.col(key)], n).drop("_rank")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .ranges import ranged
 
 GRID = "scenario_id string, ocr_strategy string, image_strategy string, context_window int, blur_sigma double"
 
@@ -51,11 +52,10 @@ def with_taxonomy(df: DataFrame, kind: str = "field_type") -> DataFrame:
     return out.withColumn("sensitivity", F.coalesce("sensitivity", F.lit(fixed.DEFAULT_SENSITIVITY))).withColumn("field_group", F.coalesce("field_group", F.lit(fixed.DEFAULT_GROUP)))
 
 
-def row_index(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """Positions from 0 in the order of a whole-number column, without one window over all rows: positions within
-    ranges of the column, plus the sizes of the ranges before."""
-    limits = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    cut = df.crossJoin(F.broadcast(limits)).withColumn("_range", F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)).drop("_lo", "_hi")  # one row
+def row_index(df: DataFrame, order: str) -> DataFrame:
+    """Positions from 0 in the order of a column of numbers, without one window over all rows: positions within ranges
+    of the column, plus the sizes of the ranges before."""
+    cut = ranged(df, order)
     before = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1)
     return ranked.join(F.broadcast(before), "_range").withColumn("row_index", F.col("_rank") + F.col("_before")).drop("_range", "_rank", "_n", "_before")  # a row for each range

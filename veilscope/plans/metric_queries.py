@@ -15,10 +15,14 @@ from .registry import query, table
 _N = proxies.norm_sql
 
 
+def _overlap_sql(p: str, g: str) -> str:
+    """How many words two lists share."""
+    return f"list_sum(list_transform(list_distinct({p}), lambda w: least(len(list_filter({p}, lambda x: x = w)), len(list_filter({g}, lambda x: x = w)))))"
+
+
 def _f1_sql(p: str, g: str) -> str:
     """Token F1 of two lists of words."""
-    overlap = f"list_sum(list_transform(list_distinct({p}), lambda w: least(len(list_filter({p}, lambda x: x = w)), len(list_filter({g}, lambda x: x = w)))))"
-    return f"CASE WHEN len({p}) + len({g}) = 0 THEN 1.0::DOUBLE WHEN len({p}) = 0 OR len({g}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {overlap} / (len({p}) + len({g})) END"
+    return f"CASE WHEN len({p}) + len({g}) = 0 THEN 1.0::DOUBLE WHEN len({p}) = 0 OR len({g}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {_overlap_sql(p, g)} / (len({p}) + len({g})) END"
 
 
 def _words(x: str) -> str:
@@ -30,7 +34,8 @@ _SCORED = f"""{PREDICTIONS}, pw AS (SELECT *, {_words('prediction')} AS p, {_wor
    CASE WHEN {_N('prediction')} = {_N('answers[2]')} OR {_N('prediction')} = {_N('gold')} THEN 1.0::DOUBLE ELSE 0.0 END AS best_em, greatest({_f1_sql('p', 'g')}, {_f1_sql('p', 'g2')}) AS best_f1 FROM pw)"""
 _BASE = f"""cnt AS (SELECT scenario, coarse_type, {_N('gold')} AS a, count(*) AS n FROM pred GROUP BY ALL), tot AS (SELECT scenario, coarse_type, sum(n) AS size FROM cnt GROUP BY ALL),
  wd AS (SELECT *, list_filter(string_split(a, ' '), lambda w: w <> '') AS w FROM cnt),
- pr AS (SELECT x.scenario, x.coarse_type, x.a, sum(y.n * CAST(round({_f1_sql('x.w', 'y.w')} * 1000000000) AS BIGINT))::DOUBLE / 1000000000 AS s FROM wd x JOIN wd y ON x.scenario = y.scenario AND x.coarse_type = y.coarse_type AND x.a <> y.a GROUP BY ALL),
+ pl AS (SELECT x.scenario, x.coarse_type, x.a, len(x.w) + len(y.w) AS l, sum(2 * y.n * coalesce({_overlap_sql('x.w', 'y.w')}, 0)) AS s FROM wd x JOIN wd y ON x.scenario = y.scenario AND x.coarse_type = y.coarse_type AND x.a <> y.a GROUP BY ALL),
+ pr AS (SELECT scenario, coarse_type, a, sum(CAST(round(s::DOUBLE / l * 1000000000) AS HUGEINT))::DOUBLE / 1000000000 AS s FROM pl GROUP BY ALL),
  base AS (SELECT cnt.scenario, cnt.coarse_type, cnt.a, CASE WHEN size > 1 THEN (n - 1)::DOUBLE / (size - 1) ELSE 1.0 END AS random_em, CASE WHEN size > 1 THEN (n - 1 + coalesce(s, 0))::DOUBLE / (size - 1) ELSE 1.0 END AS random_f1
    FROM cnt JOIN tot USING (scenario, coarse_type) LEFT JOIN pr ON pr.scenario = cnt.scenario AND pr.coarse_type = cnt.coarse_type AND pr.a = cnt.a)"""
 _FULL = f"{_SCORED}, {_BASE}, full_ AS (SELECT o.*, b.random_em, b.random_f1, exact_match - b.random_em AS corrected_em, token_f1 - b.random_f1 AS corrected_f1 FROM own_score o JOIN base b ON b.scenario = o.scenario AND b.coarse_type = o.coarse_type AND b.a = {_N('o.gold')})"
