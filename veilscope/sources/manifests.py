@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares; a temporary one on a local master where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    done = sc._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (done.get() if done.isDefined() else None)
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="veilscope-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
