@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANGES = 128
-#: About so many rows of each group fix its ranges.
+#: About so many rows, of all groups together, fix the ranges; a group with few of them is small.
 SAMPLE = 65_536
 
 
@@ -25,8 +25,8 @@ def ranged(df: DataFrame, order: str, *keys: str) -> DataFrame:
 
     The limits are quantiles of a sample by a hash of the number: they are the same in every run, so tasks that are
     repeated after a loss agree with the others. Rows of one number lie in one range."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    drawn = beside(df.select(*keys, order), sizes, *keys).where(F.pmod(F.xxhash64(order), F.ceil(F.col("_size") / SAMPLE)) == 0)
+    size = df.agg(F.count(F.lit(1)).alias("_size"))
+    drawn = beside(df.select(*keys, order), size).where(F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.ceil(F.col("_size") / SAMPLE))) == 0)
     limits = drawn.groupBy(*keys).agg(F.percentile(order, [i / RANGES for i in range(1, RANGES)]).alias("_limits"))
     below = F.size(F.filter(F.coalesce("_limits", F.array().cast("array<double>")), lambda x: x < F.col(order)))
     return beside(df, limits, *keys).withColumn("_range", below).drop("_limits")
